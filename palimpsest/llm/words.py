@@ -8,22 +8,18 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes hashed at once; a longer text is cut between two words.
 PIECE = 1 << 20
-_rng = np.random.default_rng(20240607)
-_POW = np.ones(64, U)
 _BASE = U(0x9E3779B97F4A7C15)
+_POW = np.ones(1, U)
 
 
 def _powers(n: int) -> np.ndarray:
+    """_BASE to the powers 0 to n - 1 at least, modulo 2**64."""
     global _POW
-    while len(_POW) < n:
-        _POW = np.concatenate([_POW, _POW * (_BASE ** U(len(_POW)))])
+    if len(_POW) < n:
+        _POW = np.cumprod(np.concatenate([np.ones(1, U), np.full(2 * n, _BASE, U)]), dtype=U)
     return _POW
 
 
-for _ in range(1, 64):
-    _POW[_] = _POW[_ - 1] * _BASE
-
-
 class Alphabet:
     """The bytes that make words; A-Z count as a-z."""
 
