@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontam, lengths, mixing, tokenbin
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
+    "op6_length_histogram": lengths.op6,
+    "op7_wu_manber": decontam.op7,
+    "op8_simple8b": tokenbin.op8,
 }
 
 ORACLES = {
