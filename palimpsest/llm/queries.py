@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, lengths, mixing, tokenbin
+from . import decontam, lengths, mixing, neardup, tokenbin
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
+    "op2_odd_sketch": neardup.op2,
     "op6_length_histogram": lengths.op6,
     "op7_wu_manber": decontam.op7,
     "op8_simple8b": tokenbin.op8,
