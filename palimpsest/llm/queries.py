@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lengths, merkle, mixing, neardup, tokenbin
+from . import decontam, langid, lengths, merkle, mixing, neardup, tokenbin, toxicity
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_length_histogram": lengths.op6,
     "op7_wu_manber": decontam.op7,
     "op8_simple8b": tokenbin.op8,
+    "op9_subword_bag": toxicity.op9,
 }
 
 ORACLES = {
