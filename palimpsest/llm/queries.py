@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lengths, merkle, mixing, neardup, tokenbin, toxicity
+from . import decontam, html, langid, lengths, merkle, mixing, neardup, tokenbin, toxicity
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
     "op2_odd_sketch": neardup.op2,
+    "op3_host_consensus": html.op3,
     "op4_mixture_em": langid.op4,
     "op5_merkle": merkle.op5,
     "op6_length_histogram": lengths.op6,
