@@ -8,8 +8,10 @@
    pairs. Pairs whose sizes or odd sketches cannot reach the threshold are sifted out; the rest are confirmed on full
    sets: texts go to their centre in stretches of SPREAD members, sorted, so a task holds one set at a time.
 4. Classes that are linked need no further link to each other. What stars may miss are links between members of a
-   bucket that are still in different components: every such pair is tried in the same way, those of the
-   bucket's largest component only against the others. So no link between components is lost.
+   bucket that are still in different components: those outside the bucket's largest component are compared with
+   all its members, in units of STRETCH by STRETCH. A unit first compares odd sketches, which picks the members whose
+   texts it needs, then full sets; only links that join components leave it. A pair is compared in the first
+   band that it shares and nowhere else. So no link between components is lost, and no pairs are written out.
 
 Null doc_id: the row is returned with component_id null and is kept. Null and empty texts have no shingles and are
 linked with nothing. Rows that share a doc_id count as one document. Extra columns do no harm.
@@ -36,8 +38,10 @@ ROWS = 6
 MISS = 1e-7
 #: Bits of an odd sketch.
 BITS = 512
+#: Members of a bucket on either side of a unit.
+STRETCH = 1500
 #: Standard deviations of an odd sketch's estimate that a pair may lie below the threshold.
-SIGMAS = 5.5
+SIGMAS = 5
 #: Members that are compared with a centre in one stretch.
 SPREAD = 500
 
@@ -50,7 +54,8 @@ def most_bits(threshold: float, k: int) -> int:
     """Bits set in the XOR of two odd sketches of k values that a pair at the threshold does not exceed."""
     s, z = 2 * k * (1 - threshold), BITS
     mean = z / 2 * (1 - math.exp(-2 * s / z))
-    of_sketch = z / 4 * (1 - math.exp(-4 * s / z))
+    # Variance from values that fall on one bit, and from the number of MinHash values that differ.
+    of_sketch = z / 4 * (1 - math.exp(-4 * s / z)) - s * math.exp(-4 * s / z)
     of_minhash = (2 * math.exp(-2 * s / z)) ** 2 * k * threshold * (1 - threshold)
     return min(z, math.ceil(mean + SIGMAS * math.sqrt(of_sketch + of_minhash)))
 
@@ -173,6 +178,86 @@ def _may(n_a: str, n_b: str, s_a: str, s_b: str, percent: int, bits: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= bits)
 
 
+def _units(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, i, j, side, vid, label: members of buckets that hold several components; side 0 are those outside the largest, side 1 all."""
+    rest = members.select("key", "vid").join(labels, "vid", "left").select("key", "vid", F.coalesce("label", "vid").alias("label"))
+    sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    split = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    pieces = lambda n: F.ceil(n / STRETCH).cast("int")
+    split = saved(split.select("key", "main", pieces(F.col("all") - F.col("most")).alias("ni"), pieces(F.col("all")).alias("nj")), "split")
+    left = rest.join(split, "key")
+    place = lambda n: F.pmod(F.xxhash64("vid"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = left.where("label <> main").withColumn("i", place(F.col("ni"))).select("key", "i", upto("nj").alias("j"), F.lit(0).alias("side"), "vid", "label")
+    every = left.withColumn("j", place(F.col("nj"))).select("key", upto("ni").alias("i"), "j", F.lit(1).alias("side"), "vid", "label")
+    return few.unionByName(every)
+
+
+def _grid(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _picked(units: DataFrame, signs: DataFrame, percent: int, bits: int) -> DataFrame:
+    """The members of units that may be linked to another component there by their odd sketches."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        side, vid, label, n = (unit[c].to_numpy() for c in ("side", "vid", "label", "n"))
+        sketch, bands, key = _grid(unit["sketch"]).view(U), _grid(unit["bands"]), unit["key"][0].as_py()
+        few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        keep = np.zeros(len(side), bool)
+        for x in few:
+            y = every[(label[every] != label[x]) & (100 * np.minimum(n[every], n[x]) >= percent * np.maximum(n[every], n[x]))]
+            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(1) <= bits]
+            if len(y):
+                y = y[bands[x][(bands[y] == bands[x]).argmax(1)] == key]
+                keep[x] |= len(y) > 0
+                keep[y] = True
+        return unit.select(["key", "i", "j", "side", "vid", "label"]).filter(pa.array(keep))
+
+    return units.join(signs, "vid").select("key", "i", "j", "side", "vid", "label", "n", "sketch", "bands").groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, side int, vid long, label long")
+
+
+def _joined(picked: DataFrame, n_picked: int, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between components in each unit, on full sets; what a link has joined there is not joined again."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        side, vid, label = (unit[c].to_numpy() for c in ("side", "vid", "label"))
+        sets = list(shingle_sets(unit["text"]))
+        sizes = np.array([len(s) for s in sets])
+        every = np.flatnonzero(side == 1)
+        found = {x: x for x in label.tolist()}
+
+        def root(x: int) -> int:
+            while found[x] != x:
+                x = found[x]
+            return x
+
+        a, b = [], []
+        if len(every):
+            of_every = np.concatenate([sets[y] for y in every])
+            known, place = np.unique(of_every, return_inverse=True)
+            begins = np.cumsum(sizes[every]) - sizes[every]
+            mark = np.zeros(len(known), np.int32)
+            for x in np.flatnonzero(side == 0):
+                at = np.minimum(np.searchsorted(known, sets[x]), len(known) - 1)
+                at = at[known[at] == sets[x]]
+                mark[at] = 1
+                both = np.add.reduceat(mark[place], begins)
+                mark[at] = 0
+                for y in every[100 * both >= percent * (sizes[x] + sizes[every] - both)]:
+                    u, v = root(int(label[x])), root(int(label[y]))
+                    if u != v:
+                        found[max(u, v)] = min(u, v)
+                        a.append(int(vid[x]))
+                        b.append(int(vid[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    few = n_picked <= BROADCAST_ROWS  # rows of six numbers, counted
+    texts = docs.join(F.broadcast(picked) if few else picked, docs["vid_"] == picked["vid"])
+    return texts.select("key", "i", "j", "side", "vid", "label", "text").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def grouped(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -196,20 +281,11 @@ def grouped(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
     # Members of one class that has several ids, or rows of one id, are joined by their class.
     labels = saved(components(links), "labels")
 
-    rest = members.join(labels, "vid", "left").select("key", "vid", F.coalesce("label", "vid").alias("label"))
-    sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    split = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    left = rest.join(split, "key").join(sketches, "vid")
-    few = left.where("label <> main").select("key", F.col("vid").alias("a"), F.col("label").alias("la"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    every = left.select("key", F.col("vid").alias("b"), F.col("label").alias("lb"), "main", F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    apart = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    more = few.join(every, (few["key"] == every["key"]) & apart & _may("n_a", "n_b", "s_a", "s_b", percent, bits)).select("a", "b").distinct()
-    tried = stars.select("a", "b").union(stars.select("b", "a"))
-    more = saved(more.join(tried, ["a", "b"], "left_anti"), "more")
-    n_more = more.count()
-    if n_more:
-        found = _confirm(more, n_more, texts, percent)
-        labels = saved(components(links.union(found)), "labels")
+    units = _units(members, labels)
+    picked = saved(_picked(units, signs.select("vid", "n", "sketch", "bands").dropDuplicates(["vid"]), percent, bits), "picked")
+    n_picked = picked.count()
+    if n_picked:
+        labels = saved(components(links.union(_joined(picked, n_picked, texts, percent))), "labels")
 
     named = classes.join(labels, "vid", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("label", "vid").alias("component_id"))
     own = signed.select("doc_id", "n", "h1", "h2")
