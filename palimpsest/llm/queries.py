@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, langid, lengths, merkle, mixing, neardup, tokenbin, toxicity
+from . import chat, decontam, html, langid, lengths, merkle, mixing, neardup, tokenbin, toxicity
 
 QUERIES = {
     "op1_pareto_mix": mixing.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_wu_manber": decontam.op7,
     "op8_simple8b": tokenbin.op8,
     "op9_subword_bag": toxicity.op9,
+    "op10_template_compiler": chat.op10,
 }
 
 ORACLES = {
