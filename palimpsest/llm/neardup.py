@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -299,9 +299,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents"))
 
 
-def deduplicated(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """docs with one document of each group: that of the least id. Of rows that share an id the first by text stays."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    kept = grouped(docs, percent, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group: that of the least id, and of rows that share it the first by text. Rows without an id stay."""
+    own = F.col(id_col).cast("long")
+    groups = grouped(docs, percent, id_col, text_col)
+    gone = saved(groups.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    left = docs.join(F.broadcast(gone) if few else gone, own == F.col("__id"), "left_anti")
+    again = saved(docs.where(own.isNotNull()).groupBy(own.alias("__id")).count().where("count > 1").select("__id"), "again")
+    n = again.count()
+    if not n:
+        return left
+    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    of_many = left.join(again, own == F.col("__id"), "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
+    return left.join(again, own == F.col("__id"), "left_anti").unionByName(of_many)
