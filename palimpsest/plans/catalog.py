@@ -2,5 +2,696 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from palimpsest.functions import canon, fixed, semantics
+from palimpsest.functions.patterns import matches
+from palimpsest.operators import commit, graph, operations, queue, receipts, records, review, sessions, verify
+from palimpsest.operators.validate import violations
+from palimpsest.sources.lens import duck, lens
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Times at which validity is asked for.
+EARLY, LATE = "2024-01-30 12:00:00", "2024-02-05 00:00:00"
+
+
+def query(*names: str, sql: str | None = None, as_: str | None = None):
+    """Registers a function of lenses under its name."""
+
+    def put(f):
+        name = as_ or f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(*(lens(spark, sf_dir, n) for n in names))
+        if sql:
+            ORACLES[name] = duck(sql, *names)
+        return f
+
+    return put
+
+
+def at(time: str):
+    return F.lit(time).cast("timestamp_ntz")
+
+
+HEADS = "heads AS (SELECT * FROM revisions QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY revision DESC) = 1)"
+
+
+# Records and their feed.
+
+
+@query("revisions", sql="SELECT memory_id, ns, semantic_key, revision, commit_seq, status, event_id FROM revisions QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY revision DESC) = 1")
+def current_heads(revisions):
+    return records.heads(revisions).select("memory_id", "ns", "semantic_key", "revision", "commit_seq", "status", "event_id")
+
+
+@query(
+    "revisions",
+    sql=f"+{HEADS} SELECT h.memory_id, r.event_id, r.memory_kind FROM heads h JOIN revisions r ON r.memory_id = h.memory_id AND r.revision = h.revision WHERE h.status = 'active'",
+)
+def current_revisions(revisions):
+    h = records.heads(revisions).where("status = 'active'").select("memory_id", F.col("revision").alias("current_revision"))
+    return records.current_revisions(h, revisions).select("memory_id", "event_id", "memory_kind")
+
+
+@query("revisions", sql="+ req AS (SELECT memory_id, revision + 50 AS revision, event_id AS pos FROM revisions WHERE revision <= 30) SELECT q.pos, q.memory_id, q.revision, r.event_id FROM req q LEFT JOIN revisions r USING (memory_id, revision)")
+def hydrate_ordered(revisions):
+    requests = revisions.where("revision <= 30").select("memory_id", (F.col("revision") + 50).alias("revision"), F.col("event_id").alias("pos"))
+    return records.hydrated(requests, revisions.select("memory_id", "revision", "event_id")).select("pos", "memory_id", "revision", "event_id")
+
+
+def _as_of(time):
+    sql = f"SELECT ns, count(*) AS n, count(DISTINCT memory_id) AS memories FROM revisions WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '{time}') AND (valid_until IS NULL OR valid_until >= TIMESTAMP '{time}') GROUP BY ns"
+
+    @query("revisions", sql=sql, as_="as_of_valid" if time == EARLY else "as_of_valid_late")
+    def as_of(revisions):
+        return records.valid_at(revisions, at(time)).groupBy("ns").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("memory_id").alias("memories"))
+
+
+_as_of(EARLY)
+_as_of(LATE)
+
+
+@query("revisions", sql="SELECT commit_seq, memory_id, revision, op, n > 100 AS has_more, commit_seq - k = 500 AS gapless FROM (SELECT *, row_number() OVER (ORDER BY commit_seq) AS k, count(*) OVER () AS n FROM (SELECT * FROM revisions WHERE ns = 'ns1' AND commit_seq > 500 ORDER BY commit_seq LIMIT 101)) WHERE k <= 100")
+def change_page(revisions):
+    return records.changes_after(revisions, "ns1", 500, 100).select("commit_seq", "memory_id", "revision", "op", "has_more", "gapless")
+
+
+@query("revisions", sql="+ gappy AS (SELECT * FROM revisions WHERE event_id % 997 <> 0), l AS (SELECT ns, commit_seq, coalesce(lag(commit_seq) OVER (PARTITION BY ns ORDER BY commit_seq), 0) AS b FROM gappy) SELECT ns, b + 1 AS gap_from, commit_seq - 1 AS gap_to FROM l WHERE commit_seq > b + 1")
+def change_gaps(revisions):
+    return records.gaps(revisions.where("event_id % 997 <> 0"), ["ns"])
+
+
+@query("revisions", sql="+ m AS (SELECT ns, max(commit_seq) AS w FROM revisions WHERE event_id % 4 = 0 GROUP BY ns) SELECT r.event_id, r.ns, coalesce(w, 0) + row_number() OVER (PARTITION BY r.ns ORDER BY r.event_id) AS commit_seq FROM revisions r LEFT JOIN m ON m.ns = r.ns WHERE event_id % 4 <> 0")
+def commit_seq_assign(revisions):
+    marks = records.high_water(revisions.where("event_id % 4 = 0"), ["ns"])
+    return records.sequenced(revisions.where("event_id % 4 <> 0").select("event_id", "ns"), marks, ["ns"], "event_id").select("event_id", "ns", F.col("commit_seq").cast("long").alias("commit_seq"))
+
+
+@query("revisions", sql="SELECT memory_id, commit_seq, ns, revision FROM revisions")
+def revision_numbers(revisions):
+    return records.numbered(revisions.select("memory_id", "commit_seq", "ns"))
+
+
+@query("revisions", sql="SELECT ns, max(commit_seq) AS high_water FROM revisions GROUP BY ns")
+def high_watermark(revisions):
+    return records.high_water(revisions, ["ns"])
+
+
+@query("revisions", sql="+ c AS (SELECT memory_id, revision, md5(concat(memory_id, '/', CASE WHEN event_id % 211 = 0 THEN 0 ELSE revision END)) AS payload_hash, event_id FROM revisions), r AS (SELECT memory_id, revision, md5(concat(memory_id, '/', revision)) AS h FROM revisions WHERE event_id % 307 <> 0) SELECT c.memory_id, c.revision, CASE WHEN h IS NULL THEN 'REVISION_MISSING' ELSE 'PAYLOAD_HASH' END AS problem FROM c LEFT JOIN r USING (memory_id, revision) WHERE payload_hash IS DISTINCT FROM h")
+def change_proof(revisions):
+    path = lambda rev: F.md5(F.concat("memory_id", F.lit("/"), rev.cast("string")))
+    changes = revisions.select("memory_id", "revision", path(F.when(F.col("event_id") % 211 == 0, 0).otherwise(F.col("revision"))).alias("payload_hash"))
+    held = revisions.where("event_id % 307 <> 0").select("memory_id", "revision", path(F.col("revision")).alias("payload_hash"))
+    return records.change_proof(changes, held).select("memory_id", "revision", "problem")
+
+
+@query("devices", "revisions", sql="+ m AS (SELECT ns, max(commit_seq) AS w FROM revisions GROUP BY ns) SELECT device_id, ns, applied, coalesce(w, 0) AS high_water, coalesce(greatest(w - applied, 0), 0) AS lag FROM devices LEFT JOIN m USING (ns)")
+def device_fleet_lag(devices, revisions):
+    return operations.device_lag(devices, records.high_water(revisions, ["ns"])).select("device_id", "ns", "applied", "high_water", "lag")
+
+
+@query(
+    "devices",
+    "revisions",
+    sql="""+ m AS (SELECT ns, max(commit_seq) AS w FROM revisions GROUP BY ns), d AS (SELECT device_id, ns, coalesce(w, 0) AS w, applied % 1500 AS a1 FROM devices LEFT JOIN m USING (ns)),
+    s1 AS (SELECT *, CASE WHEN a1 > 0 AND a1 <= 1000 AND a1 <= w THEN a1 ELSE 0 END AS x1 FROM d), s2 AS (SELECT *, CASE WHEN x1 = a1 AND a1 + 900 <= w THEN a1 + 900 ELSE x1 END AS x2 FROM s1)
+    SELECT device_id, ns, CAST(x2 AS BIGINT) AS applied_seq, CAST(w AS BIGINT) AS high_water FROM s2""",
+)
+def device_acks(devices, revisions):
+    first = devices.select("device_id", "ns", F.lit(1).alias("pos"), F.lit(0).cast("long").alias("expected"), (F.col("applied") % 1500).alias("applied"))
+    second = first.select("device_id", "ns", F.lit(2).alias("pos"), F.col("applied").alias("expected"), (F.col("applied") + 900).alias("applied"))
+    return records.acknowledged(first.unionByName(second), records.high_water(revisions, ["ns"])).select("device_id", "ns", "applied_seq", "high_water")
+
+
+@query("revisions", sql=f"+{HEADS} SELECT memory_id, revision, memory_kind, n > 20 AS has_more FROM (SELECT *, row_number() OVER (ORDER BY memory_id) AS k, count(*) OVER () AS n FROM (SELECT * FROM heads WHERE ns = 'ns2' AND memory_id > 'mem_12' ORDER BY memory_id LIMIT 21)) WHERE k <= 20")
+def inventory_page(revisions):
+    h = records.heads(revisions).where("ns = 'ns2'")
+    rows = operations.inventory(h.select("memory_id", "revision"), revisions.select("memory_id", "revision", "memory_kind"))
+    return records.page(rows, ["memory_id"], ["mem_12"], 20).select("memory_id", "revision", "memory_kind", "has_more")
+
+
+@query("materializations", sql="SELECT provider, memory_id, outcome, canonical_revision FROM (SELECT * FROM materializations WHERE provider > 'p2' OR (provider = 'p2' AND memory_id > 'mem_5') ORDER BY provider, memory_id LIMIT 15)")
+def materialization_page(materializations):
+    return records.page(materializations, ["provider", "memory_id"], ["p2", "mem_5"], 15).select("provider", "memory_id", "outcome", "canonical_revision")
+
+
+@query(
+    "revisions", "outbox", "materializations", "devices",
+    sql=f"""+{HEADS}, h AS (SELECT * FROM heads WHERE ns = 'ns1'), o AS (SELECT * FROM outbox WHERE ns = 'ns1'), m AS (SELECT m.* FROM materializations m JOIN h USING (memory_id))
+    SELECT (SELECT count(*) FILTER (status = 'active') FROM h) AS active, (SELECT count(*) FILTER (status = 'tombstoned') FROM h) AS tombstoned, (SELECT count(*) FROM h) AS memories,
+    (SELECT count(*) FILTER (status = 'PENDING') FROM o) AS pending, (SELECT count(*) FILTER (status = 'PROCESSING') FROM o) AS processing, (SELECT count(*) FILTER (status = 'FAILED') FROM o) AS failed, (SELECT count(*) FILTER (status = 'DONE') FROM o) AS done,
+    (SELECT count(*) FILTER (outcome = 'CURRENT') FROM m) AS current, (SELECT count(*) FILTER (outcome = 'STALE') FROM m) AS stale, (SELECT count(*) FILTER (outcome = 'FAILED') FROM m) AS broken,
+    (SELECT max(commit_seq) FROM revisions WHERE ns = 'ns1') AS high_water, (SELECT count(*) FROM devices WHERE ns = 'ns1') AS devices,
+    (SELECT greatest((SELECT max(commit_seq) FROM revisions WHERE ns = 'ns1') - min(applied), 0) FROM devices WHERE ns = 'ns1') AS max_lag""",
+)
+def namespace_summary(revisions, outbox, materializations, devices):
+    return operations.summary(records.heads(revisions), outbox, materializations.withColumnRenamed("outcome", "status"), devices, revisions, "ns1")
+
+
+@query("revisions", "outbox", "devices", sql="SELECT 'revisions' AS name, count(*) AS n FROM revisions UNION ALL SELECT 'outbox', count(*) FROM outbox UNION ALL SELECT 'devices', count(*) FROM devices")
+def state_snapshot(revisions, outbox, devices):
+    return operations.snapshot({"revisions": revisions, "outbox": outbox, "devices": devices})
+
+
+@query("revisions", "outbox", sql="SELECT 'revisions' AS name, count(*) FILTER (event_id >= 6000) AS delta FROM revisions UNION ALL SELECT 'outbox', count(*) FILTER (status <> 'DONE') - count(*) FROM outbox")
+def snapshot_delta(revisions, outbox):
+    before = operations.snapshot({"revisions": revisions.where("event_id < 6000"), "outbox": outbox})
+    return operations.snapshot_delta(before, operations.snapshot({"revisions": revisions, "outbox": outbox.where("status <> 'DONE'")}))
+
+
+# Verification.
+
+DECISION = """CASE WHEN h.memory_id IS NULL THEN 'NOT_FOUND' WHEN h.ns <> 'ns0' AND h.ns <> 'ns1' THEN 'SCOPE_MISMATCH' WHEN h.status = 'tombstoned' THEN 'TOMBSTONED'
+ WHEN q.claimed_revision <> h.revision THEN 'REVISION_MISMATCH' WHEN NOT h.intact THEN 'REVISION_INTEGRITY' WHEN h.valid_from > TIMESTAMP '{t}' THEN 'NOT_YET_VALID' WHEN h.valid_until < TIMESTAMP '{t}' THEN 'NO_LONGER_VALID' ELSE 'ALLOW' END"""
+#: Hits that claim the current revision, but for one in eleven.
+CLAIMS = "c AS (SELECT x.memory_id, x.rank, coalesce(h.revision, 1) - CASE WHEN x.rank % 11 = 0 THEN 1 ELSE 0 END AS claimed_revision FROM hits x LEFT JOIN heads h USING (memory_id)), q AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY rank) = 1)"
+
+
+def _claims(hits, revisions):
+    h = records.heads(revisions).select("memory_id", F.col("revision").alias("__r"))
+    return hits.join(h, "memory_id", "left").select("memory_id", "rank", (F.coalesce("__r", F.lit(1)) - F.when(F.col("rank") % 11 == 0, 1).otherwise(0)).alias("claimed_revision"))
+
+
+def _decided(hits, revisions, time):
+    h = records.heads(revisions).withColumnRenamed("revision", "current_revision")
+    requests = verify.first_hits(_claims(hits, revisions)).withColumn("expected_revision", F.col("claimed_revision"))
+    # Either of two scopes is asked for.
+    scope = F.when(F.col("__ns").isin("ns0", "ns1"), F.col("__ns")).otherwise("ns0")
+    return verify.decided(requests, h, revisions, scope, at(time))
+
+
+def _verify(time, suffix):
+    d = DECISION.format(t=time)
+
+    @query("hits", "revisions", sql=f"+{HEADS}, {CLAIMS} SELECT q.memory_id, q.rank, q.claimed_revision, {d} AS decision FROM q LEFT JOIN heads h USING (memory_id)", as_=f"verify_decisions{suffix}")
+    def verify_decisions(hits, revisions):
+        return _decided(hits, revisions, time).select("memory_id", "rank", "claimed_revision", "decision")
+
+    @query("hits", "revisions", sql=f"+{HEADS}, {CLAIMS} SELECT reason, count(*) AS n FROM (SELECT {d} AS reason FROM q LEFT JOIN heads h USING (memory_id)) WHERE reason <> 'ALLOW' GROUP BY reason", as_=f"suppression_counts{suffix}")
+    def suppression_counts(hits, revisions):
+        return verify.counted(_decided(hits, revisions, time))
+
+
+_verify(EARLY, "")
+_verify(LATE, "_late")
+
+
+@query("hits", "revisions", sql=f"+{HEADS}, {CLAIMS} SELECT memory_id, rank FROM (SELECT q.memory_id, q.rank, {DECISION.format(t=EARLY)} AS d, h.ns FROM q LEFT JOIN heads h USING (memory_id)) WHERE d = 'ALLOW' AND ns = 'ns1' ORDER BY rank LIMIT 5")
+def verified_retrieval_topk(hits, revisions):
+    h = records.heads(revisions).withColumnRenamed("revision", "current_revision")
+    return verify.retrieved(_claims(hits, revisions), h, revisions, F.lit("ns1"), at(EARLY), 5).select("memory_id", "rank")
+
+
+@query("hits", sql="SELECT memory_id, max(claimed_revision) AS claimed_revision, min(rank) AS first_rank FROM hits WHERE claimed_revision >= 1 GROUP BY memory_id ORDER BY first_rank LIMIT 40")
+def provider_best_claim(hits):
+    return verify.best_claims(hits, 40)
+
+
+@query("hits", sql="SELECT memory_id, rank, claimed_revision, disputed FROM (SELECT *, min(claimed_revision) OVER w <> max(claimed_revision) OVER w AS disputed, row_number() OVER (PARTITION BY memory_id ORDER BY rank) AS k FROM hits WINDOW w AS (PARTITION BY memory_id)) WHERE k = 1")
+def provider_first_hit(hits):
+    return verify.first_hits(hits)
+
+
+VIEW = f"""+{HEADS}, mine AS (SELECT semantic_key, memory_id AS own, status = 'active' AS allowed FROM heads WHERE ns = 'ns0'),
+ p AS (SELECT 0 AS mount, rank AS pos, x.memory_id, rank, semantic_key FROM hits x JOIN heads h USING (memory_id) WHERE h.ns = 'ns0' AND h.status = 'active' AND rank < 250),
+ m AS (SELECT 1 + rank % 2 AS mount, rank AS pos, concat('old_', memory_id) AS memory_id, rank, concat('key_', rank % 200) AS semantic_key FROM hits WHERE rank >= 250),
+ a AS (SELECT * FROM p UNION ALL SELECT * FROM m), j AS (SELECT a.*, own, mount > 0 AND own IS NOT NULL AS ov, mount > 0 AND own IS NOT NULL AND NOT allowed AS blocked FROM a LEFT JOIN mine USING (semantic_key)),
+ s AS (SELECT *, CASE WHEN ov THEN own ELSE memory_id END AS shown_id FROM j), f AS (SELECT *, NOT blocked AND row_number() OVER (PARTITION BY shown_id ORDER BY CAST(blocked AS INT), mount, pos) = 1 AS fst FROM s),
+ o AS (SELECT *, CASE WHEN blocked THEN 'VIEW_PRIMARY_SUPPRESSION' WHEN fst THEN 'SHOWN' WHEN ov THEN 'VIEW_PRIMARY_OVERRIDE' ELSE 'VIEW_DUPLICATE' END AS outcome FROM f),
+ t AS (SELECT mount, pos FROM o WHERE outcome = 'SHOWN' ORDER BY rank, mount, pos LIMIT 60)"""
+
+
+def _view(hits, revisions):
+    heads = records.heads(revisions)
+    own = heads.where("ns = 'ns0'")
+    primary = hits.where("rank < 250").join(own.where("status = 'active'").select("memory_id", "semantic_key"), "memory_id").select(F.lit(0).cast("long").alias("mount"), F.col("rank").alias("pos"), "memory_id", "rank", "semantic_key")
+    old = hits.where("rank >= 250").select((1 + F.col("rank") % 2).alias("mount"), F.col("rank").alias("pos"), F.concat(F.lit("old_"), "memory_id").alias("memory_id"), "rank", F.concat(F.lit("key_"), (F.col("rank") % 200).cast("string")).alias("semantic_key"))
+    return primary, old, own.select("semantic_key", "memory_id", (F.col("status") == "active").alias("allowed"))
+
+
+@query("hits", "revisions", sql=VIEW + " SELECT CAST(o.mount AS BIGINT) AS mount, o.pos, rank, semantic_key, shown_id, CASE WHEN outcome = 'SHOWN' AND t.pos IS NULL THEN 'VIEW_TOP_K' ELSE outcome END AS outcome FROM o LEFT JOIN t ON t.mount = o.mount AND t.pos = o.pos")
+def federated_view(hits, revisions):
+    return verify.federated(*_view(hits, revisions), 60)
+
+
+@query("hits", "revisions", sql=VIEW + " SELECT m.semantic_key, m.memory_id, own AS shadowed_by FROM m JOIN mine USING (semantic_key)")
+def shadowed_keys(hits, revisions):
+    _, old, own = _view(hits, revisions)
+    return verify.shadowed(own, old).select("semantic_key", "memory_id", "shadowed_by")
+
+
+# Outbox.
+
+NOW = f"TIMESTAMP '{EARLY}'"
+
+
+@query("outbox", sql=f"SELECT outbox_id, memory_id, revision, status FROM outbox o WHERE ns = 'ns1' AND ((status IN ('PENDING', 'FAILED') AND (next_attempt_at IS NULL OR next_attempt_at <= {NOW})) OR (status = 'PROCESSING' AND lease_until <= {NOW})) AND NOT EXISTS (SELECT 1 FROM outbox e WHERE e.memory_id = o.memory_id AND e.revision < o.revision AND e.status <> 'DONE') ORDER BY created_at, outbox_id LIMIT 25")
+def outbox_claimable(outbox):
+    return queue.claimable(outbox, "ns1", at(EARLY), 25).select("outbox_id", "memory_id", "revision", "status")
+
+
+@query("outbox", sql="SELECT outbox_id, status, coalesce(max(CAST(status <> 'DONE' AS INT)) OVER (PARTITION BY memory_id ORDER BY revision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS blocked FROM outbox")
+def outbox_fifo_gate(outbox):
+    return queue.gated(outbox).select("outbox_id", "status", "blocked")
+
+
+@query("outbox", sql=f"""+ r AS (SELECT outbox_id, CASE WHEN revision % 3 = 0 THEN 'w9' ELSE claimed_by END AS worker, token AS tok, revision % 4 <> 0 AS all_current, CASE WHEN revision % 7 = 0 THEN 'timeout' END AS error FROM outbox WHERE revision % 2 = 0),
+ j AS (SELECT o.*, r.*, coalesce(status = 'PROCESSING' AND claimed_by = worker AND token = tok AND lease_until > {NOW}, false) AS accepted FROM outbox o LEFT JOIN r ON r.outbox_id = o.outbox_id)
+ SELECT outbox_id, accepted, CASE WHEN NOT accepted THEN status WHEN error IS NULL AND all_current THEN 'DONE' ELSE 'FAILED' END AS new_status FROM j""")
+def outbox_settle_fold(outbox):
+    results = outbox.where("revision % 2 = 0").select(
+        "outbox_id", F.when(F.col("revision") % 3 == 0, "w9").otherwise(F.col("claimed_by")).alias("worker"), "token", (F.col("revision") % 4 != 0).alias("all_current"), F.when(F.col("revision") % 7 == 0, "timeout").alias("error")
+    )
+    return queue.settled(outbox, results, at(EARLY)).select("outbox_id", "accepted", "new_status")
+
+
+@query("materializations", sql="SELECT provider, memory_id, max(canonical_revision) AS canonical_revision, max(canonical_revision) FILTER (outcome = 'CURRENT') AS materialized_revision, arg_max(outcome, settled_at) AS status FROM materializations GROUP BY provider, memory_id")
+def materialization_state(materializations):
+    return queue.materialized(materializations)
+
+
+@query("outbox", "revisions", sql="SELECT concat('evt_', substr(sha256(concat(o.outbox_id, chr(31), r.commit_seq)), 1, 32)) AS event_id, o.outbox_id, o.memory_id, o.revision, r.commit_seq, CASE WHEN r.op = 'tombstone' THEN 'DELETE' ELSE 'UPSERT' END AS kind FROM outbox o JOIN revisions r USING (memory_id, revision) WHERE o.status <> 'DONE'")
+def materialization_events(outbox, revisions):
+    return queue.events(outbox.where("status <> 'DONE'"), revisions)
+
+
+# Receipts and curation.
+
+
+@query("receipts", sql="SELECT source_id, receipt_id, status FROM receipts QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY updated_at DESC, receipt_id DESC) = 1")
+def latest_receipt(rows):
+    return receipts.latest_receipts(rows, ["source_id"]).select("source_id", "receipt_id", "status")
+
+
+ROLLUP = """+ u AS (SELECT r.receipt_id, c.outcome, c.canonical_id, c.exact_duplicate FROM receipts r LEFT JOIN curation c USING (receipt_id)),
+ s AS (SELECT receipt_id, count(outcome) AS units, count(*) FILTER (outcome = 'pending_review') AS pending, count(canonical_id) AS canonical, count(*) FILTER (exact_duplicate) AS duplicates, count(*) FILTER (outcome = 'supporting_evidence_only') AS supporting, count(*) FILTER (outcome = 'rejected') AS rejected FROM u GROUP BY receipt_id)"""
+
+
+@query("receipts", "curation", sql=ROLLUP + " SELECT receipt_id, units, CASE WHEN pending > 0 THEN 'pending_review' WHEN canonical > 0 THEN 'committed' WHEN units = 0 THEN 'no_memory_worthy_content' WHEN duplicates > 0 AND supporting = units THEN 'superseded' WHEN rejected = units THEN 'rejected' ELSE 'no_memory_worthy_content' END AS outcome, CASE WHEN pending > 0 THEN 'awaiting_review' ELSE 'complete' END AS status FROM s")
+def receipt_rollup(rows, curation):
+    units = rows.select("receipt_id").join(curation.select("receipt_id", "outcome", "canonical_id", "exact_duplicate"), "receipt_id", "left")
+    return receipts.rolled_up(units).select("receipt_id", "units", "outcome", "status")
+
+
+@query("curation", sql="SELECT receipt_id, arg_min(memory_type, unit_ref) AS source_type, arg_max(outcome, unit_ref) AS status, arg_min(relation, unit_ref) FILTER (relation IS NOT NULL) AS archive, coalesce(array_to_string(list_sort(list(DISTINCT canonical_id) FILTER (canonical_id IS NOT NULL)), ','), '') AS canonical_ids, count(*) AS writes FROM curation GROUP BY receipt_id")
+def receipt_upsert_merge(curation):
+    none = F.array().cast("array<string>")
+    versions = curation.select("receipt_id", F.col("unit_ref").alias("seq"), F.col("memory_type").alias("source_type"), F.col("outcome").alias("status"), F.col("relation").alias("archive"), F.when(F.col("canonical_id").isNull(), none).otherwise(F.array("canonical_id")).alias("canonical_ids"))
+    return receipts.upserted(versions).withColumn("canonical_ids", F.array_join("canonical_ids", ","))
+
+
+@query("curation", sql="+ u AS (SELECT DISTINCT receipt_id, unit_ref FROM curation WHERE unit_ref <> 3), p AS (SELECT receipt_id, CASE WHEN unit_ref = 5 THEN 1 ELSE unit_ref END AS unit_ref FROM curation), pc AS (SELECT receipt_id, unit_ref, count(*) AS n FROM p GROUP BY ALL) SELECT receipt_id, unit_ref, CASE WHEN u.receipt_id IS NULL THEN 'unknown_unit' WHEN n IS NULL THEN 'missing_proposal' ELSE 'duplicate_proposal' END AS problem FROM (SELECT *, 1 AS k FROM u) u FULL JOIN pc USING (receipt_id, unit_ref) WHERE k IS NULL OR n IS NULL OR n > 1".replace("u.receipt_id IS NULL", "k IS NULL"))
+def curation_coverage(curation):
+    units = curation.where("unit_ref <> 3").select("receipt_id", "unit_ref")
+    return receipts.coverage(units, curation.select("receipt_id", F.when(F.col("unit_ref") == 5, 1).otherwise(F.col("unit_ref")).alias("unit_ref")))
+
+
+@query("curation", sql="SELECT policy, count(*) AS units, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in receipts.OUTCOMES) + " FROM curation GROUP BY policy")
+def curation_outcomes(curation):
+    return receipts.outcome_totals(curation, ["policy"])
+
+
+@query("curation", sql="+ w AS (SELECT receipt_id AS record_id, unit_ref AS seq, outcome, canonical_id FROM curation), f AS (SELECT *, coalesce(max(CAST(canonical_id IS NOT NULL AS INT)) OVER (PARTITION BY record_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS named FROM w) SELECT record_id, seq, outcome, canonical_id FROM f WHERE NOT (named = 1 AND canonical_id IS NULL) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) = 1")
+def curation_sticky(curation):
+    return receipts.sticky(curation.select(F.col("receipt_id").alias("record_id"), F.col("unit_ref").alias("seq"), "outcome", "canonical_id"))
+
+
+PRUNE = """+ s AS (SELECT DISTINCT source_id FROM receipts UNION ALL SELECT 's_none'), l AS (SELECT * FROM receipts QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY updated_at DESC, receipt_id DESC) = 1),
+ j AS (SELECT s.source_id, receipt_id, CASE WHEN receipt_id IS NULL THEN 'no_distillation_receipt' ELSE concat_ws(',', CASE WHEN status <> 'complete' THEN concat('receipt_status_', status) END, CASE WHEN retention_policy <> 'v1' THEN 'retention_policy_version_mismatch' END,
+ CASE WHEN admission_policy <> 'v1' THEN 'admission_policy_version_mismatch' END, CASE WHEN status <> 'complete' THEN 'receipt_not_complete' END, CASE WHEN NOT canonical_final THEN 'canonicalization_not_final' END, CASE WHEN archive_checksum IS NULL THEN 'raw_archive_not_recorded' END,
+ CASE WHEN NOT coverage_complete THEN 'curation_coverage_incomplete' END, CASE WHEN NOT admission_complete THEN 'canonical_admission_incomplete' END, CASE WHEN decisions <> units THEN 'curation_decision_count_mismatch' END, CASE WHEN outcomes <> units THEN 'curation_outcome_count_mismatch' END,
+ CASE WHEN pending > 0 THEN 'pending_review_present' END, CASE WHEN archive_checksum IS NOT NULL AND NOT archive_valid THEN 'raw_archive_verification_failed' END) END AS reasons FROM s LEFT JOIN l ON l.source_id = s.source_id)
+ SELECT source_id, receipt_id, reasons = '' AS eligible, reasons FROM j"""
+
+
+@query("receipts", sql=PRUNE)
+def prune_eligibility(rows):
+    sources = rows.select("source_id").distinct().unionAll(rows.sparkSession.range(1).select(F.lit("s_none").alias("source_id")))
+    return receipts.prunable(rows, sources, "v1", "v1").withColumn("reasons", F.array_join("reasons", ","))
+
+
+# Review and insights.
+
+RECORDS = "rec AS (SELECT record_id, CASE WHEN kind = 'pending_review' THEN 'pending_review' ELSE 'canonical_candidate' END AS outcome, concat('v', doc_id % 2) AS policy, doc_id FROM labelled), cs AS (SELECT * FROM labelled WHERE doc_id % 13 <> 0)"
+
+
+def _records(labelled):
+    rec = labelled.select("record_id", F.when(F.col("kind") == "pending_review", "pending_review").otherwise("canonical_candidate").alias("outcome"), F.concat(F.lit("v"), (F.col("doc_id") % 2).cast("string")).alias("policy"))
+    return rec, labelled.where("doc_id % 13 <> 0")
+
+
+@query("labelled", sql=f"""+ {RECORDS}, x AS (SELECT (SELECT count(*) FROM rec) <> 100 AS curation_coverage_mismatch, (SELECT count(*) FILTER (policy <> 'v1') FROM rec) > 0 AS semantic_policy_mismatch, false AS review_case_source_mismatch,
+ (SELECT count(*) FROM rec WHERE outcome = 'pending_review' AND record_id NOT IN (SELECT record_id FROM cs)) > 0 AS pending_review_not_queued, (SELECT count(*) FILTER (outcome = 'pending_review') FROM rec) > 0 AS pending_review_outcomes_present,
+ (SELECT count(*) FILTER (state <> 'resolved') FROM cs) > 0 AS unresolved_review_cases, (SELECT count(*) FILTER (kind = 'canary_sample' AND disposition = 'approved_as_classified') FROM cs) < 1 AS insufficient_approved_samples,
+ (SELECT count(*) FILTER (disposition = 'misclassified') FROM cs) > 0 AS misclassification_detected, (SELECT count(*) FILTER (kind = 'pending_review' AND canonical_id IS NOT NULL) FROM cs) > 0 AS review_case_crossed_canonical_boundary)
+ SELECT *, NOT ({' OR '.join(review.GATE_FLAGS)}) AS eligible FROM x""")
+def canary_gate(labelled):
+    return review.canary_gate(*_records(labelled), "v1", 100)
+
+
+@query("curation", sql=" UNION ALL ".join(f"SELECT '{d}' AS dimension, {v} AS value, count(*) AS n FROM curation GROUP BY ALL" for d, v in (("memory_type", "memory_type"), ("speaker", "speaker"), ("epistemic_status", "epistemic_status"), ("outcome", "outcome"), ("relation", "coalesce(relation, 'none')"))))
+def canary_telemetry(curation):
+    return review.telemetry(curation)
+
+
+@query("receipts", sql="SELECT source_id AS case_id, receipt_id AS event_id, row_number() OVER (PARTITION BY source_id ORDER BY updated_at, receipt_id) AS version FROM receipts")
+def review_lineage(rows):
+    events = rows.select(F.col("source_id").alias("case_id"), F.col("receipt_id").alias("event_id"), F.col("updated_at").alias("occurred_at"))
+    return review.lineage(events).select("case_id", "event_id", "version")
+
+
+@query("labelled", sql=f"+ {RECORDS} SELECT record_id, policy FROM rec WHERE outcome = 'pending_review' AND record_id NOT IN (SELECT record_id FROM cs)")
+def review_pending_not_queued(labelled):
+    return review.pending_not_queued(*_records(labelled)).select("record_id", "policy")
+
+
+@query("labelled", sql="""+ d AS (SELECT case_id, kind, CASE WHEN kind = 'canary_sample' THEN CASE WHEN doc_id % 3 = 0 THEN 'needs_more_evidence' WHEN doc_id % 3 = 1 THEN 'approved_as_classified' ELSE 'invalid_candidate' END ELSE CASE WHEN doc_id % 2 = 0 THEN 'confirmed_unrelated' ELSE 'misclassified' END END AS d1, doc_id FROM labelled),
+ s AS (SELECT *, CASE WHEN kind = 'canary_sample' THEN d1 IN ('needs_more_evidence', 'approved_as_classified') ELSE d1 = 'confirmed_unrelated' END AND doc_id % 7 <> 0 AS ok FROM d),
+ t AS (SELECT *, ok AND d1 = 'needs_more_evidence' AS again FROM s)
+ SELECT case_id, kind, CASE WHEN again THEN 'resolved' WHEN ok THEN 'resolved' ELSE 'queued' END AS state, CAST(CASE WHEN again THEN 3 WHEN ok THEN 2 ELSE 1 END AS BIGINT) AS version, CASE WHEN again THEN 'misclassified' WHEN ok THEN d1 END AS disposition FROM t""")
+def review_fold(labelled):
+    sample = F.col("kind") == "canary_sample"
+    third, even = F.col("doc_id") % 3, F.col("doc_id") % 2 == 0
+    first = F.when(sample, F.when(third == 0, "needs_more_evidence").when(third == 1, "approved_as_classified").otherwise("invalid_candidate")).otherwise(F.when(even, "confirmed_unrelated").otherwise("misclassified"))
+    cites = F.array(F.when(F.col("doc_id") % 7 != 0, "curation:1").otherwise("note:1"))
+    one = labelled.select("case_id", F.lit(1).alias("pos"), F.lit(1).cast("long").alias("expected_version"), first.alias("disposition"), cites.alias("evidence"))
+    two = labelled.where(sample).select("case_id", F.lit(2).alias("pos"), F.lit(2).cast("long").alias("expected_version"), F.lit("misclassified").alias("disposition"), F.array(F.lit("curation:2")).alias("evidence"))
+    return review.resolved(labelled.select("case_id", "kind"), one.unionByName(two))
+
+
+@query("labelled", sql="SELECT coalesce(disposition, 'none') AS disposition, count(*) AS n FROM labelled GROUP BY 1")
+def disposition_tally(labelled):
+    return review.disposition_tally(labelled)
+
+
+@query("receipts", sql="SELECT source_id AS insight_id, count(*) AS n FROM receipts GROUP BY 1 HAVING count(*) > 1")
+def duplicate_promotions(rows):
+    return review.duplicate_promotions(rows.select(F.col("source_id").alias("insight_id")))
+
+
+INSIGHTS = """i AS (SELECT o_orderkey AS k, receipt_id AS insight_id, o_orderkey % 4 <> 0 AS has_m, o_orderkey % 5 <> 0 AS has_e, o_orderkey % 3 = 0 AS contra, (o_orderkey % 100) / 100.0 AS confidence, CASE WHEN status = 'complete' THEN 'accepted' ELSE 'pending' END AS st FROM receipts)"""
+
+
+def _insights(rows):
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    some = lambda test, *ids: F.when(test, F.array(*ids)).otherwise(none)
+    return rows.select(
+        F.col("receipt_id").alias("insight_id"),
+        some(k % 4 != 0, F.concat(F.lit("mem_"), (k % 150).cast("string"))).alias("memory_ids"),
+        some(k % 5 != 0, F.concat(F.lit("evidence:"), (k % 300).cast("string"))).alias("evidence_ids"),
+        some(k % 3 == 0, F.lit("mem_0")).alias("contradicting_ids"),
+        ((k % 100) / 100).alias("confidence"),
+        F.when(F.col("status") == "complete", "accepted").otherwise("pending").alias("status"),
+    )
+
+
+@query("receipts", sql=f"""+ {INSIGHTS}, r AS (SELECT insight_id, has_m AND has_e AND confidence >= 0.75 AS evidence_closure, concat_ws(',', CASE WHEN NOT has_m THEN 'promotion:no_supporting_memories' END, CASE WHEN NOT has_e THEN 'promotion:no_supporting_evidence' END,
+ CASE WHEN confidence < 0.75 THEN 'promotion:confidence_below_threshold' END, CASE WHEN contra THEN 'promotion:unresolved_contradictions' END, CASE WHEN st <> 'accepted' THEN 'promotion:explicit_acceptance_required' END) AS reasons FROM i)
+ SELECT insight_id, reasons = '' AS eligible, evidence_closure, CASE WHEN reasons = '' THEN 'promotion:evidence_closed_and_explicitly_accepted' ELSE reasons END AS reasons FROM r""")
+def promotion_gate(rows):
+    return review.promotion_gate(_insights(rows)).select("insight_id", "eligible", "evidence_closure", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("receipts", "revisions", sql=f"""+{HEADS}, {INSIGHTS}, m AS (SELECT insight_id, CASE WHEN has_m THEN concat('mem_', k % 150) END AS mem, CASE WHEN has_e THEN concat('evidence:', k % 300) END AS ev FROM i), e AS (SELECT DISTINCT memory_id, concat('evidence:', event_id % 300) AS ev FROM revisions)
+ SELECT insight_id, CASE WHEN mem IS NOT NULL AND coalesce(status, '') <> 'active' THEN mem ELSE '' END AS inactive, CASE WHEN m.ev IS NOT NULL AND e.ev IS NULL THEN m.ev ELSE '' END AS missing,
+ NOT (mem IS NOT NULL AND coalesce(status, '') <> 'active') AND NOT (m.ev IS NOT NULL AND e.ev IS NULL) AS closed FROM m LEFT JOIN heads h ON h.memory_id = mem LEFT JOIN e ON e.memory_id = mem AND e.ev = m.ev""")
+def evidence_closure(rows, revisions):
+    evidence = revisions.select("memory_id", F.concat(F.lit("evidence:"), (F.col("event_id") % 300).cast("string")).alias("evidence_id")).distinct()
+    out = review.evidence_closure(_insights(rows), records.heads(revisions), evidence)
+    return out.select("insight_id", F.array_join("inactive", ",").alias("inactive"), F.array_join("missing", ",").alias("missing"), "closed")
+
+
+# Statements.
+
+
+def _typed(s, ascii_only=False):
+    t = F.col("text")
+    return s.withColumn("memory_type", semantics.memory_type(t, F.col("candidate_type"), ascii_only)).withColumn("speaker", semantics.speaker(F.lit(None).cast("string"), F.col("producer")))
+
+
+def _rx(pattern, text="text"):
+    """A pattern as DuckDB's RE2, which has no look-ahead."""
+    body = pattern.replace("自動(?!化)", "自動").replace("'", "''")
+    return f"regexp_matches({text}, '{body}', 'i')"
+
+
+DURABLE_SQL = f"({_rx(fixed.DURABLE_SCOPE, 'replace(text, chr(33258) || chr(21205) || chr(21270), chr(32))')} AND {_rx(fixed.OPERATIONAL_BEHAVIOUR)})"
+ONE_SHOT_SQL = f"(NOT {DURABLE_SQL} AND ({' OR '.join(_rx(p) for p in fixed.ONE_SHOT)}))"
+EXPLICIT_SQL = f"(NOT {ONE_SHOT_SQL} AND ({DURABLE_SQL} OR (NOT (({_rx(fixed.TASK_REQUEST)} OR {_rx(fixed.PREFERENCE_EXPERIMENT)}) AND NOT {_rx(fixed.PREFERENCE_VERB)}) AND ({_rx(fixed.ACTOR_PREFERENCE)} OR {_rx(fixed.ACTOR_NEGATIVE_PREFERENCE)} OR {_rx(fixed.ACTOR_PREFERENCE_NOUN)} OR {_rx(fixed.CHINESE_PREFERENCE)}))))"
+TYPE_SQL = f"""CASE WHEN {ONE_SHOT_SQL} THEN 'transient_state' WHEN {EXPLICIT_SQL} THEN 'preference' WHEN {_rx(fixed.TRANSIENT)} THEN 'transient_state' WHEN {_rx(fixed.COMPLETED_EVENT)} THEN 'event' WHEN {_rx(fixed.PROJECT)} THEN 'project_state'
+ WHEN {_rx(fixed.TECHNICAL)} THEN 'technical_fact' WHEN candidate_type = 'relationship_candidate' THEN 'relationship' WHEN candidate_type = 'project_state_candidate' THEN 'project_state' WHEN candidate_type = 'commitment_candidate' THEN 'commitment'
+ WHEN candidate_type = 'habit_candidate' THEN 'habit' WHEN candidate_type = 'event_candidate' THEN 'event' WHEN {_rx(fixed.EVENT)} THEN 'event' ELSE 'general_fact' END"""
+SPEAKER_SQL = "CASE WHEN producer IN ('user', 'system') THEN producer ELSE 'unknown' END"
+STATUS_SQL = """CASE WHEN epistemic_status = 'inferred' THEN 'inferred' WHEN epistemic_status = 'user_asserted' THEN CASE WHEN sp = 'user' AND ty IN ('preference', 'habit', 'relationship') THEN 'user_asserted' ELSE 'uncertain' END
+ WHEN epistemic_status = 'system_observed' THEN CASE WHEN sp = 'system' THEN 'system_observed' ELSE 'uncertain' END WHEN sp = 'system' THEN 'observed' ELSE 'uncertain' END"""
+TYPED = f"+ t AS (SELECT *, {TYPE_SQL} AS ty, {SPEAKER_SQL} AS sp, {ONE_SHOT_SQL} AS dir FROM statements)"
+
+
+@query("statements", sql=TYPED + f" SELECT doc_id, ty AS memory_type, sp AS speaker, {STATUS_SQL} AS status FROM t")
+def memory_type_classify(s):
+    out = _typed(s)
+    return out.select("doc_id", "memory_type", "speaker", semantics.epistemic_status(F.col("epistemic_status"), F.col("memory_type"), F.col("speaker")).alias("status"))
+
+
+@query("statements", sql=f"SELECT doc_id, {ONE_SHOT_SQL} AS one_shot, {DURABLE_SQL} AS durable, {EXPLICIT_SQL} AS explicit_preference FROM statements")
+def one_shot_directives(s):
+    t = F.col("text")
+    return s.select("doc_id", semantics.one_shot_directive(t).alias("one_shot"), semantics.durable_rule(t).alias("durable"), semantics.explicit_preference(t).alias("explicit_preference"))
+
+
+@query("statements", sql=f"SELECT doc_id, CASE WHEN {_rx(fixed.GENERAL_NEGATIVE)} AND {_rx(fixed.GENERAL_POSITIVE)} THEN 'unknown' WHEN {_rx(fixed.GENERAL_NEGATIVE)} THEN 'negative' ELSE 'affirmative' END AS polarity FROM statements")
+def polarity(s):
+    return s.select("doc_id", semantics.polarity(F.col("text"), F.lit(None).cast("string")).alias("polarity"))
+
+
+@query("statements", sql="SELECT doc_id, concat('semantic:', sha256(concat('{\"memoryKind\":\"', source, '\",\"memoryType\":\"fact\",\"text\":\"', trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g')), '\"}'))) AS semantic_key FROM statements WHERE regexp_full_match(text, '[ -~]*')")
+def semantic_key_exact(s):
+    ascii_rows = s.where(F.col("text").rlike("^[ -~]*$"))
+    return ascii_rows.select("doc_id", semantics.semantic_key(F.col("text"), F.lit("fact"), F.col("source"), F.lit(None).cast("string"), ascii_only=True).alias("semantic_key"))
+
+
+@query("statements", sql=TYPED + f""", p AS (SELECT *, {STATUS_SQL} AS st, CASE WHEN ty = 'transient_state' OR dir THEN 'transient' WHEN candidate_type IN ('preference_candidate', 'relationship_candidate', 'habit_candidate') THEN 'durable' WHEN candidate_type IN ('commitment_candidate', 'project_state_candidate') THEN 'time_bounded' WHEN candidate_type = 'event_candidate' THEN 'transient' ELSE 'unknown' END AS du FROM t),
+ c AS (SELECT *, CASE WHEN st NOT IN ('inferred', 'synthesized', 'uncertain') AND du = 'durable' THEN 'canonical_candidate' ELSE 'supporting_evidence_only' END AS pr FROM p)
+ SELECT doc_id, du AS durability, CASE WHEN dir THEN 'supporting_evidence_only' WHEN st <> epistemic_status THEN 'pending_review' WHEN pr <> 'canonical_candidate' THEN pr WHEN doc_id % 9 = 0 THEN 'rejected' ELSE 'canonical_candidate' END AS outcome FROM c""")
+def admission_outcomes(s):
+    out = _typed(s)
+    t, raw = F.col("text"), F.col("epistemic_status")
+    directive = semantics.one_shot_directive(t)
+    status = semantics.epistemic_status(raw, F.col("memory_type"), F.col("speaker"))
+    lasting = semantics.durability(F.col("memory_type"), F.col("candidate_type"), directive)
+    out = out.withColumns({"d": directive, "st": status, "du": lasting})
+    proposed = semantics.curation_outcome(F.col("st"), F.col("du"))
+    valid = semantics.attribution_valid(raw, F.lit("semantic_policy"), F.col("st"), t, F.lit(None).cast("string"))
+    decided = semantics.admission(F.col("d"), valid, F.lit("new"), proposed, F.col("doc_id") % 9 != 0, F.col("du"), F.col("st"), F.lit(False))
+    return out.select("doc_id", F.col("du").alias("durability"), decided["outcome"].alias("outcome"))
+
+
+@query("statements", sql="SELECT doc_id, CASE WHEN doc_id % 6 = 0 OR doc_id % 10 = 0 THEN 'reject' WHEN epistemic_status = 'inferred' THEN 'reject' ELSE 'commit' END AS action, CASE WHEN doc_id % 6 = 0 OR doc_id % 10 = 0 THEN 'missing_grounding' WHEN epistemic_status = 'inferred' THEN 'inferred_requires_explicit_review' ELSE 'evidence_bound_candidate' END AS reason FROM statements")
+def governance(s):
+    g = semantics.governance(F.col("doc_id") % 6, F.col("doc_id") % 10, F.col("epistemic_status"))
+    return s.select("doc_id", g["action"].alias("action"), g["reason"].alias("reason"))
+
+
+@query("statements", sql=f"SELECT source, count(*) AS n FROM statements WHERE {ONE_SHOT_SQL} GROUP BY source")
+def contamination_scan(s):
+    return s.where(semantics.one_shot_directive(F.col("text"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("statements")
+def token_relation(s):
+    pairs = s.where("doc_id < 40").select(F.col("doc_id").alias("a"), F.col("text").alias("x")).join(s.where("doc_id < 40").select(F.col("doc_id").alias("b"), F.col("text").alias("y")), F.col("a") < F.col("b"))
+    c = lambda t: semantics.concept(semantics.matched_concepts(F.col(t), F.lit("preference"), F.lit("user")))
+    pairs = pairs.withColumns({"cx": c("x"), "cy": c("y")})
+    return pairs.select("a", "b", semantics.relation(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")).alias("relation"))
+
+
+@query("statements", sql="SELECT doc_id, text, count(*) OVER (PARTITION BY text) - 1 AS others FROM statements QUALIFY count(*) OVER (PARTITION BY text) > 1")
+def duplicate_candidates(s):
+    counts = s.groupBy("text").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    return s.join(counts, "text").select("doc_id", "text", "others")
+
+
+# Commit.
+
+
+@query("revisions")
+def commit_fold(revisions):
+    c = revisions.where("revision <= 6").select(
+        "ns", "semantic_key", F.concat(F.lit("cand_"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("candidate_id"), F.col("valid_from").alias("created_at"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("idempotency_key"), "op",
+        F.when(F.col("op") != "create", F.col("revision") - 1 - F.when(F.col("event_id") % 9 == 0, 1).otherwise(0)).alias("base_revision"),
+    )
+    spark = revisions.sparkSession
+    heads = spark.createDataFrame([], "ns string, semantic_key string, revision long, status string")
+    changes = spark.createDataFrame([], "ns string, idempotency_key string")
+    marks = spark.createDataFrame([], "ns string, high_water long")
+    return commit.folded(c, heads, changes, marks).select("ns", "semantic_key", "candidate_id", "op", "outcome", "revision", "status", "commit_seq")
+
+
+@query("curation", sql="SELECT receipt_id AS memory_id, memory_type AS source_type, speaker AS source_ref, arg_max(outcome, unit_ref) AS note, min(unit_ref) AS first_pos FROM curation GROUP BY ALL")
+def evidence_union(curation):
+    rows = curation.select(F.col("receipt_id").alias("memory_id"), F.col("unit_ref").alias("pos"), F.col("memory_type").alias("source_type"), F.col("speaker").alias("source_ref"), F.col("outcome").alias("note"))
+    return commit.united_evidence(rows)
+
+
+@query("revisions", sql="""SELECT rule, count(*) AS n FROM (SELECT 'validity' AS rule FROM revisions WHERE valid_until < valid_from UNION ALL SELECT 'unique_key' FROM (SELECT ns, semantic_key FROM revisions WHERE event_id % 2 = 0 GROUP BY ALL HAVING count(*) > 1)
+ UNION ALL SELECT 'unique_sequence' FROM (SELECT ns, commit_seq % 3000 AS s FROM revisions GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'base_revision' FROM revisions WHERE (op = 'create') <> (revision = 1) ) GROUP BY rule""")
+def integrity_violations(revisions):
+    found = violations(
+        heads=revisions.where("event_id % 2 = 0"),
+        changes=revisions.withColumn("commit_seq", F.col("commit_seq") % 3000),
+        revisions=revisions,
+    )
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Sessions.
+
+
+@query("messages", sql="SELECT session_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS actors, count(*) FILTER (role = 'user') AS n_user, count(*) FILTER (role = 'assistant') AS n_assistant, count(*) FILTER (role NOT IN ('user', 'assistant')) AS n_other, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM messages GROUP BY session_id")
+def session_normalize(m):
+    return sessions.normalized(m).select("session_id", F.array_join("actors", ",").alias("actors"), "n_user", "n_assistant", "n_other", "n_chars")
+
+
+@query("messages", sql="SELECT session_id, count(*) AS n, count(*) FILTER (role = 'user') AS n_user, max(pos) AS last_pos FROM messages GROUP BY session_id")
+def session_counters(m):
+    return m.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "user").alias("n_user"), F.max("pos").alias("last_pos"))
+
+
+FINGERPRINT = "f AS (SELECT session_id, sha256(string_agg(concat(pos, chr(31), role, chr(31), text), chr(30) ORDER BY pos)) AS fingerprint FROM messages GROUP BY session_id)"
+
+
+@query("messages", sql=f"+ {FINGERPRINT} SELECT session_id, CASE WHEN session_id % 4 = 0 THEN 'new' WHEN session_id = 1 THEN 'changed' ELSE 'unchanged' END AS change FROM f UNION ALL SELECT -1, 'gone'")
+def fingerprint_diff(m):
+    now = sessions.fingerprinted(sessions.normalized(m))
+    old = now.where("session_id % 4 <> 0").select("session_id", F.when(F.col("session_id") == 1, "other").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    gone = old.sparkSession.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit("x").alias("fingerprint"))
+    return sessions.differing(now, old.unionAll(gone))
+
+
+@query("messages", sql=f"+ {FINGERPRINT} SELECT * FROM f")
+def session_fingerprint(m):
+    return sessions.fingerprinted(sessions.normalized(m)).select("session_id", "fingerprint")
+
+
+@query("receipts", sql="+ u AS (SELECT source_id AS migration, o_orderkey AS pos, o_orderkey % 5 <> 0 AS ok FROM receipts) SELECT migration, pos FROM (SELECT *, sum(CAST(NOT ok AS INT)) OVER (PARTITION BY migration ORDER BY pos) AS f FROM u) WHERE f = 0")
+def migration_prefix(rows):
+    units = rows.select(F.col("source_id").alias("migration"), F.col("o_orderkey").alias("pos"), (F.col("o_orderkey") % 5 != 0).alias("ok"))
+    return sessions.migrated_prefix(units).select("migration", "pos")
+
+
+ELIGIBLE = "s AS (SELECT session_id, count(*) AS n, sum(length(text)) FILTER (trim(text) <> '') AS chars, count(*) FILTER (trim(text) <> '') AS texts FROM messages GROUP BY session_id)"
+
+
+@query("messages", sql=f"+ {ELIGIBLE} SELECT session_id, CASE WHEN session_id % 10 = 0 THEN 'hidden_session' WHEN texts = 0 THEN 'no_textual_evidence' WHEN n > 8 THEN 'event_limit' WHEN chars > 2000 THEN 'char_limit' ELSE 'eligible' END AS reason FROM s")
+def eligibility(m):
+    rows = sessions.normalized(m).withColumn("hidden", F.col("session_id") % 10 == 0)
+    return sessions.eligible(rows, 8, 2000).select("session_id", "reason")
+
+
+@query("messages", sql="+ u AS (SELECT session_id, sum(length(text)) FILTER (trim(text) <> '' AND role = 'user') AS chars, count(*) FILTER (trim(text) <> '' AND role = 'user') AS n, count(*) FILTER (trim(text) <> '') AS texts FROM messages GROUP BY session_id) SELECT session_id, CASE WHEN texts = 0 THEN 'no_textual_evidence' WHEN n = 0 THEN 'no_user_text' WHEN n > 4 THEN 'event_limit' WHEN chars > 800 THEN 'char_limit' ELSE 'eligible' END AS reason FROM u")
+def eligibility_direct(m):
+    rows = sessions.normalized(m).withColumn("hidden", F.lit(False))
+    return sessions.eligible(rows, 4, 800, direct_only=True).select("session_id", "reason")
+
+
+@query("messages", sql="+ s AS (SELECT session_id, concat(string_agg(text, chr(10) ORDER BY pos), ' the bug and error in this project repo, so I like it instead') AS t, count(*) AS n FROM messages GROUP BY session_id) SELECT session_id, " + ", ".join(f"CAST({' + '.join(f'CAST(contains(lower(t), {chr(39)}{w}{chr(39)}) AS INT)' for w in words)} AS BIGINT) AS {k}_hits" for k, words in sessions.KEYWORDS.items()) + " FROM s")
+def session_scores(m):
+    rows = sessions.normalized(m)
+    text = F.concat(F.array_join(F.col("events")["text"], "\n"), F.lit(" the bug and error in this project repo, so I like it instead"))
+    out = sessions.keyword_scores(rows, text, F.size("events"))
+    return out.select("session_id", *(F.col(f"{k}_hits").cast("long").alias(f"{k}_hits") for k in sessions.KEYWORDS))
+
+
+@query("receipts", sql=f"SELECT receipt_id, CASE WHEN o_orderkey % 7 = 0 THEN 'defer:journal_tail_incomplete' WHEN o_orderkey % 3 = 0 THEN 'source_only:no_user_authored_text' WHEN o_orderkey % 11 = 0 THEN 'defer:missing_last_modified_time' WHEN epoch(TIMESTAMP '1995-06-01 00:00:00') - epoch(updated_at) < 300 THEN 'defer:session_not_idle' ELSE 'distill' END AS decision FROM receipts")
+def incremental_decision(rows):
+    k = F.col("o_orderkey")
+    modified = F.when(k % 11 != 0, F.col("updated_at").cast("timestamp"))
+    d = sessions.decision(k % 7 == 0, k % 3, modified, F.lit("1995-06-01 00:00:00").cast("timestamp"))
+    return rows.select("receipt_id", d.alias("decision"))
+
+
+@query("messages", sql="SELECT session_id, string_agg(concat('[', role, '] ', trim(text)), chr(10) || chr(10) ORDER BY pos) AS transcript FROM messages WHERE trim(text) <> '' GROUP BY session_id")
+def session_transcript(m):
+    return sessions.normalized(m).select("session_id", sessions.transcript().alias("transcript")).where("transcript <> ''")
+
+
+@query("messages")
+def session_chunks(m):
+    return sessions.packed(sessions.normalized(m), 600, 4)
+
+
+@query("messages")
+def window_merge(m):
+    prior = m.where("pos < 4").withColumn("side", F.lit(0))
+    return sessions.published(prior.unionByName(m.where("pos >= 2").withColumn("side", F.lit(1))))
+
+
+@query("receipts")
+def capture_outcomes(rows):
+    s = rows.select(
+        F.col("source_id").alias("conversation_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("rev"), (F.col("o_orderkey") % 4).cast("string")).alias("revision"), F.unix_timestamp(F.col("updated_at").cast("timestamp")).alias("updated_at"),
+        F.when(F.col("status") == "complete", "completed").when(F.col("status") == "failed", "archived").otherwise("active").alias("status"), F.concat(F.lit("d"), (F.col("o_orderkey") % 6).cast("string")).alias("digest"),
+    )
+    return sessions.capture_outcomes(s)
+
+
+# Graph.
+
+EDGES = f"""+{HEADS}, a AS (SELECT concat('memory:', memory_id) AS src, CASE WHEN revision % 3 = 0 THEN 'project_state' ELSE 'general_fact' END AS ty, concat('class', revision % 2) AS cl, memory_kind AS ki, CASE WHEN revision % 4 = 0 THEN 'user' ELSE 'unknown' END AS sp, concat('src', event_id % 20) AS so FROM heads WHERE status = 'active'),
+ f AS (SELECT src, 'concerns' AS type, concat('memory-type:', ty) AS dst FROM a UNION SELECT src, 'concerns', concat('memory-class:', cl) FROM a UNION SELECT src, 'related_to', concat('memory-kind:', ki) FROM a UNION SELECT src, 'concerns', concat('speaker:', sp) FROM a WHERE sp <> 'unknown'
+ UNION SELECT src, 'belongs_to_project', concat('project:', ki) FROM a WHERE ty = 'project_state' UNION SELECT src, 'derived_from', concat('source:', so) FROM a), e AS (SELECT * FROM f UNION ALL SELECT dst, CASE WHEN type = 'derived_from' THEN 'supports' ELSE type END, src FROM f)"""
+
+
+def _edges(revisions):
+    r = F.col("revision")
+    rows = records.heads(revisions).select(
+        "memory_id", "status", F.when(r % 3 == 0, "project_state").otherwise("general_fact").alias("memory_type"), F.concat(F.lit("class"), (r % 2).cast("string")).alias("memory_class"), "memory_kind",
+        F.when(r % 4 == 0, "user").otherwise("unknown").alias("speaker"), F.array(F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string"))).alias("sources"),
+    )
+    return graph.edges(rows)
+
+
+@query("revisions", sql=EDGES + " SELECT * FROM e")
+def graph_edges(revisions):
+    return _edges(revisions)
+
+
+@query("revisions", sql=EDGES + " SELECT src AS id, count(*) AS out_degree, split_part(src, ':', 1) AS kind FROM e GROUP BY src")
+def graph_nodes(revisions):
+    return graph.nodes(_edges(revisions))
+
+
+@query("revisions", sql=EDGES + " SELECT dst, src, type FROM e WHERE dst LIKE 'speaker:%'")
+def graph_dangling(revisions):
+    e = _edges(revisions)
+    return graph.dangling(e, graph.nodes(e).where("kind <> 'speaker'"))
+
+
+@query("statements", sql="+ d AS (SELECT concat('p', doc_id) AS path, md5(text) AS h FROM statements WHERE doc_id % 5 <> 0), o AS (SELECT concat('p', doc_id) AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(text) END AS g FROM statements WHERE doc_id % 3 <> 0) SELECT path, CASE WHEN h IS NULL THEN 'removed' WHEN g IS NOT DISTINCT FROM h THEN 'unchanged' ELSE 'written' END AS change FROM d FULL JOIN o USING (path)")
+def file_diff(s):
+    path = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path")
+    desired = s.where("doc_id % 5 <> 0").select(path, F.md5("text").alias("hash"))
+    existing = s.where("doc_id % 3 <> 0").select(path, F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.md5("text")).alias("hash"))
+    return graph.file_changes(desired, existing)
+
+
+@query("statements", sql="SELECT doc_id, trim(regexp_extract(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^[^。！？.!?]*')) AS title FROM statements")
+def titles(s):
+    return s.select("doc_id", graph.title(F.col("text"), "untitled").alias("title"))
+
+
+# Functions.
+
+
+@query("revisions", sql="SELECT event_id, concat('exp_', sha256(concat(ns, chr(31), memory_id, chr(31), event_id))) AS experience_id, concat('sha256:', sha256(concat('{\"text\":\"', memory_kind, ' ', event_id, '\"}'))) AS content_hash, md5(concat(memory_id, revision)) AS md5_id FROM revisions")
+def derived_ids(revisions):
+    return revisions.select(
+        "event_id", canon.joined_id("exp_", F.col("ns"), F.col("memory_id"), F.col("event_id").cast("string")).alias("experience_id"), canon.content_hash(F.concat_ws(" ", "memory_kind", F.col("event_id").cast("string"))).alias("content_hash"),
+        F.md5(F.concat("memory_id", F.col("revision").cast("string"))).alias("md5_id"),
+    )
+
+
+@query("statements", sql=f"SELECT count(*) FILTER ({_rx(fixed.TECHNICAL)}) AS technical, count(*) FILTER ({_rx(fixed.PROJECT)}) AS project, count(*) FILTER ({_rx(fixed.PLACEMENT)}) AS placement FROM statements")
+def pattern_counts(s):
+    t = F.col("text")
+    return s.agg(F.count_if(matches(t, fixed.TECHNICAL)).alias("technical"), F.count_if(matches(t, fixed.PROJECT)).alias("project"), F.count_if(matches(t, fixed.PLACEMENT)).alias("placement"))
