@@ -13,7 +13,7 @@ difference of its rows, so every bucket's share of a score is one number, and sc
 each Arrow batch.
 
 Null and empty texts have no words; they get the score of an empty passage. Rows with a null label or id are not
-learned from; if one label is missing altogether every text scores the share of label 1.
+learned from; if a label is missing altogether every text scores the share of label 1, 0 with no labels.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ PRIOR = 1.0
 #: One training text in so many is kept for calibration.
 CALIBRATE = 5
 #: Documents of each label learned from, about.
-SAMPLE = 4000
+SAMPLE = 2000
 _MIX = U(0x9E3779B97F4A7C15)
 
 
@@ -63,11 +63,16 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * _MIX) >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
 
 
+def _spans(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of words in padded text."""
+    word = text != 0
+    return np.flatnonzero(word[1:] & ~word[:-1]) + 1, np.flatnonzero(word[:-1] & ~word[1:]) + 1
+
+
 def _features(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Word begins and ends; for each n-gram size, and whole words: bucket at each place, first place and end of places by word."""
     word = text != 0
-    begin = np.flatnonzero(word[1:] & ~word[:-1]) + 1
-    end = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+    begin, end = _spans(text)
     wide = text.astype(U) + U(1)
     out = []
     h = wide.copy()
@@ -139,31 +144,39 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int =
     """Trains embeddings and softmax rows jointly."""
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.5
+        share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0)
-    # Words of the sample, each once, and the texts as numbers of them.
+    # Words of the sample, each once, and the texts as numbers of them. Arrays are of 32 bits, for the driver is small.
     text, bounds = _padded(*buffers(pa.array(texts)))
-    begin, end, _ = _features(text)
-    raw, number, tokens = text.tobytes(), {}, np.zeros(len(begin), np.int64)
+    begin, end = _spans(text)
+    raw, number, tokens = text.tobytes(), {}, np.zeros(len(begin), np.int32)
+    counts = np.diff(np.searchsorted(begin, bounds))
     for i, (b, e) in enumerate(zip(begin.tolist(), end.tolist())):
         tokens[i] = number.setdefault(raw[b:e], len(number))
-    counts = np.diff(np.searchsorted(begin, bounds))
+    del text, begin, end, raw
     some = counts > 0
     labels, counts = labels[some], counts[some]
-    vocabulary, spots = _padded(*buffers(pa.array([w.decode("utf-8", "replace") for w in number], pa.large_string())))
+    vocabulary, _ = _padded(*buffers(pa.array([w.decode("utf-8", "replace") for w in number], pa.large_string())))
     _, _, features = _features(vocabulary)
     bucket = np.concatenate([np.concatenate([b[f:t] for f, t in zip(first, last)]) if len(first) else b[:0] for b, first, last in features])
-    owner = np.concatenate([np.repeat(np.arange(len(first)), last - first) for _, first, last in features])
+    owner = np.concatenate([np.repeat(np.arange(len(first), dtype=np.int32), last - first) for _, first, last in features])
+    n_words = len(number)
+    del vocabulary, features, number
+    size = np.maximum(np.bincount(owner, minlength=n_words), 1)
     # Buckets that few texts have tell nothing about others.
-    text_no = np.repeat(np.arange(len(counts)), counts)
-    in_texts = np.bincount(np.unique(tokens * len(counts) + text_no) // len(counts), minlength=len(number))
+    seen = np.sort(tokens.astype(np.int64) * len(counts) + np.repeat(np.arange(len(counts)), counts))
+    in_texts = np.bincount(seen[np.append(True, seen[1:] != seen[:-1])] // len(counts), minlength=n_words)
+    del seen
     often = np.bincount(bucket, in_texts[owner], BUCKETS) >= LEAST_TEXTS
-    owner, bucket = owner[often[bucket]], bucket[often[bucket]]
-    used, bucket = np.unique(bucket, return_inverse=True)
-    size = np.maximum(np.bincount(owner, minlength=len(number)), 1)
+    kept = often[bucket]
+    owner, bucket = owner[kept], bucket[kept]
+    used = np.flatnonzero(often)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    bucket = place[bucket]
     starts, own = _passages(counts)
     lengths = np.diff(np.append(starts, len(tokens)))
-    passage = np.repeat(np.arange(len(starts)), lengths)
+    passage = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
     text_of = np.repeat(np.arange(len(counts)), np.diff(own))
     # Texts kept back from the embeddings, on which the worst passages are calibrated.
     back = np.arange(len(labels)) % CALIBRATE == 0
@@ -179,14 +192,14 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int =
     for step in range(1, rounds + 1):
         row = softmax[1] - softmax[0]
         length = np.sqrt(row @ row)
-        word = np.bincount(owner, (embedding @ row)[bucket], len(number)) / size
+        word = np.bincount(owner, (embedding @ row)[bucket], n_words) / size
         logit = bias + PASSAGE * np.bincount(passage, word[tokens], len(starts)) / lengths
         p = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
         if step == rounds // 2 or step == 3 * rounds // 4:
             # A toxic text's passages count by how toxic they look against its worst.
             share = np.where(target == 1, p / np.maximum.reduceat(p, own[:-1])[text_of], 1.0)
         wrong = weight * share * (p - target)
-        of_word = np.bincount(tokens, (PASSAGE * wrong / lengths)[passage], len(number)) / size
+        of_word = np.bincount(tokens, (PASSAGE * wrong / lengths)[passage], n_words) / size
         of_bucket = np.bincount(bucket, of_word[owner], len(used))
         # Each embedding's gradient lies along the difference of the softmax rows; both get Adam's steps.
         g = of_bucket * length + (embedding @ row) / length / PRIOR**2
@@ -201,7 +214,7 @@ def trained(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int =
     full = np.zeros(BUCKETS, np.float32)
     row = softmax[1] - softmax[0]
     full[used] = PASSAGE * (embedding @ row)
-    mean = np.bincount(passage, (np.bincount(owner, full[used][bucket], len(number)) / size)[tokens], len(starts)) / lengths
+    mean = np.bincount(passage, (np.bincount(owner, full[used][bucket], n_words) / size)[tokens], len(starts)) / lengths
     worst = np.maximum.reduceat(mean, own[:-1])
     known = back if back.any() else np.ones(len(labels), bool)
     return Model(full, *_calibrated(worst[known], labels[known]))
@@ -236,7 +249,8 @@ def learned(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score column."""
+    """docs with a score column, in place of one so named."""
+    docs = docs.drop(out)
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     sent = spark.sparkContext.broadcast(model)
