@@ -141,7 +141,8 @@ def _search(text: pa.Array, patterns: list[Patterns]) -> tuple[np.ndarray, np.nd
     return ranges, np.cumsum(cover)[:-1] > 0, sorted(pairs)
 
 
-_RESULT = "n_words long, runs array<struct<begin:long,end:long>>, items array<bigint>"
+#: Columns while passes run.
+_N, _R, _I = "__n_words", "__runs", "__items"
 _RUNS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
@@ -151,7 +152,7 @@ def _runs(hit: np.ndarray) -> list[dict]:
 
 
 def _pass(sent, text: str):
-    """Adds what one part of the benchmark hits to the columns of _RESULT."""
+    """Adds what one part of the benchmark hits to the columns _N, _R and _I."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = sent.value
@@ -160,7 +161,7 @@ def _pass(sent, text: str):
                 names = batch.schema.names
                 column = batch.column(names.index(text))
                 ranges, hit, pairs = _search(column, patterns)
-                runs, items = batch.column(names.index("runs")).to_pylist(), batch.column(names.index("items")).to_pylist()
+                runs, items = batch.column(names.index(_R)).to_pylist(), batch.column(names.index(_I)).to_pylist()
                 for row in {r for r, _ in pairs}:
                     own = hit[ranges[row] : ranges[row + 1]]
                     for x in runs[row]:
@@ -168,20 +169,19 @@ def _pass(sent, text: str):
                     runs[row] = _runs(own)
                 for row, item in pairs:
                     items[row].append(item)
-                done = {"n_words": pa.array(np.diff(ranges)), "runs": pa.array(runs, _RUNS), "items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64()))}
+                done = {_N: pa.array(np.diff(ranges)), _R: pa.array(runs, _RUNS), _I: pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64()))}
                 yield pa.RecordBatch.from_arrays([done.get(n, batch.column(i)) for i, n in enumerate(names)], names)
 
     return run
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs with n_words, runs (begin and end of hit words, in words) and items (ids with a window that occurs)."""
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = 1 + size // (2 * PART)  # a window begins at a word, of two characters with its gap at least
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "runs": F.expr("CAST(array() AS array<struct<begin:long,end:long>>)"), "items": F.expr("CAST(array() AS array<bigint>)")})
+    out = docs.withColumns({_N: F.lit(0).cast("long"), _R: F.expr("CAST(array() AS array<struct<begin:long,end:long>>)"), _I: F.expr("CAST(array() AS array<bigint>)")})
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k) if parts > 1 else items
         patterns = windows_of([tuple(r) for r in mine.collect()], window)
@@ -189,6 +189,11 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col
     return out
 
 
+def marked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs with n_words, runs (begin and end of hit words, in words) and items (ids with a window that occurs), in place of columns so named."""
+    return _marked(docs.drop("n_words", "runs", "items"), benchmark, **options).withColumnsRenamed({_N: "n_words", _R: "runs", _I: "items"})
+
+
 def n_hit():
     return F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
 
@@ -204,4 +209,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark window."""
-    return marked(docs, benchmark, **options).where(F.size("runs") == 0).select(*docs.columns)
+    return _marked(docs, benchmark, **options).where(F.size(_R) == 0).select(*docs.columns)

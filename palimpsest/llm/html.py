@@ -51,7 +51,6 @@ ARTICLE_WORDS = frozenset("article content entry post story".split())
 _PARAGRAPH_ENDS = BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: An open element that a new one of these kinds closes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_WORD = re.compile(r"[a-z]+")
 
 
 @dataclass(eq=False)
@@ -276,7 +275,8 @@ def host_of(url_col: str):
 
 
 def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text") -> DataFrame:
-    """pages, with the main text instead of the html."""
+    """pages, with the main text instead of the html and of a column so named."""
+    pages = pages.drop(out)
     spark = pages.sparkSession
     winners = saved(paths(pages, url_col, html_col), "host-paths")
     few = winners.count() <= BROADCAST_ROWS // 10  # rows of a host and a path

@@ -180,7 +180,8 @@ def learned(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", mixture: bool = False) -> DataFrame:
-    """docs with lang_pred and score, and with the mixture (a map of the languages in the selected set) if asked for."""
+    """docs with lang_pred and score, and with the mixture (a map of the languages in the selected set) if asked for, in place of columns so named."""
+    docs = docs.drop("lang_pred", "score", *["mixture"] * mixture)
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     sent = spark.sparkContext.broadcast(model)

@@ -33,7 +33,7 @@ def _all(text: Column, pattern: str) -> Column:
 
 def _tree(text: Column) -> Column:
     """Hashes of leaves by paragraph by section."""
-    leaves = lambda p: F.transform(_all(p, LEAF), F.md5)
+    leaves = lambda p: F.transform(_all(p, LEAF), lambda x: F.md5(x))
     return F.transform(_all(text, SECTION), lambda s: F.transform(_all(s, PARAGRAPH), leaves))
 
 

@@ -128,16 +128,16 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     Rows of equal id, source and text are alike; the copies of all of them are dealt out among them evenly.
     """
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    plan = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("rows"))
+    plan = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
     keyed = docs.withColumns({"__size": n_words(F.col(text_col)), "__salt": F.monotonically_increasing_id()})
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), "all_copies", "rows")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), "__all", "__rows")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
     joined = keyed.join(plan, same, "inner")
-    one = F.expr("all_copies div rows")
+    one = F.expr("__all div __rows")
     # Only ids that repeat need their rows numbered.
     number = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy("__salt"))
-    single = joined.where("rows = 1").withColumn("__copies", F.col("all_copies"))
-    several = joined.where("rows > 1").withColumn("__copies", one + F.when(number <= F.col("all_copies") % F.col("rows"), 1).otherwise(0))
+    single = joined.where("__rows = 1").withColumn("__copies", F.col("__all"))
+    several = joined.where("__rows > 1").withColumn("__copies", one + F.when(number <= F.col("__all") % F.col("__rows"), 1).otherwise(0))
     both = single.unionByName(several).where("__copies > 0")
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
