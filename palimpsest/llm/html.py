@@ -133,7 +133,7 @@ def parsed(page: str) -> Node:
         elif tag == "header":
             words.add("header")
         skipped = here.skipped or tag in SKIPPED or tag not in ("body", "html", "article", "main") and not words.isdisjoint(SKIPPED_WORDS) or "hidden" in match[3].split()
-        path = f"{here.path}>{_step(tag, attributes)}" if tag in BLOCKS and tag != "html" else here.path
+        path = f"{here.path}>{_step(tag, attributes)}".lstrip(">") if tag in BLOCKS and tag != "html" else here.path
         node = Node(tag, path, here, skipped, article)
         here.children.append(node)
         if tag in RAW:
