@@ -58,7 +58,7 @@ def candidate_fingerprint(**fields: Column) -> Column:
 
 def normalized_identifiers(ids: Column) -> Column:
     """Trimmed, without empties and repeats, in order."""
-    return F.array_distinct(F.filter(F.transform(ids, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def evidence_parts(evidence_id: Column) -> tuple[Column, Column]:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 _SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -30,14 +28,18 @@ def replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, jvm(pattern), by)
 
 
-def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-def nfkc(text: Column, ascii_only: bool = False) -> Column:
-    """Compatibility composition; the JVM has no function for it, so texts go through an Arrow batch unless all are known to be ASCII."""
-    return text if ascii_only else F.pandas_udf(_composed, "string", PandasUDFType.SCALAR_ITER)(text)
+def nfkc(text: Column, known: bool | Column = False) -> Column:
+    """Compatibility composition; the JVM has no function for it, so texts go through an Arrow batch.
+
+    known: True if all texts are ASCII, or a column that has it already, so that it is made once for many rules.
+    """
+    if isinstance(known, Column):
+        return known
+    return text if known else F.pandas_udf(_composed, "string")(text)
 
 
 def collapsed(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Deterministic classification of statements, as column expressions.
 
 Each rule list is tried in order; the first that holds decides. Expressions stay within the JVM's regular expressions;
-only NFKC needs an Arrow batch, and is left out where texts are known to be ASCII.
+only NFKC needs an Arrow batch. `known` is True where texts are ASCII, or a column that has their NFKC form.
 """
 
 from __future__ import annotations
@@ -27,51 +27,51 @@ def first_of(rules: list[tuple[Column, Column | str]], otherwise: Column | str)
     return out.otherwise(F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
 
 
-def normalized_text(text: Column, ascii_only: bool = False) -> Column:
-    return collapsed(F.regexp_replace(F.lower(nfkc(text, ascii_only)), PUNCTUATION, " "))
+def normalized_text(text: Column, known: bool | Column = False) -> Column:
+    return collapsed(F.regexp_replace(F.lower(nfkc(text, known)), PUNCTUATION, " "))
 
 
-def canonicalized_text(text: Column, ascii_only: bool = False) -> Column:
-    aliased = reduce(lambda t, a: replaced(t, *a), V.ALIASES, F.lower(nfkc(text, ascii_only)))
+def canonicalized_text(text: Column, known: bool | Column = False) -> Column:
+    aliased = reduce(lambda t, a: replaced(t, *a), V.ALIASES, F.lower(nfkc(text, known)))
     return collapsed(F.regexp_replace(aliased, PUNCTUATION, " "))
 
 
-def semantic_tokens(text: Column, ascii_only: bool = False) -> Column:
-    words = F.array_distinct(F.filter(F.split(canonicalized_text(text, ascii_only), " "), lambda t: (F.length(t) > 1) & ~t.isin(*V.STOP_TOKENS)))
+def semantic_tokens(text: Column, known: bool | Column = False) -> Column:
+    words = F.array_distinct(F.filter(F.split(canonicalized_text(text, known), " "), lambda t: (F.length(t) > 1) & ~t.isin(*V.STOP_TOKENS)))
     every_device = F.array_contains(words, "all") & (F.array_contains(words, "device") | F.array_contains(words, "devices"))
     widened = F.array_union(F.array_except(words, F.array(F.lit("devices"))), F.array(F.lit("device"), F.lit("mobile"), F.lit("desktop")))
     return F.when(every_device, widened).otherwise(words)
 
 
-def durable_rule(text: Column, ascii_only: bool = False) -> Column:
+def durable_rule(text: Column, known: bool | Column = False) -> Column:
     """A rule of conduct that outlasts the session."""
-    t = F.trim(nfkc(text, ascii_only))
+    t = F.trim(nfkc(text, known))
     return (t != "") & matches(t, V.DURABLE_SCOPE) & matches(t, V.OPERATIONAL_BEHAVIOUR)
 
 
-def one_shot_directive(text: Column, ascii_only: bool = False) -> Column:
+def one_shot_directive(text: Column, known: bool | Column = False) -> Column:
     """A command for the current session only."""
-    t = F.trim(nfkc(text, ascii_only))
+    t = F.trim(nfkc(text, known))
     any_of = reduce(lambda a, b: a | b, (matches(t, p) for p in V.ONE_SHOT))
-    return (t != "") & ~durable_rule(text, ascii_only) & any_of
+    return (t != "") & ~durable_rule(text, known) & any_of
 
 
-def explicit_preference(text: Column, ascii_only: bool = False) -> Column:
+def explicit_preference(text: Column, known: bool | Column = False) -> Column:
     stated = reduce(lambda a, b: a | b, (matches(text, p) for p in (V.ACTOR_PREFERENCE, V.ACTOR_NEGATIVE_PREFERENCE, V.ACTOR_PREFERENCE_NOUN, V.CHINESE_PREFERENCE)))
     of_a_task = (matches(text, V.TASK_REQUEST) | matches(text, V.PREFERENCE_EXPERIMENT)) & ~matches(text, V.PREFERENCE_VERB)
-    return ~one_shot_directive(text, ascii_only) & (durable_rule(text, ascii_only) | (~of_a_task & stated))
+    return ~one_shot_directive(text, known) & (durable_rule(text, known) | (~of_a_task & stated))
 
 
-def placement_family(text: Column, ascii_only: bool = False) -> Column:
+def placement_family(text: Column, known: bool | Column = False) -> Column:
     about = matches(text, V.LIVE_COMMENTARY) & matches(text, V.PLACEMENT) & matches(text, V.NARRATIVE)
-    return about & (explicit_preference(text, ascii_only) | matches(text, V.INLINE_RULE) | matches(text, V.CHINESE_INLINE_RULE))
+    return about & (explicit_preference(text, known) | matches(text, V.INLINE_RULE) | matches(text, V.CHINESE_INLINE_RULE))
 
 
-def memory_type(text: Column, candidate_type: Column, ascii_only: bool = False) -> Column:
+def memory_type(text: Column, candidate_type: Column, known: bool | Column = False) -> Column:
     of_candidate = [("relationship_candidate", "relationship"), ("project_state_candidate", "project_state"), ("commitment_candidate", "commitment"), ("habit_candidate", "habit"), ("event_candidate", "event")]
     rules = [
-        (one_shot_directive(text, ascii_only), "transient_state"),
-        (explicit_preference(text, ascii_only) | placement_family(text, ascii_only), "preference"),
+        (one_shot_directive(text, known), "transient_state"),
+        (explicit_preference(text, known) | placement_family(text, known), "preference"),
         (matches(text, V.TRANSIENT), "transient_state"),
         (matches(text, V.COMPLETED_EVENT), "event"),
         (matches(text, V.PROJECT), "project_state"),
@@ -102,11 +102,11 @@ def epistemic_status(status: Column, kind: Column, who: Column) -> Column:
     )
 
 
-def matched_concepts(text: Column, kind: Column, who: Column, ascii_only: bool = False) -> Column:
+def matched_concepts(text: Column, kind: Column, who: Column, known: bool | Column = False) -> Column:
     """Ids of all concepts that match; user preferences only."""
     found = []
     for name, _, _, needed, barred, _ in V.CONCEPTS:
-        test = explicit_preference(text, ascii_only) if needed else placement_family(text, ascii_only)
+        test = explicit_preference(text, known) if needed else placement_family(text, known)
         test = reduce(lambda a, p: a & matches(text, p), needed, test)
         if barred:
             test = test & ~matches(text, barred)
@@ -168,20 +168,20 @@ def polarity(text: Column, concept_id: Column) -> Column:
     return first_of([(concept_id.isin(*names), rules[rule]) for rule, names in by_rule.items()], general)
 
 
-def semantic_key(text: Column, kind: Column, memory_kind: Column, concept_id: Column, ascii_only: bool = False) -> Column:
-    body = F.to_json(F.struct(memory_kind.alias("memoryKind"), kind.alias("memoryType"), normalized_text(text, ascii_only).alias("text")))
+def semantic_key(text: Column, kind: Column, memory_kind: Column, concept_id: Column, known: bool | Column = False) -> Column:
+    body = F.to_json(F.struct(memory_kind.alias("memoryKind"), kind.alias("memoryType"), normalized_text(text, known).alias("text")))
     return F.coalesce(concept_key(concept_id), F.concat(F.lit("semantic:"), F.sha2(body, 256)))
 
 
-def relation(candidate_text: Column, existing_text: Column, candidate_concept: Column, existing_concept: Column, ascii_only: bool = False) -> Column:
+def relation(candidate_text: Column, existing_text: Column, candidate_concept: Column, existing_concept: Column, known: bool | Column = False) -> Column:
     """How a candidate stands to the record of the same key."""
     p, q = polarity(candidate_text, candidate_concept), polarity(existing_text, existing_concept)
-    a, b = semantic_tokens(candidate_text, ascii_only), semantic_tokens(existing_text, ascii_only)
+    a, b = semantic_tokens(candidate_text, known), semantic_tokens(existing_text, known)
     within = lambda x, y: F.size(F.array_except(x, y)) == 0
     loose = _of_concept(candidate_concept, {c[0]: F.lit(c[2]) for c in V.CONCEPTS})
     return first_of(
         [
-            (candidate_concept.isNull() & existing_concept.isNull() & (normalized_text(candidate_text, ascii_only) == normalized_text(existing_text, ascii_only)), "equivalent"),
+            (candidate_concept.isNull() & existing_concept.isNull() & (normalized_text(candidate_text, known) == normalized_text(existing_text, known)), "equivalent"),
             (candidate_concept.isNull() | existing_concept.isNull() | (candidate_concept != existing_concept), "unrelated"),
             ((p == "unknown") | (q == "unknown"), "unrelated"),
             (p != q, "contradicts"),

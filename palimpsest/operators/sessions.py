@@ -110,7 +110,7 @@ def transient_only(events: str = "events") -> Column:
 
     users = F.transform(F.filter(events, lambda e: (e["role"] == "user") & (F.trim(e["text"]) != "")), lambda e: F.trim(e["text"]))
     first_contact = lambda t: (F.length(t) <= 160) & (t.rlike(jvm(FIRST_CONTACT[0])) | t.rlike(jvm(FIRST_CONTACT[1])))
-    trivial = lambda t: t.rlike(jvm(EPHEMERAL)) | first_contact(t) | one_shot_directive(t, ascii_only=True)
+    trivial = lambda t: t.rlike(jvm(EPHEMERAL)) | first_contact(t) | one_shot_directive(t, known=True)
     return ~F.exists(events, lambda e: F.coalesce(F.trim(e["tool"]), F.lit("")) != "") & (F.size(users) > 0) & F.forall(users, trivial)
 
 
@@ -131,7 +131,7 @@ def own_input(parts: Column) -> Column:
     """The one part of a user's message that no host wrapped, or null if there are none or several."""
     from palimpsest.functions.patterns import jvm
 
-    kept = F.filter(F.transform(parts, F.trim), lambda p: (p != "") & ~p.rlike(jvm(INJECTED)))
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: (p != "") & ~p.rlike(jvm(INJECTED)))
     return F.when(F.size(kept) == 1, kept[0])
 
 

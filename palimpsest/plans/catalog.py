@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import canon, fixed, semantics
-from palimpsest.functions.patterns import matches
+from palimpsest.functions.patterns import matches, nfkc
 from palimpsest.operators import commit, graph, operations, queue, receipts, records, review, sessions, verify
 from palimpsest.operators.validate import violations
 from palimpsest.sources.lens import duck, lens
@@ -424,9 +425,14 @@ def evidence_closure(rows, revisions):
 # Statements.
 
 
-def _typed(s, ascii_only=False):
-    t = F.col("text")
-    return s.withColumn("memory_type", semantics.memory_type(t, F.col("candidate_type"), ascii_only)).withColumn("speaker", semantics.speaker(F.lit(None).cast("string"), F.col("producer")))
+def _composed(s):
+    """Statements with their NFKC form, made once."""
+    return s.withColumn("nfkc", nfkc(F.col("text")))
+
+
+def _typed(s):
+    s = _composed(s)
+    return s.withColumn("memory_type", semantics.memory_type(F.col("text"), F.col("candidate_type"), F.col("nfkc"))).withColumn("speaker", semantics.speaker(F.lit(None).cast("string"), F.col("producer")))
 
 
 def _rx(pattern, text="text"):
@@ -455,8 +461,8 @@ def memory_type_classify(s):
 
 @query("statements", sql=f"SELECT doc_id, {ONE_SHOT_SQL} AS one_shot, {DURABLE_SQL} AS durable, {EXPLICIT_SQL} AS explicit_preference FROM statements")
 def one_shot_directives(s):
-    t = F.col("text")
-    return s.select("doc_id", semantics.one_shot_directive(t).alias("one_shot"), semantics.durable_rule(t).alias("durable"), semantics.explicit_preference(t).alias("explicit_preference"))
+    t, n = F.col("text"), F.col("nfkc")
+    return _composed(s).select("doc_id", semantics.one_shot_directive(t, n).alias("one_shot"), semantics.durable_rule(t, n).alias("durable"), semantics.explicit_preference(t, n).alias("explicit_preference"))
 
 
 @query("statements", sql=f"SELECT doc_id, CASE WHEN {_rx(fixed.GENERAL_NEGATIVE)} AND {_rx(fixed.GENERAL_POSITIVE)} THEN 'unknown' WHEN {_rx(fixed.GENERAL_NEGATIVE)} THEN 'negative' ELSE 'affirmative' END AS polarity FROM statements")
@@ -467,7 +473,7 @@ def polarity(s):
 @query("statements", sql="SELECT doc_id, concat('semantic:', sha256(concat('{\"memoryKind\":\"', source, '\",\"memoryType\":\"fact\",\"text\":\"', trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g')), '\"}'))) AS semantic_key FROM statements WHERE regexp_full_match(text, '[ -~]*')")
 def semantic_key_exact(s):
     ascii_rows = s.where(F.col("text").rlike("^[ -~]*$"))
-    return ascii_rows.select("doc_id", semantics.semantic_key(F.col("text"), F.lit("fact"), F.col("source"), F.lit(None).cast("string"), ascii_only=True).alias("semantic_key"))
+    return ascii_rows.select("doc_id", semantics.semantic_key(F.col("text"), F.lit("fact"), F.col("source"), F.lit(None).cast("string"), True).alias("semantic_key"))
 
 
 @query("statements", sql=TYPED + f""", p AS (SELECT *, {STATUS_SQL} AS st, CASE WHEN ty = 'transient_state' OR dir THEN 'transient' WHEN candidate_type IN ('preference_candidate', 'relationship_candidate', 'habit_candidate') THEN 'durable' WHEN candidate_type IN ('commitment_candidate', 'project_state_candidate') THEN 'time_bounded' WHEN candidate_type = 'event_candidate' THEN 'transient' ELSE 'unknown' END AS du FROM t),
@@ -476,7 +482,7 @@ def semantic_key_exact(s):
 def admission_outcomes(s):
     out = _typed(s)
     t, raw = F.col("text"), F.col("epistemic_status")
-    directive = semantics.one_shot_directive(t)
+    directive = semantics.one_shot_directive(t, F.col("nfkc"))
     status = semantics.epistemic_status(raw, F.col("memory_type"), F.col("speaker"))
     lasting = semantics.durability(F.col("memory_type"), F.col("candidate_type"), directive)
     out = out.withColumns({"d": directive, "st": status, "du": lasting})
@@ -494,15 +500,17 @@ def governance(s):
 
 @query("statements", sql=f"SELECT source, count(*) AS n FROM statements WHERE {ONE_SHOT_SQL} GROUP BY source")
 def contamination_scan(s):
-    return s.where(semantics.one_shot_directive(F.col("text"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return _composed(s).where(semantics.one_shot_directive(F.col("text"), F.col("nfkc"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("statements")
 def token_relation(s):
-    pairs = s.where("doc_id < 40").select(F.col("doc_id").alias("a"), F.col("text").alias("x")).join(s.where("doc_id < 40").select(F.col("doc_id").alias("b"), F.col("text").alias("y")), F.col("a") < F.col("b"))
-    c = lambda t: semantics.concept(semantics.matched_concepts(F.col(t), F.lit("preference"), F.lit("user")))
-    pairs = pairs.withColumns({"cx": c("x"), "cy": c("y")})
-    return pairs.select("a", "b", semantics.relation(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")).alias("relation"))
+    # Each statement against the next of its source.
+    s = _composed(s)
+    s = s.withColumn("concept", semantics.concept(semantics.matched_concepts(F.col("text"), F.lit("preference"), F.lit("user"), F.col("nfkc"))))
+    by = Window.partitionBy("source").orderBy("doc_id")
+    pairs = s.withColumns({"next": F.lead("doc_id").over(by), "other": F.lead("text").over(by), "other_concept": F.lead("concept").over(by)}).where("next IS NOT NULL")
+    return pairs.select("doc_id", "next", semantics.relation(F.col("text"), F.col("other"), F.col("concept"), F.col("other_concept")).alias("relation"))
 
 
 @query("statements", sql="SELECT doc_id, text, count(*) OVER (PARTITION BY text) - 1 AS others FROM statements QUALIFY count(*) OVER (PARTITION BY text) > 1")
