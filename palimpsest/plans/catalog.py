@@ -54,9 +54,9 @@ def current_revisions(revisions):
     return records.current_revisions(h, revisions).select("memory_id", "event_id", "memory_kind")
 
 
-@query("revisions", sql="+ req AS (SELECT memory_id, revision + 50 AS revision, event_id AS pos FROM revisions WHERE revision <= 30) SELECT q.pos, q.memory_id, q.revision, r.event_id FROM req q LEFT JOIN revisions r USING (memory_id, revision)")
+@query("revisions", sql="+ req AS (SELECT memory_id, revision + 50 AS revision, event_id AS pos FROM revisions) SELECT q.pos, q.memory_id, q.revision, r.event_id FROM req q LEFT JOIN revisions r USING (memory_id, revision)")
 def hydrate_ordered(revisions):
-    requests = revisions.where("revision <= 30").select("memory_id", (F.col("revision") + 50).alias("revision"), F.col("event_id").alias("pos"))
+    requests = revisions.select("memory_id", (F.col("revision") + 50).alias("revision"), F.col("event_id").alias("pos"))
     return records.hydrated(requests, revisions.select("memory_id", "revision", "event_id")).select("pos", "memory_id", "revision", "event_id")
 
 
@@ -77,15 +77,15 @@ def change_page(revisions):
     return records.changes_after(revisions, "ns1", 500, 100).select("commit_seq", "memory_id", "revision", "op", "has_more", "gapless")
 
 
-@query("revisions", sql="+ gappy AS (SELECT * FROM revisions WHERE event_id % 997 <> 0), l AS (SELECT ns, commit_seq, coalesce(lag(commit_seq) OVER (PARTITION BY ns ORDER BY commit_seq), 0) AS b FROM gappy) SELECT ns, b + 1 AS gap_from, commit_seq - 1 AS gap_to FROM l WHERE commit_seq > b + 1")
+@query("revisions", sql="+ gappy AS (SELECT ns, commit_seq + 3 * (commit_seq // 700) AS commit_seq FROM revisions), l AS (SELECT ns, commit_seq, coalesce(lag(commit_seq) OVER (PARTITION BY ns ORDER BY commit_seq), 0) AS b FROM gappy) SELECT ns, b + 1 AS gap_from, commit_seq - 1 AS gap_to FROM l WHERE commit_seq > b + 1")
 def change_gaps(revisions):
-    return records.gaps(revisions.where("event_id % 997 <> 0"), ["ns"])
+    return records.gaps(revisions.select("ns", F.expr("commit_seq + 3 * (commit_seq div 700)").alias("commit_seq")), ["ns"])
 
 
-@query("revisions", sql="+ m AS (SELECT ns, max(commit_seq) AS w FROM revisions WHERE event_id % 4 = 0 GROUP BY ns) SELECT r.event_id, r.ns, coalesce(w, 0) + row_number() OVER (PARTITION BY r.ns ORDER BY r.event_id) AS commit_seq FROM revisions r LEFT JOIN m ON m.ns = r.ns WHERE event_id % 4 <> 0")
-def commit_seq_assign(revisions):
-    marks = records.high_water(revisions.where("event_id % 4 = 0"), ["ns"])
-    return records.sequenced(revisions.where("event_id % 4 <> 0").select("event_id", "ns"), marks, ["ns"], "event_id").select("event_id", "ns", F.col("commit_seq").cast("long").alias("commit_seq"))
+@query("revisions", "devices", sql="+ m AS (SELECT ns, max(applied) AS w FROM devices GROUP BY ns) SELECT r.event_id, r.ns, coalesce(w, 0) + row_number() OVER (PARTITION BY r.ns ORDER BY r.event_id) AS commit_seq FROM revisions r LEFT JOIN m ON m.ns = r.ns")
+def commit_seq_assign(revisions, devices):
+    marks = records.high_water(devices.select("ns", F.col("applied").alias("commit_seq")), ["ns"])
+    return records.sequenced(revisions.select("event_id", "ns"), marks, ["ns"], "event_id").select("event_id", "ns", F.col("commit_seq").cast("long").alias("commit_seq"))
 
 
 @query("revisions", sql="SELECT memory_id, commit_seq, ns, revision FROM revisions")
@@ -98,11 +98,11 @@ def high_watermark(revisions):
     return records.high_water(revisions, ["ns"])
 
 
-@query("revisions", sql="+ c AS (SELECT memory_id, revision, md5(concat(memory_id, '/', CASE WHEN event_id % 211 = 0 THEN 0 ELSE revision END)) AS payload_hash, event_id FROM revisions), r AS (SELECT memory_id, revision, md5(concat(memory_id, '/', revision)) AS h FROM revisions WHERE event_id % 307 <> 0) SELECT c.memory_id, c.revision, CASE WHEN h IS NULL THEN 'REVISION_MISSING' ELSE 'PAYLOAD_HASH' END AS problem FROM c LEFT JOIN r USING (memory_id, revision) WHERE payload_hash IS DISTINCT FROM h")
+@query("revisions", sql="+ c AS (SELECT memory_id, revision, md5(concat(memory_id, '/', CASE WHEN event_id % 211 = 0 THEN 0 ELSE revision END)) AS payload_hash, event_id FROM revisions), r AS (SELECT memory_id, CASE WHEN event_id % 307 = 0 THEN -revision ELSE revision END AS revision, md5(concat(memory_id, '/', revision)) AS h FROM revisions) SELECT c.memory_id, c.revision, CASE WHEN h IS NULL THEN 'REVISION_MISSING' ELSE 'PAYLOAD_HASH' END AS problem FROM c LEFT JOIN r USING (memory_id, revision) WHERE payload_hash IS DISTINCT FROM h")
 def change_proof(revisions):
     path = lambda rev: F.md5(F.concat("memory_id", F.lit("/"), rev.cast("string")))
     changes = revisions.select("memory_id", "revision", path(F.when(F.col("event_id") % 211 == 0, 0).otherwise(F.col("revision"))).alias("payload_hash"))
-    held = revisions.where("event_id % 307 <> 0").select("memory_id", "revision", path(F.col("revision")).alias("payload_hash"))
+    held = revisions.select("memory_id", F.when(F.col("event_id") % 307 == 0, -F.col("revision")).otherwise(F.col("revision")).alias("revision"), path(F.col("revision")).alias("payload_hash"))
     return records.change_proof(changes, held).select("memory_id", "revision", "problem")
 
 
@@ -154,9 +154,9 @@ def state_snapshot(revisions, outbox, devices):
     return operations.snapshot({"revisions": revisions, "outbox": outbox, "devices": devices})
 
 
-@query("revisions", "outbox", sql="SELECT 'revisions' AS name, count(*) FILTER (event_id >= 6000) AS delta FROM revisions UNION ALL SELECT 'outbox', count(*) FILTER (status <> 'DONE') - count(*) FROM outbox")
+@query("revisions", "outbox", sql="SELECT 'revisions' AS name, count(*) FILTER (valid_from >= TIMESTAMP '2024-01-15') AS delta FROM revisions UNION ALL SELECT 'outbox', count(*) FILTER (status <> 'DONE') - count(*) FROM outbox")
 def snapshot_delta(revisions, outbox):
-    before = operations.snapshot({"revisions": revisions.where("event_id < 6000"), "outbox": outbox})
+    before = operations.snapshot({"revisions": revisions.where(F.col("valid_from") < at("2024-01-15")), "outbox": outbox})
     return operations.snapshot_delta(before, operations.snapshot({"revisions": revisions, "outbox": outbox.where("status <> 'DONE'")}))
 
 
@@ -256,11 +256,11 @@ def outbox_fifo_gate(outbox):
     return queue.gated(outbox).select("outbox_id", "status", "blocked")
 
 
-@query("outbox", sql=f"""+ r AS (SELECT outbox_id, CASE WHEN revision % 3 = 0 THEN 'w9' ELSE claimed_by END AS worker, token AS tok, revision % 4 <> 0 AS all_current, CASE WHEN revision % 7 = 0 THEN 'timeout' END AS error FROM outbox WHERE revision % 2 = 0),
+@query("outbox", sql=f"""+ r AS (SELECT outbox_id, CASE WHEN revision % 3 = 0 THEN 'w9' ELSE claimed_by END AS worker, token AS tok, revision % 4 <> 0 AS all_current, CASE WHEN revision % 7 = 0 THEN 'timeout' END AS error FROM outbox),
  j AS (SELECT o.*, r.*, coalesce(status = 'PROCESSING' AND claimed_by = worker AND token = tok AND lease_until > {NOW}, false) AS accepted FROM outbox o LEFT JOIN r ON r.outbox_id = o.outbox_id)
  SELECT outbox_id, accepted, CASE WHEN NOT accepted THEN status WHEN error IS NULL AND all_current THEN 'DONE' ELSE 'FAILED' END AS new_status FROM j""")
 def outbox_settle_fold(outbox):
-    results = outbox.where("revision % 2 = 0").select(
+    results = outbox.select(
         "outbox_id", F.when(F.col("revision") % 3 == 0, "w9").otherwise(F.col("claimed_by")).alias("worker"), "token", (F.col("revision") % 4 != 0).alias("all_current"), F.when(F.col("revision") % 7 == 0, "timeout").alias("error")
     )
     return queue.settled(outbox, results, at(EARLY)).select("outbox_id", "accepted", "new_status")
@@ -301,9 +301,9 @@ def receipt_upsert_merge(curation):
     return receipts.upserted(versions).withColumn("canonical_ids", F.array_join("canonical_ids", ","))
 
 
-@query("curation", sql="+ u AS (SELECT DISTINCT receipt_id, unit_ref FROM curation WHERE unit_ref <> 3), p AS (SELECT receipt_id, CASE WHEN unit_ref = 5 THEN 1 ELSE unit_ref END AS unit_ref FROM curation), pc AS (SELECT receipt_id, unit_ref, count(*) AS n FROM p GROUP BY ALL) SELECT receipt_id, unit_ref, CASE WHEN u.receipt_id IS NULL THEN 'unknown_unit' WHEN n IS NULL THEN 'missing_proposal' ELSE 'duplicate_proposal' END AS problem FROM (SELECT *, 1 AS k FROM u) u FULL JOIN pc USING (receipt_id, unit_ref) WHERE k IS NULL OR n IS NULL OR n > 1".replace("u.receipt_id IS NULL", "k IS NULL"))
+@query("curation", sql="+ u AS (SELECT DISTINCT receipt_id, CASE WHEN unit_ref = 3 THEN 103 ELSE unit_ref END AS unit_ref FROM curation), p AS (SELECT receipt_id, CASE WHEN unit_ref = 5 THEN 1 ELSE unit_ref END AS unit_ref FROM curation), pc AS (SELECT receipt_id, unit_ref, count(*) AS n FROM p GROUP BY ALL) SELECT receipt_id, unit_ref, CASE WHEN u.receipt_id IS NULL THEN 'unknown_unit' WHEN n IS NULL THEN 'missing_proposal' ELSE 'duplicate_proposal' END AS problem FROM (SELECT *, 1 AS k FROM u) u FULL JOIN pc USING (receipt_id, unit_ref) WHERE k IS NULL OR n IS NULL OR n > 1".replace("u.receipt_id IS NULL", "k IS NULL"))
 def curation_coverage(curation):
-    units = curation.where("unit_ref <> 3").select("receipt_id", "unit_ref")
+    units = curation.select("receipt_id", F.when(F.col("unit_ref") == 3, 103).otherwise(F.col("unit_ref")).alias("unit_ref"))
     return receipts.coverage(units, curation.select("receipt_id", F.when(F.col("unit_ref") == 5, 1).otherwise(F.col("unit_ref")).alias("unit_ref")))
 
 
@@ -333,15 +333,15 @@ def prune_eligibility(rows):
 
 # Review and insights.
 
-RECORDS = "rec AS (SELECT record_id, CASE WHEN kind = 'pending_review' THEN 'pending_review' ELSE 'canonical_candidate' END AS outcome, concat('v', doc_id % 2) AS policy, doc_id FROM labelled), cs AS (SELECT * FROM labelled WHERE doc_id % 13 <> 0)"
+RECORDS = "rec AS (SELECT record_id, CASE WHEN kind = 'pending_review' THEN 'pending_review' ELSE 'canonical_candidate' END AS outcome, concat('v', doc_id % 2) AS policy, doc_id FROM labelled), cs AS (SELECT * REPLACE (CASE WHEN doc_id % 13 = 0 THEN concat('x', record_id) ELSE record_id END AS record_id) FROM labelled)"
 
 
 def _records(labelled):
     rec = labelled.select("record_id", F.when(F.col("kind") == "pending_review", "pending_review").otherwise("canonical_candidate").alias("outcome"), F.concat(F.lit("v"), (F.col("doc_id") % 2).cast("string")).alias("policy"))
-    return rec, labelled.where("doc_id % 13 <> 0")
+    return rec, labelled.withColumn("record_id", F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("x"), "record_id")).otherwise(F.col("record_id")))
 
 
-@query("labelled", sql=f"""+ {RECORDS}, x AS (SELECT (SELECT count(*) FROM rec) <> 100 AS curation_coverage_mismatch, (SELECT count(*) FILTER (policy <> 'v1') FROM rec) > 0 AS semantic_policy_mismatch, false AS review_case_source_mismatch,
+@query("labelled", sql=f"""+ {RECORDS}, x AS (SELECT (SELECT count(*) FROM rec) <> 100 AS curation_coverage_mismatch, (SELECT count(*) FILTER (policy <> 'v1') FROM rec) > 0 AS semantic_policy_mismatch, (SELECT count(*) FROM cs WHERE record_id NOT IN (SELECT record_id FROM rec)) > 0 AS review_case_source_mismatch,
  (SELECT count(*) FROM rec WHERE outcome = 'pending_review' AND record_id NOT IN (SELECT record_id FROM cs)) > 0 AS pending_review_not_queued, (SELECT count(*) FILTER (outcome = 'pending_review') FROM rec) > 0 AS pending_review_outcomes_present,
  (SELECT count(*) FILTER (state <> 'resolved') FROM cs) > 0 AS unresolved_review_cases, (SELECT count(*) FILTER (kind = 'canary_sample' AND disposition = 'approved_as_classified') FROM cs) < 1 AS insufficient_approved_samples,
  (SELECT count(*) FILTER (disposition = 'misclassified') FROM cs) > 0 AS misclassification_detected, (SELECT count(*) FILTER (kind = 'pending_review' AND canonical_id IS NOT NULL) FROM cs) > 0 AS review_case_crossed_canonical_boundary)
@@ -524,7 +524,7 @@ def duplicate_candidates(s):
 
 @query("revisions")
 def commit_fold(revisions):
-    c = revisions.where("revision <= 6").select(
+    c = revisions.select(
         "ns", "semantic_key", F.concat(F.lit("cand_"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("candidate_id"), F.col("valid_from").alias("created_at"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("idempotency_key"), "op",
         F.when(F.col("op") != "create", F.col("revision") - 1 - F.when(F.col("event_id") % 9 == 0, 1).otherwise(0)).alias("base_revision"),
     )
@@ -541,11 +541,11 @@ def evidence_union(curation):
     return commit.united_evidence(rows)
 
 
-@query("revisions", sql="""SELECT rule, count(*) AS n FROM (SELECT 'validity' AS rule FROM revisions WHERE valid_until < valid_from UNION ALL SELECT 'unique_key' FROM (SELECT ns, semantic_key FROM revisions WHERE event_id % 2 = 0 GROUP BY ALL HAVING count(*) > 1)
+@query("revisions", sql="""SELECT rule, count(*) AS n FROM (SELECT 'validity' AS rule FROM revisions WHERE valid_until < valid_from UNION ALL SELECT 'unique_key' FROM (SELECT ns, semantic_key FROM revisions GROUP BY ALL HAVING count(*) > 1)
  UNION ALL SELECT 'unique_sequence' FROM (SELECT ns, commit_seq % 3000 AS s FROM revisions GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'base_revision' FROM revisions WHERE (op = 'create') <> (revision = 1) ) GROUP BY rule""")
 def integrity_violations(revisions):
     found = violations(
-        heads=revisions.where("event_id % 2 = 0"),
+        heads=revisions,
         changes=revisions.withColumn("commit_seq", F.col("commit_seq") % 3000),
         revisions=revisions,
     )
@@ -568,12 +568,12 @@ def session_counters(m):
 FINGERPRINT = "f AS (SELECT session_id, sha256(string_agg(concat(pos, chr(31), role, chr(31), text), chr(30) ORDER BY pos)) AS fingerprint FROM messages GROUP BY session_id)"
 
 
-@query("messages", sql=f"+ {FINGERPRINT} SELECT session_id, CASE WHEN session_id % 4 = 0 THEN 'new' WHEN session_id = 1 THEN 'changed' ELSE 'unchanged' END AS change FROM f UNION ALL SELECT -1, 'gone'")
+@query("messages", sql=f"+ {FINGERPRINT} SELECT session_id, CASE WHEN session_id % 4 = 0 THEN 'new' WHEN session_id = 1 THEN 'changed' ELSE 'unchanged' END AS change FROM f UNION ALL SELECT -session_id - 1, 'gone' FROM f WHERE session_id % 4 = 0")
 def fingerprint_diff(m):
     now = sessions.fingerprinted(sessions.normalized(m))
-    old = now.where("session_id % 4 <> 0").select("session_id", F.when(F.col("session_id") == 1, "other").otherwise(F.col("fingerprint")).alias("fingerprint"))
-    gone = old.sparkSession.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit("x").alias("fingerprint"))
-    return sessions.differing(now, old.unionAll(gone))
+    s = F.col("session_id")
+    old = now.select(F.when(s % 4 == 0, -s - 1).otherwise(s).alias("session_id"), F.when(s == 1, "other").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    return sessions.differing(now, old)
 
 
 @query("messages", sql=f"+ {FINGERPRINT} SELECT * FROM f")
@@ -675,11 +675,12 @@ def graph_dangling(revisions):
     return graph.dangling(e, graph.nodes(e).where("kind <> 'speaker'"))
 
 
-@query("statements", sql="+ d AS (SELECT concat('p', doc_id) AS path, md5(text) AS h FROM statements WHERE doc_id % 5 <> 0), o AS (SELECT concat('p', doc_id) AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(text) END AS g FROM statements WHERE doc_id % 3 <> 0) SELECT path, CASE WHEN h IS NULL THEN 'removed' WHEN g IS NOT DISTINCT FROM h THEN 'unchanged' ELSE 'written' END AS change FROM d FULL JOIN o USING (path)")
+@query("statements", sql="+ d AS (SELECT concat(CASE WHEN doc_id % 5 = 0 THEN 'n' ELSE 'p' END, doc_id) AS path, md5(text) AS h FROM statements), o AS (SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'o' ELSE 'p' END, doc_id) AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(text) END AS g FROM statements) SELECT path, CASE WHEN h IS NULL THEN 'removed' WHEN g IS NOT DISTINCT FROM h THEN 'unchanged' ELSE 'written' END AS change FROM d FULL JOIN o USING (path)")
 def file_diff(s):
-    path = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path")
-    desired = s.where("doc_id % 5 <> 0").select(path, F.md5("text").alias("hash"))
-    existing = s.where("doc_id % 3 <> 0").select(path, F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.md5("text")).alias("hash"))
+    i = F.col("doc_id")
+    path = lambda test, other: F.concat(F.when(test, other).otherwise("p"), i.cast("string")).alias("path")
+    desired = s.select(path(i % 5 == 0, "n"), F.md5("text").alias("hash"))
+    existing = s.select(path(i % 3 == 0, "o"), F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.md5("text")).alias("hash"))
     return graph.file_changes(desired, existing)
 
 
