@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import canon, fixed, semantics
 from palimpsest.functions.patterns import matches, nfkc
-from palimpsest.operators import commit, graph, operations, queue, receipts, records, review, sessions, verify
+from palimpsest.operators import commit, graph, ingest, operations, queue, receipts, records, review, sessions, verify
 from palimpsest.operators.validate import violations
 from palimpsest.sources.lens import duck, lens
 
@@ -704,3 +704,166 @@ def derived_ids(revisions):
 def pattern_counts(s):
     t = F.col("text")
     return s.agg(F.count_if(matches(t, fixed.TECHNICAL)).alias("technical"), F.count_if(matches(t, fixed.PROJECT)).alias("project"), F.count_if(matches(t, fixed.PLACEMENT)).alias("placement"))
+
+
+# From units to decisions.
+
+
+@query("statements", "curation")
+def distill_pipeline(s, curation):
+    """Statements classified, admitted and held against the statements of the first source."""
+    units = ingest.classified(s.withColumn("memory_kind", F.lit("note")))
+    held = units.withColumn("memory_id", F.concat(F.lit("mem_"), F.col("doc_id").cast("string"))).withColumn("status", F.when(F.col("doc_id") % 10 == 7, "tombstoned").otherwise("active"))
+    current = records.latest(held, ["semantic_key"], F.col("doc_id")).select("semantic_key", "memory_id", "status", "text", "concept")
+    out = ingest.distilled(units, current)
+    return out.select("doc_id", "memory_type", "durability", "outcome", "reason", "relation", "target")
+
+
+@query("revisions", sql=f"+{HEADS} SELECT r.event_id, r.semantic_key FROM revisions r WHERE EXISTS (SELECT 1 FROM heads h WHERE h.ns = r.ns AND h.semantic_key = concat('key_', r.event_id % 400) AND h.memory_id <> r.memory_id)")
+def semantic_collision(revisions):
+    candidates = revisions.withColumn("own_key", F.col("semantic_key")).withColumn("semantic_key", F.concat(F.lit("key_"), (F.col("event_id") % 400).cast("string")))
+    return ingest.collisions(candidates, records.heads(revisions)).select("event_id", F.col("own_key").alias("semantic_key"))
+
+
+@query("revisions", sql="SELECT concat('key_', user_group) AS semantic_key, memory_id, event_id FROM (SELECT *, event_id % 120 AS user_group FROM revisions) WHERE true QUALIFY row_number() OVER (PARTITION BY user_group ORDER BY commit_seq DESC, memory_id) = 1")
+def current_by_key(revisions):
+    rows = revisions.select(F.concat(F.lit("key_"), (F.col("event_id") % 120).cast("string")).alias("semantic_key"), "memory_id", "event_id", F.col("commit_seq").alias("updated_at"))
+    return ingest.current_by_key(rows, rows.select("semantic_key").distinct()).select("semantic_key", "memory_id", "event_id")
+
+
+@query("statements", "labelled", sql="""+ c AS (SELECT concat('case', doc_id) AS candidate_id, candidate_type, CASE WHEN doc_id % 3 = 0 THEN 'episode' ELSE 'semantic_assertion' END AS memory_class, CASE WHEN doc_id % 5 = 0 THEN 'given' END AS memory_type FROM statements)
+ SELECT c.candidate_id, coalesce(c.memory_type, l.kind, CASE WHEN candidate_type = 'preference_candidate' THEN 'preference' WHEN candidate_type = 'relationship_candidate' THEN 'relationship' WHEN candidate_type = 'project_state_candidate' THEN 'project_state' WHEN candidate_type = 'commitment_candidate' THEN 'commitment'
+ WHEN candidate_type = 'habit_candidate' THEN 'habit' WHEN candidate_type = 'event_candidate' OR memory_class = 'episode' THEN 'event' ELSE 'general_fact' END) AS memory_type FROM c LEFT JOIN labelled l ON l.case_id = c.candidate_id""")
+def type_backfill(s, labelled):
+    i = F.col("doc_id")
+    c = s.select(F.concat(F.lit("case"), i.cast("string")).alias("candidate_id"), "candidate_type", F.when(i % 3 == 0, "episode").otherwise("semantic_assertion").alias("memory_class"), F.when(i % 5 == 0, "given").alias("memory_type"))
+    r = labelled.select(F.col("case_id").alias("candidate_id"), F.col("kind").alias("memory_type"))
+    return ingest.backfilled(c, r).select("candidate_id", "memory_type")
+
+
+@query("curation", sql="""SELECT record_id, coalesce(outcome IN ('canonical_candidate', 'duplicate') AND CASE WHEN outcome = 'canonical_candidate' THEN unit_ref % 3 <> 0 ELSE unit_ref % 4 <> 0 END AND unit_ref % 5 <> 0, false) AS backed FROM curation""")
+def admission_proof(curation):
+    merge = F.col("outcome") == "duplicate"
+    u = F.col("unit_ref")
+    base = curation.withColumns({"candidate_id": F.concat(F.lit("c"), "record_id"), "semantic_key": F.concat(F.lit("k"), "receipt_id"), "text": F.col("record_id"), "status": F.col("epistemic_status"), "target": F.concat(F.lit("mem_"), "receipt_id")})
+    candidates = base.select("candidate_id", "record_id", F.when(merge, "merge").otherwise("create").alias("op"), "memory_type", "speaker", "semantic_key", "policy", F.when(~merge & (u % 3 == 0), "other").otherwise(F.col("text")).alias("text"), "status", F.when(u % 4 == 0, "other").otherwise(F.col("target")).alias("target"))
+    held = base.select("record_id", "memory_type", "speaker", "semantic_key", "policy", "candidate_id", F.when(merge, "canonical_merge").otherwise(F.col("outcome")).alias("outcome"), "text", "status", "target", F.lit(True).alias("worthy"), F.when(u % 5 == 0, "transient").otherwise("durable").alias("durability"), F.when(merge, "duplicate").otherwise("novel").alias("disposition"))
+    return ingest.admission_proofs(candidates, held).select("record_id", "backed")
+
+
+@query("curation", sql="SELECT record_id, CASE WHEN unit_ref % 6 = 0 THEN 'new' WHEN unit_ref % 4 = 0 OR policy = 'v1' THEN 'drift' ELSE 'reuse' END AS state FROM curation")
+def prior_curation(curation):
+    u = F.col("unit_ref")
+    units = curation.select("record_id", "policy", F.md5("record_id").alias("text_hash"))
+    prior = curation.select(F.when(u % 6 == 0, F.concat(F.lit("x"), "record_id")).otherwise(F.col("record_id")).alias("record_id"), F.lit("v0").alias("policy"), F.when(u % 4 == 0, "other").otherwise(F.md5("record_id")).alias("text_hash"))
+    return ingest.reused(units, prior).select("record_id", "state")
+
+
+@query("curation", sql="SELECT concat('case', record_id) AS case_id, concat('e', record_id) AS event_id FROM curation WHERE unit_ref % 3 <> 0 AND (relation IS NOT DISTINCT FROM CASE WHEN unit_ref % 2 = 0 THEN 'equivalent' ELSE relation END)")
+def review_join(curation):
+    u = F.col("unit_ref")
+    cases = curation.select(F.concat(F.lit("case"), "record_id").alias("case_id"), "record_id", F.lit(2).alias("version"), "policy", F.when(u % 2 == 0, "equivalent").otherwise(F.col("relation")).alias("relation"))
+    events = curation.select(F.concat(F.lit("case"), "record_id").alias("case_id"), F.concat(F.lit("e"), "record_id").alias("event_id"), F.when(u % 3 == 0, 1).otherwise(2).alias("version"))
+    return ingest.review_of(cases, events, curation).select("case_id", "event_id")
+
+
+@query("curation", sql="SELECT c.record_id, 'invalid_candidate' AS disposition FROM curation c WHERE c.memory_type = 'type1' AND c.relation IS NULL AND c.policy IN ('v0', 'v1') AND c.speaker = 'user'")
+def exact_remediation(curation):
+    bindings = curation.sparkSession.createDataFrame([("type1", None, p, "user", "invalid_candidate") for p in ("v0", "v1")], "memory_type string, relation string, policy string, speaker string, disposition string")
+    return ingest.remediated(curation, bindings, ["memory_type", "relation", "policy", "speaker"]).select("record_id", "disposition")
+
+
+@query("labelled", sql="SELECT case_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 <> 0 THEN 'policy_superseded' ELSE 'kept' END AS disposition, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 <> 0 THEN 'policy:v1->v2' END AS evidence FROM labelled WHERE state <> 'resolved'")
+def reevaluation_closure(labelled):
+    i = F.col("doc_id")
+    cases = labelled.select("case_id", "record_id", "state", F.lit("v1").alias("policy"))
+    now = labelled.select("record_id", F.when(i % 3 == 0, "pending_review").otherwise("rejected").alias("outcome"), F.when(i % 4 == 0, "v1").otherwise("v2").alias("policy"))
+    return ingest.reevaluated(cases, now)
+
+
+@query("statements", sql="+ m AS (SELECT concat('mem_', min(doc_id)) AS memory_id, text FROM statements GROUP BY text) SELECT doc_id AS ref, memory_id FROM statements JOIN m ON m.text = statements.text")
+def normalized_text_match(s):
+    memories = s.groupBy("text").agg(F.concat(F.lit("mem_"), F.min("doc_id").cast("string")).alias("memory_id"))
+    based_on = s.select(F.col("doc_id").alias("ref"), F.concat(F.lit("  "), F.upper("text"), F.lit(" ")).alias("text"))
+    return ingest.same_text(memories, based_on).select("ref", "memory_id")
+
+
+@query("receipts", "revisions", sql=f"+ {INSIGHTS}, m AS (SELECT insight_id, concat('mem_', k % 300) AS mem FROM i) SELECT insight_id, mem AS memory_ids, 'pending' AS status FROM m WHERE mem IN (SELECT memory_id FROM revisions)")
+def reflect_known(rows, revisions):
+    insights = rows.select(F.col("receipt_id").alias("insight_id"), F.array(F.concat(F.lit("mem_"), (F.col("o_orderkey") % 300).cast("string")), F.lit("mem_none")).alias("memory_ids"))
+    return ingest.reflected(insights, revisions).select("insight_id", F.array_join("memory_ids", ",").alias("memory_ids"), "status")
+
+
+@query("messages", sql="SELECT session_id, pos, CASE WHEN role = 'system' THEN 'unknown' ELSE concat('kind-', role) END AS kind FROM messages")
+def actor_lookup(m):
+    rows = sessions.normalized(m)
+    actors = F.transform(F.filter("actors", lambda a: a != "system"), lambda a: F.struct(a.alias("id"), F.concat(F.lit("kind-"), a).alias("kind")))
+    events = F.transform("events", lambda e: F.struct(e["pos"].alias("pos"), e["role"].alias("actor_id")))
+    return ingest.actors_of(rows.select("session_id", actors.alias("actors"), events.alias("events")))
+
+
+@query("statements", sql=f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'event_candidate' WHEN doc_id % 4 = 1 THEN 'fact_candidate' WHEN {EXPLICIT_SQL} THEN 'preference_candidate' ELSE 'fact_candidate' END AS candidate_type,
+ CASE WHEN doc_id % 4 = 1 THEN 'synthesized' WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 = 2 AND {EXPLICIT_SQL} THEN 'user_asserted' ELSE 'uncertain' END ELSE 'inferred' END AS epistemic_status, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'unknown' END AS speaker, CASE WHEN doc_id % 10 <= 2 THEN (doc_id % 10) / 2.0 END AS confidence FROM statements""")
+def provider_mapping(s):
+    i = F.col("doc_id")
+    kind = F.when(i % 4 == 0, "experience").when(i % 4 == 1, "observation").when(i % 4 == 2, "world")
+    meta = F.map_filter(
+        F.create_map(F.lit("projection_kind"), F.when(i % 2 == 0, "source_actor"), F.lit("source_actor"), F.when(i % 2 == 0, "user"), F.lit("epistemic_status"), F.lit("inferred"), F.lit("confidence"), ((i % 10) / 2).cast("string")),
+        lambda k, v: v.isNotNull(),
+    )
+    out = ingest.mapped(s.select("doc_id", "text", kind.alias("kind"), meta.alias("metadata")))
+    return out.select("doc_id", "candidate_type", "epistemic_status", "speaker", "confidence")
+
+
+@query("revisions", sql="SELECT memory_id, revision FROM (SELECT * FROM revisions QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY revision DESC) = 1) WHERE memory_id IN ('mem_3', 'mem_5', 'mem_7') ORDER BY memory_id LIMIT 5")
+def reflection_source(revisions):
+    preferred = revisions.sparkSession.createDataFrame([(f"mem_{i}",) for i in (3, 5, 7)], "memory_id string")
+    return ingest.reflection_sources(revisions, preferred).select("memory_id", "revision")
+
+
+@query("messages")
+def pilot_selection(m):
+    rows = sessions.keyword_scores(sessions.normalized(m), F.array_join(F.col("events")["text"], "\n"), F.size("events")).withColumn("n", F.size("events"))
+    order = ["preference_change", "inferred_insight", "technical_debugging", "long_project_conversation", "ordinary_conversation"]
+    return ingest.pilot_sessions(ingest.scored_sessions(rows), order)
+
+
+@query("receipts", sql="SELECT receipt_id, CASE WHEN a < -5 OR a > 60 THEN 'OBSERVATION_STALE' END AS problem, CASE WHEN a BETWEEN -5 AND 60 THEN CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1 THEN 'healthy' ELSE 'degraded' END END AS status FROM (SELECT *, 100 - o_orderkey % 120 AS a FROM receipts)")
+def health_observation(rows):
+    now = F.lit("2024-01-01 00:01:40").cast("timestamp")
+    r = rows.select("receipt_id", (F.col("o_orderkey") % 3 != 0).alias("ok"), F.concat(F.lit("s"), (F.col("o_orderkey") % 4).cast("string")).alias("schema_state"), F.lit("s1").alias("expected_schema"), F.timestamp_seconds(F.lit(1704067200) + F.col("o_orderkey") % 120).alias("observed_at"))
+    return ingest.observation(r, now).select("receipt_id", "problem", "status")
+
+
+@query("revisions", sql="SELECT memory_id, revision, status, event_id FROM revisions WHERE ns = 'ns0' AND memory_id = 'mem_3' ORDER BY revision DESC LIMIT 1")
+def reference_lookup(revisions):
+    return ingest.reference(revisions, "ns0", "mem_3").select("memory_id", "revision", "status", "event_id")
+
+
+@query("receipts", sql="SELECT concat('unit_', substr(sha256(concat(receipt_id, chr(31), archive_checksum)), 1, 32)) AS unit_ref, source_id AS text, 'synthesized' AS epistemic_status FROM receipts WHERE archive_checksum IS NOT NULL")
+def synthetic_evidence(rows):
+    units = ingest.synthetic_units(rows.select(F.col("receipt_id").alias("exploration_id"), F.col("archive_checksum").alias("checksum"), F.col("source_id").alias("summary")))
+    return units.select("unit_ref", "text", "epistemic_status")
+
+
+@query("curation", sql="SELECT count(*) FILTER (canonical_id IS NOT NULL AND speaker = 'user') AS eligible, count(*) FILTER (relation IS NOT NULL) AS related, count(DISTINCT policy) AS scopes, count(*) FILTER (concat('unit:', unit_ref) IN ('unit:1', 'unit:2')) AS closed FROM curation")
+def boundary_counts(curation):
+    body = curation.withColumn("j", F.parse_json(F.to_json(F.struct(((F.col("speaker") == "user") & F.col("canonical_id").isNotNull()).alias("eligible"), F.array_compact(F.array("relation")).alias("related")))))
+    refs = F.array(F.concat(F.lit("unit:"), F.col("unit_ref").cast("string")))
+    return body.withColumn("refs", refs).agg(
+        F.count_if(F.variant_get("j", "$.eligible", "boolean")).alias("eligible"), F.count_if(F.size(F.variant_get("j", "$.related", "array<string>")) > 0).alias("related"), F.count_distinct("policy").alias("scopes"),
+        F.count_if(F.exists("refs", lambda r: r.isin("unit:1", "unit:2"))).alias("closed"),
+    )
+
+
+@query("labelled", sql="SELECT case_id, state, row_number() OVER (ORDER BY CASE state WHEN 'queued' THEN 0 ELSE 1 END, doc_id DESC, case_id) AS place FROM labelled ORDER BY place LIMIT 50")
+def ordered_events(labelled):
+    order = [F.when(F.col("state") == "queued", 0).otherwise(1), F.col("doc_id").desc(), F.col("case_id")]
+    top = labelled.orderBy(*order).limit(50)
+    # One page of rows.
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("case_id", "state", "place")
+
+
+@query("revisions", sql=EDGES + " SELECT type, count(*) AS n, count(DISTINCT split_part(dst, ':', 1)) AS kinds FROM e GROUP BY type")
+def edge_counts(revisions):
+    return _edges(revisions).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.substring_index("dst", ":", 1)).alias("kinds"))
