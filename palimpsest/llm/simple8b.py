@@ -18,8 +18,14 @@ MAGIC = b"S8B1"
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 
 
+#: Bits of each value below 2**16.
+_SHORT = np.array([max(1, v.bit_length()) for v in range(1 << 16)], np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, 1 at least."""
+    if len(values) and values.max() < 1 << 16:
+        return _SHORT[values.astype(np.uint16)]
     out = np.ones(len(values), np.uint8)
     for b in range(1, 64):
         over = values >> U(b) != 0
@@ -46,7 +52,7 @@ def pack(values: np.ndarray) -> np.ndarray:
         count, bits = SELECTORS[s - 1]
         k = count.bit_length() - 1
         most = np.maximum(widest[k][:n], widest[k][count - (1 << k) : count - (1 << k) + n])
-        choice[most <= bits] = s
+        np.putmask(choice, most <= bits, s)
     step = np.array([1, *(c for c, _ in SELECTORS)], np.uint8)[choice].tobytes()
     starts, i = [], 0
     add = starts.append
@@ -64,9 +70,10 @@ def pack(values: np.ndarray) -> np.ndarray:
             out[place[mine] + 1] = values[at[mine]]
             continue
         count, bits = SELECTORS[s - 1]
-        word = np.full(int(mine.sum()), int(s) << 60, U)
+        first = at[mine]
+        word = np.full(len(first), int(s) << 60, U)
         for j in range(count):
-            word |= padded[at[mine] + j] << U(j * bits)
+            word |= padded[first + j] << U(j * bits)
         out[place[mine]] = word
     return out
 
@@ -90,9 +97,9 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
             out[begin[mine]] = words[mine + 1]
             continue
         count, bits = SELECTORS[s - 1]
-        mask = U((1 << bits) - 1)
+        mask, first, own = U((1 << bits) - 1), begin[mine], words[mine]
         for j in range(count):
-            out[begin[mine] + j] = (words[mine] >> U(j * bits)) & mask
+            out[first + j] = (own >> U(j * bits)) & mask
     return out[:n]
 
 

@@ -35,8 +35,6 @@ _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.in
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path), TaskContext.get().partitionId()
         ids, docs, held, block, start = [], [], 0, 0, 0
@@ -45,8 +43,9 @@ def _encode(path: str, end_id: int):
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "start": start, "n_ids": held, "doc_ids": ids, "payload": simple8b.encode_block(docs)}], schema=_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.frombuffer(encode(text.as_py() or "") + end, "<u4")
+            found, offsets = encode(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                tokens = np.append(found[a:b], np.uint32(end_id))
                 if docs and held + len(tokens) > BLOCK:
                     yield flush()
                     block, start = block + 1, start + held

@@ -12,7 +12,7 @@ _BASE = U(0x9E3779B97F4A7C15)
 _POW = np.ones(1, U)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     """_BASE to the powers 0 to n - 1 at least, modulo 2**64."""
     global _POW
     if len(_POW) < n:
@@ -90,7 +90,7 @@ def hashed_words(buf: np.ndarray, offs: np.ndarray, alphabet: Alphabet) -> tuple
         if len(s):
             lens = np.diff(np.append(s, len(part)))
             rel = np.arange(s[0], len(part)) - np.repeat(s, lens)
-            v = alphabet.values[part[s[0] :]] * _powers(int(lens.max()) + 1)[rel]
+            v = alphabet.values[part[s[0] :]] * powers(int(lens.max()) + 1)[rel]
             hashes.append(mixed(np.add.reduceat(v, s - s[0])))
             starts.append(s + at)
         at = end

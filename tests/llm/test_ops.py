@@ -330,9 +330,14 @@ def test_lengths_odd(odd, empty):
 def test_cut_encoding_is_exact(tokenizer):
     encode, rng = tokens.Encoder(tokens.default_path()), random.Random(2)
     parts = ["a", "bc", " ", " ", "\n", ".", ",", "'s", "é", "1", "\t", "  ", "\x1c", "　", "word", "word,", "<|endoftext|>", "ﬁ", "Ω", "ª"]
-    for _ in range(4000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
-        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    import pyarrow as pa
+
+    for most in (len(parts), 3, 14):
+        some = [p for p in parts if most > 3 or not p.isspace() or p == " "]
+        texts = ["".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(3000)] + [None, "", "w" * 5000]
+        ids, ranges = encode(pa.array(texts))
+        for text, a, b in zip(texts, ranges[:-1], ranges[1:]):
+            assert ids[a:b].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 # 7. Decontamination.
