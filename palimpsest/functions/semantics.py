@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as V
@@ -49,29 +49,38 @@ def durable_rule(text: Column, known: bool | Column = False) -> Column:
     return (t != "") & matches(t, V.DURABLE_SCOPE) & matches(t, V.OPERATIONAL_BEHAVIOUR)
 
 
-def one_shot_directive(text: Column, known: bool | Column = False) -> Column:
+def one_shot_directive(text: Column, known: bool | Column = False, durable: Column | None = None) -> Column:
     """A command for the current session only."""
     t = F.trim(nfkc(text, known))
     any_of = reduce(lambda a, b: a | b, (matches(t, p) for p in V.ONE_SHOT))
-    return (t != "") & ~durable_rule(text, known) & any_of
+    return (t != "") & ~(durable_rule(text, known) if durable is None else durable) & any_of
 
 
-def explicit_preference(text: Column, known: bool | Column = False) -> Column:
+def explicit_preference(text: Column, known: bool | Column = False, directive: Column | None = None, durable: Column | None = None) -> Column:
     stated = reduce(lambda a, b: a | b, (matches(text, p) for p in (V.ACTOR_PREFERENCE, V.ACTOR_NEGATIVE_PREFERENCE, V.ACTOR_PREFERENCE_NOUN, V.CHINESE_PREFERENCE)))
     of_a_task = (matches(text, V.TASK_REQUEST) | matches(text, V.PREFERENCE_EXPERIMENT)) & ~matches(text, V.PREFERENCE_VERB)
-    return ~one_shot_directive(text, known) & (durable_rule(text, known) | (~of_a_task & stated))
+    directive = one_shot_directive(text, known) if directive is None else directive
+    return ~directive & ((durable_rule(text, known) if durable is None else durable) | (~of_a_task & stated))
 
 
-def placement_family(text: Column, known: bool | Column = False) -> Column:
+def placement_family(text: Column, known: bool | Column = False, explicit: Column | None = None) -> Column:
     about = matches(text, V.LIVE_COMMENTARY) & matches(text, V.PLACEMENT) & matches(text, V.NARRATIVE)
-    return about & (explicit_preference(text, known) | matches(text, V.INLINE_RULE) | matches(text, V.CHINESE_INLINE_RULE))
+    return about & ((explicit_preference(text, known) if explicit is None else explicit) | matches(text, V.INLINE_RULE) | matches(text, V.CHINESE_INLINE_RULE))
 
 
-def memory_type(text: Column, candidate_type: Column, known: bool | Column = False) -> Column:
+def signals(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with nfkc, durable, directive, explicit and placement: what the rules below share, each made once."""
+    t, n = F.col(text), F.col("nfkc")
+    df = df.withColumn("nfkc", nfkc(t)).withColumn("durable", durable_rule(t, n)).withColumn("directive", one_shot_directive(t, n, F.col("durable")))
+    df = df.withColumn("explicit", explicit_preference(t, n, F.col("directive"), F.col("durable")))
+    return df.withColumn("placement", placement_family(t, n, F.col("explicit")))
+
+
+def memory_type(text: Column, candidate_type: Column, known: bool | Column = False, directive: Column | None = None, preference: Column | None = None) -> Column:
     of_candidate = [("relationship_candidate", "relationship"), ("project_state_candidate", "project_state"), ("commitment_candidate", "commitment"), ("habit_candidate", "habit"), ("event_candidate", "event")]
     rules = [
-        (one_shot_directive(text, known), "transient_state"),
-        (explicit_preference(text, known) | placement_family(text, known), "preference"),
+        (one_shot_directive(text, known) if directive is None else directive, "transient_state"),
+        (explicit_preference(text, known) | placement_family(text, known) if preference is None else preference, "preference"),
         (matches(text, V.TRANSIENT), "transient_state"),
         (matches(text, V.COMPLETED_EVENT), "event"),
         (matches(text, V.PROJECT), "project_state"),
@@ -102,11 +111,13 @@ def epistemic_status(status: Column, kind: Column, who: Column) -> Column:
     )
 
 
-def matched_concepts(text: Column, kind: Column, who: Column, known: bool | Column = False) -> Column:
+def matched_concepts(text: Column, kind: Column, who: Column, known: bool | Column = False, explicit: Column | None = None, placement: Column | None = None) -> Column:
     """Ids of all concepts that match; user preferences only."""
     found = []
+    explicit = explicit_preference(text, known) if explicit is None else explicit
+    placement = placement_family(text, known) if placement is None else placement
     for name, _, _, needed, barred, _ in V.CONCEPTS:
-        test = explicit_preference(text, known) if needed else placement_family(text, known)
+        test = explicit if needed else placement
         test = reduce(lambda a, p: a & matches(text, p), needed, test)
         if barred:
             test = test & ~matches(text, barred)
@@ -170,24 +181,29 @@ def polarity(text: Column, concept_id: Column) -> Column:
 
 def semantic_key(text: Column, kind: Column, memory_kind: Column, concept_id: Column, known: bool | Column = False) -> Column:
     body = F.to_json(F.struct(memory_kind.alias("memoryKind"), kind.alias("memoryType"), normalized_text(text, known).alias("text")))
-    return F.coalesce(concept_key(concept_id), F.concat(F.lit("semantic:"), F.sha2(body, 256)))
+    # Never null, so that a join on it needs no filter, which would repeat all that the key is made of.
+    return F.coalesce(concept_key(concept_id), F.concat(F.lit("semantic:"), F.sha2(body, 256)), F.lit(""))
 
 
 def relation(candidate_text: Column, existing_text: Column, candidate_concept: Column, existing_concept: Column, known: bool | Column = False) -> Column:
     """How a candidate stands to the record of the same key."""
-    p, q = polarity(candidate_text, candidate_concept), polarity(existing_text, existing_concept)
-    a, b = semantic_tokens(candidate_text, known), semantic_tokens(existing_text, known)
+    side = lambda t, c: (normalized_text(t, known), semantic_tokens(t, known), polarity(t, c), c)
+    return relation_of(side(candidate_text, candidate_concept), side(existing_text, existing_concept))
+
+
+def relation_of(candidate: tuple[Column, ...], existing: tuple[Column, ...]) -> Column:
+    """The same from (normalized text, tokens, polarity, concept) of either side; give columns, for each is used often."""
+    (x, a, p, c), (y, b, q, d) = candidate, existing
     within = lambda x, y: F.size(F.array_except(x, y)) == 0
-    loose = _of_concept(candidate_concept, {c[0]: F.lit(c[2]) for c in V.CONCEPTS})
+    loose = _of_concept(c, {k[0]: F.lit(k[2]) for k in V.CONCEPTS})
     return first_of(
         [
-            (candidate_concept.isNull() & existing_concept.isNull() & (normalized_text(candidate_text, known) == normalized_text(existing_text, known)), "equivalent"),
-            (candidate_concept.isNull() | existing_concept.isNull() | (candidate_concept != existing_concept), "unrelated"),
-            ((p == "unknown") | (q == "unknown"), "unrelated"),
+            (c.isNull() & d.isNull() & (x == y), "equivalent"),
+            (c.isNull() | d.isNull() | (c != d) | (p == "unknown") | (q == "unknown"), "unrelated"),
             (p != q, "contradicts"),
-            (within(a, b) & ~within(b, a), "existing_subsumes_candidate"),
-            (within(b, a) & ~within(a, b), "candidate_subsumes_existing"),
             (within(a, b) & within(b, a), "equivalent"),
+            (within(a, b), "existing_subsumes_candidate"),
+            (within(b, a), "candidate_subsumes_existing"),
             (loose, "equivalent"),
         ],
         "unrelated",

@@ -33,9 +33,7 @@ def mapped(results: DataFrame) -> DataFrame:
     What the metadata declares in full counts; else the kind and the text do.
     """
     m, text, kind = F.col("metadata"), F.col("text"), F.coalesce(F.col("kind"), F.lit("world"))
-    r = results.withColumns({"__nfkc": nfkc(text)})
-    preference = S.explicit_preference(text, F.col("__nfkc")) | S.placement_family(text, F.col("__nfkc"))
-    r = r.withColumns({"__preference": preference, "__habit": matches(text, HABIT)})
+    r = S.signals(results).withColumns({"__preference": F.col("explicit") | F.col("placement"), "__habit": matches(text, HABIT)})
     declared = F.coalesce(m["candidate_type"].isin(*CANDIDATE_TYPES) & m["memory_class"].isNotNull() & (F.trim(m["memory_kind"]) != ""), F.lit(False))
     of = lambda c, k, n: F.struct(F.lit(c).alias("candidate_type"), F.lit(k).alias("memory_class"), F.lit(n).alias("memory_kind"))
     shape = S.first_of(
@@ -68,32 +66,43 @@ def mapped(results: DataFrame) -> DataFrame:
 
 
 def classified(units: DataFrame) -> DataFrame:
-    """Units (text, candidate_type, epistemic_status, producer, memory_kind) with type, speaker, status, concept, key and polarity."""
+    """Units (text, candidate_type, epistemic_status, producer, memory_kind) with type, speaker, status, concept, key, polarity, normalized text and tokens."""
     text, n = F.col("text"), F.col("nfkc")
-    u = units.withColumn("nfkc", nfkc(text))
-    u = u.withColumns({"directive": S.one_shot_directive(text, n), "memory_type": S.memory_type(text, F.col("candidate_type"), n), "speaker": S.speaker(F.lit(None).cast("string"), F.col("producer"))})
-    u = u.withColumns({"attributed": S.epistemic_status(F.col("epistemic_status"), F.col("memory_type"), F.col("speaker")), "concept": S.concept(S.matched_concepts(text, F.col("memory_type"), F.col("speaker"), n))})
-    return u.withColumns({"semantic_key": S.semantic_key(text, F.col("memory_type"), F.col("memory_kind"), F.col("concept"), n), "polarity": S.polarity(text, F.col("concept"))}).drop("nfkc")
+    u = S.signals(units)
+    preference = F.col("explicit") | F.col("placement")
+    u = u.withColumns({"memory_type": S.memory_type(text, F.col("candidate_type"), n, F.col("directive"), preference), "speaker": S.speaker(F.lit(None).cast("string"), F.col("producer"))})
+    matched = S.matched_concepts(text, F.col("memory_type"), F.col("speaker"), n, F.col("explicit"), F.col("placement"))
+    u = u.withColumns({"attributed": S.epistemic_status(F.col("epistemic_status"), F.col("memory_type"), F.col("speaker")), "matched": matched})
+    u = u.withColumn("concept", S.concept(F.col("matched")))
+    u = u.withColumns({"semantic_key": S.semantic_key(text, F.col("memory_type"), F.col("memory_kind"), F.col("concept"), n), "polarity": S.polarity(text, F.col("concept")), "normalized": S.normalized_text(text, n), "tokens": S.semantic_tokens(text, n)})
+    return u.drop("nfkc", "durable", "explicit", "placement", "matched")
+
+
+#: What a relation is made of.
+_SIDE = ("normalized", "tokens", "polarity", "concept")
 
 
 def distilled(units: DataFrame, current: DataFrame) -> DataFrame:
-    """Classified units with durability, outcome, reason, relation and target, against current (semantic_key, memory_id, status, text, concept).
+    """Classified units with durability, outcome, reason, relation and target, against current (semantic_key, memory_id, status, and what classified() adds).
 
     A key that was forgotten stays so; one that is held merges if the statements agree and is reviewed if they do not.
     """
     u = units.withColumn("durability", S.durability(F.col("memory_type"), F.col("candidate_type"), F.col("directive")))
     proposed = S.curation_outcome(F.col("attributed"), F.col("durability"))
     valid = S.attribution_valid(F.col("epistemic_status"), F.lit("semantic_policy"), F.col("attributed"), F.col("text"), F.lit(None).cast("string"))
-    u = u.withColumn("__d", S.admission(F.col("directive"), valid, F.lit("novel"), proposed, F.lit(True), F.col("durability"), F.col("attributed"), F.lit(False)))
-    c = current.select("semantic_key", F.col("memory_id").alias("target"), F.col("status").alias("__status"), F.col("text").alias("__text"), F.col("concept").alias("__concept"))
+    u = u.withColumns({"__valid": valid, "__proposed": proposed})
+    d = S.admission(F.col("directive"), F.col("__valid"), F.lit("novel"), F.col("__proposed"), F.lit(True), F.col("durability"), F.col("attributed"), F.lit(False))
+    # Fields as columns of their own: a struct would be taken apart again wherever it is read.
+    u = u.withColumns({"__outcome": d["outcome"], "__reason": d["reason"]})
+    c = current.select("semantic_key", F.col("memory_id").alias("target"), F.col("status").alias("__status"), *(F.col(k).alias(f"__{k}") for k in _SIDE))
     u = u.join(c, "semantic_key", "left")
-    open_ = F.col("__d.outcome") == "canonical_candidate"
+    open_ = F.col("__outcome") == "canonical_candidate"
     held = open_ & F.col("target").isNotNull()
-    related = S.relation(F.col("text"), F.col("__text"), F.col("concept"), F.col("__concept"))
+    related = S.relation_of(tuple(map(F.col, _SIDE)), tuple(F.col(f"__{k}") for k in _SIDE))
     u = u.withColumn("relation", F.when(held & (F.col("__status") != "tombstoned"), related))
     apart = F.col("relation").isin("contradicts", "unrelated")
     forgotten = held & (F.col("__status") == "tombstoned")
-    outcome = S.first_of([(forgotten, "supporting_evidence_only"), (F.coalesce(apart, F.lit(False)), "pending_review"), (F.col("relation").isNotNull(), "canonical_merge")], F.col("__d.outcome"))
+    outcome = S.first_of([(forgotten, "supporting_evidence_only"), (F.coalesce(apart, F.lit(False)), "pending_review"), (F.col("relation").isNotNull(), "canonical_merge")], F.col("__outcome"))
     reason = S.first_of(
         [
             (forgotten, "admission:suppressed_by_governed_forget"),
@@ -101,10 +110,10 @@ def distilled(units: DataFrame, current: DataFrame) -> DataFrame:
             (F.col("relation") == "unrelated", "admission:semantic_key_collision_requires_review"),
             (F.col("relation").isNotNull(), "admission:canonical_merge_allowed"),
         ],
-        F.coalesce("__d.reason", F.lit("admission:as_proposed")),
+        F.coalesce("__reason", F.lit("admission:as_proposed")),
     )
     out = u.withColumns({"outcome": outcome, "reason": reason, "exact_duplicate": forgotten, "target": F.when(held, F.col("target"))})
-    return out.drop("__d", "__status", "__text", "__concept")
+    return out.drop("__valid", "__proposed", "__outcome", "__reason", "__status", *(f"__{k}" for k in _SIDE))
 
 
 def current_by_key(revisions: DataFrame, keys: DataFrame) -> DataFrame:

@@ -431,8 +431,9 @@ def _composed(s):
 
 
 def _typed(s):
-    s = _composed(s)
-    return s.withColumn("memory_type", semantics.memory_type(F.col("text"), F.col("candidate_type"), F.col("nfkc"))).withColumn("speaker", semantics.speaker(F.lit(None).cast("string"), F.col("producer")))
+    s = semantics.signals(s)
+    kind = semantics.memory_type(F.col("text"), F.col("candidate_type"), F.col("nfkc"), F.col("directive"), F.col("explicit") | F.col("placement"))
+    return s.withColumn("memory_type", kind).withColumn("speaker", semantics.speaker(F.lit(None).cast("string"), F.col("producer")))
 
 
 def _rx(pattern, text="text"):
@@ -461,8 +462,7 @@ def memory_type_classify(s):
 
 @query("statements", sql=f"SELECT doc_id, {ONE_SHOT_SQL} AS one_shot, {DURABLE_SQL} AS durable, {EXPLICIT_SQL} AS explicit_preference FROM statements")
 def one_shot_directives(s):
-    t, n = F.col("text"), F.col("nfkc")
-    return _composed(s).select("doc_id", semantics.one_shot_directive(t, n).alias("one_shot"), semantics.durable_rule(t, n).alias("durable"), semantics.explicit_preference(t, n).alias("explicit_preference"))
+    return semantics.signals(s).select("doc_id", F.col("directive").alias("one_shot"), "durable", F.col("explicit").alias("explicit_preference"))
 
 
 @query("statements", sql=f"SELECT doc_id, CASE WHEN {_rx(fixed.GENERAL_NEGATIVE)} AND {_rx(fixed.GENERAL_POSITIVE)} THEN 'unknown' WHEN {_rx(fixed.GENERAL_NEGATIVE)} THEN 'negative' ELSE 'affirmative' END AS polarity FROM statements")
@@ -482,7 +482,7 @@ def semantic_key_exact(s):
 def admission_outcomes(s):
     out = _typed(s)
     t, raw = F.col("text"), F.col("epistemic_status")
-    directive = semantics.one_shot_directive(t, F.col("nfkc"))
+    directive = F.col("directive")
     status = semantics.epistemic_status(raw, F.col("memory_type"), F.col("speaker"))
     lasting = semantics.durability(F.col("memory_type"), F.col("candidate_type"), directive)
     out = out.withColumns({"d": directive, "st": status, "du": lasting})
@@ -506,8 +506,9 @@ def contamination_scan(s):
 @query("statements")
 def token_relation(s):
     # Each statement against the next of its source.
-    s = _composed(s)
-    s = s.withColumn("concept", semantics.concept(semantics.matched_concepts(F.col("text"), F.lit("preference"), F.lit("user"), F.col("nfkc"))))
+    s = semantics.signals(s)
+    s = s.withColumn("matched", semantics.matched_concepts(F.col("text"), F.lit("preference"), F.lit("user"), F.col("nfkc"), F.col("explicit"), F.col("placement")))
+    s = s.withColumn("concept", semantics.concept(F.col("matched")))
     by = Window.partitionBy("source").orderBy("doc_id")
     pairs = s.withColumns({"next": F.lead("doc_id").over(by), "other": F.lead("text").over(by), "other_concept": F.lead("concept").over(by)}).where("next IS NOT NULL")
     return pairs.select("doc_id", "next", semantics.relation(F.col("text"), F.col("other"), F.col("concept"), F.col("other_concept")).alias("relation"))
@@ -714,7 +715,7 @@ def distill_pipeline(s, curation):
     """Statements classified, admitted and held against the statements of the first source."""
     units = ingest.classified(s.withColumn("memory_kind", F.lit("note")))
     held = units.withColumn("memory_id", F.concat(F.lit("mem_"), F.col("doc_id").cast("string"))).withColumn("status", F.when(F.col("doc_id") % 10 == 7, "tombstoned").otherwise("active"))
-    current = records.latest(held, ["semantic_key"], F.col("doc_id")).select("semantic_key", "memory_id", "status", "text", "concept")
+    current = records.latest(held, ["semantic_key"], F.col("doc_id"))
     out = ingest.distilled(units, current)
     return out.select("doc_id", "memory_type", "durability", "outcome", "reason", "relation", "target")
 
