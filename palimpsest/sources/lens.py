@@ -71,8 +71,8 @@ LENSES = {
     ),
     "curation": (
         "lineitem",
-        """SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS record_id, concat('r', l_orderkey) AS receipt_id,
-        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS unit_ref,
+        """SELECT concat(l_orderkey, '-', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)) AS record_id, concat('r', l_orderkey) AS receipt_id,
+        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS unit_ref,
         CASE WHEN l_returnflag = 'A' THEN 'canonical_candidate' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'rejected' WHEN l_returnflag = 'R' THEN 'pending_review'
           WHEN l_linestatus = 'F' THEN 'supporting_evidence_only' ELSE 'duplicate' END AS outcome,
         CASE WHEN l_returnflag = 'A' THEN concat('mem_', l_partkey % 500) END AS canonical_id, l_returnflag = 'N' AND l_linestatus = 'F' AS exact_duplicate,
