@@ -2,11 +2,14 @@
 
 1. Each page is cut into tags and text. Every container (an element that holds blocks) gets a score: the text of its
    blocks less that in links, less what lies in parts that are never main text (navigation, footers, forms, adverts, reader
-   comments and the like, by tag or by words of class and id), shared with a container's parent by half. The best container's
-   path from the body, tags with their classes, digits generalised, is the page's vote.
+   comments and the like, by tag or by words of class and id). Best are the outermost articles (by tag or by words) where
+   they hold half of the page's text or more; if their paths differ, or a title (h1) lies outside, the smallest container
+   around all. Else it is the smallest container that holds all text, so several containers or a heading beside one keep
+   their parent. The path from the body, tags with their classes, digits generalised, is the page's vote.
 2. Votes are counted by host, weighted by text, as partial sums; the path with most weight wins, ties by path.
-3. Pages are read again with their host's winning path: the text of the elements at that path, in page order.
-   Where no element is there, or it holds less than a tenth of the text of the page's own best, the page's own best is taken.
+3. Pages are read again with their host's winning path: the text of all elements at that path, in page order.
+   Where none is there, or they hold less than a tenth of the text of the page's own best, all elements at the page's own
+   best path are taken.
 
 Only (host, path, weight) rows are shuffled, never pages. The winners (one row a host) are broadcast when counted to be
 few, else joined. Null html gives an empty text; a null url is a host of its own. Tags that never close or close twice
@@ -184,48 +187,74 @@ def blocks_of(node: Node) -> list[str]:
 
 def _measured(root: Node) -> list[Node]:
     """All elements that are not skipped, children after parents, with the characters that they hold."""
-    order, stack = [], [(root, False)]
+    order, stack = [], [(root, False, False)]
     while stack:
-        node, link = stack.pop()
+        node, link, title = stack.pop()
+        title = title or node.tag == "h1"
         order.append(node)
-        link = link or node.tag == "a"
+        # A title that links to its own page is text.
+        link = (link or node.tag == "a") and not title
         for child in node.children:
             if isinstance(child, str):
                 size = len(child.strip())
                 node.linked += size * link
                 node.own += size * (not link)
             elif not child.skipped:
-                stack.append((child, link))
+                stack.append((child, link, title))
     return order
 
 
 def best_container(root: Node) -> tuple[Node, float]:
-    """The container of the highest score: what its own blocks hold, and half of what those of its containers do."""
+    """The smallest container that leaves out no text but what lies outside the page's articles, and the characters it holds."""
     order = _measured(root)
     score: dict[Node, float] = {}
+    #: What a container's own blocks hold, and the containers next below it that hold text.
+    inside: dict[Node, list[Node]] = {}
     for node in reversed(order):
-        mine = max(0, node.own - 2 * node.linked) + score.get(node, 0.0)
-        score[node] = mine
-        if node.parent:
-            # Inline elements and blocks of text pass all on to what holds them.
-            score[node.parent] = score.get(node.parent, 0.0) + (mine / 2 if node.tag in CONTAINERS else mine)
-    found = [n for n in order if n.tag in CONTAINERS]
-    if not found:
-        return root, score.get(root, 0.0)
-    best = max(found, key=lambda n: (score[n] * (1.5 if n.tag in ("article", "main") else 1.0), -len(n.path)))
+        score[node] = score.get(node, 0) + max(0, node.own - 2 * node.linked)
+        if score[node] and node.parent:
+            score[node.parent] = score.get(node.parent, 0) + score[node]
+            below = [node] if node.tag in CONTAINERS else inside.get(node, [])
+            inside.setdefault(node.parent, []).extend(below)
+    articles = [n for n in order if n.article and not n.parent.article and score[n]]
+    if articles and 2 * sum(score[n] for n in articles) >= score[root]:
+        titles = [n for n in order if n.tag == "h1" and not n.article and score[n]]
+        best = articles[0] if len({n.path for n in articles}) == 1 and not titles else _around(articles + titles)
+        return best, score[best]
+    best = root
+    while len(below := inside.get(best, [])) == 1 and score[below[0]] == score[best]:
+        best = below[0]
     return best, score[best]
 
 
-def at_path(root: Node, path: str) -> list[Node]:
-    """The outermost elements at a path, in page order."""
-    out, stack = [], [root]
+def _above(node: Node) -> list[Node]:
+    """A node and what encloses it, outermost first."""
+    out = [node]
+    while out[-1].parent:
+        out.append(out[-1].parent)
+    return out[::-1]
+
+
+def _around(nodes: list[Node]) -> Node:
+    """The smallest container around all nodes."""
+    shared = _above(nodes[0])
+    for node in nodes[1:]:
+        shared = [a for a, b in zip(shared, _above(node)) if a is b]
+    return next((n for n in reversed(shared) if n.tag in CONTAINERS), shared[0])
+
+
+def _in_order(root: Node) -> Iterator[Node]:
+    """All elements that are not skipped, in page order."""
+    stack = [root]
     while stack:
         node = stack.pop()
-        if node.path == path and node.tag in CONTAINERS:
-            out.append(node)
-        else:
-            stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.skipped)
-    return out
+        yield node
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.skipped)
+
+
+def at_path(root: Node, path: str) -> list[Node]:
+    """The elements at a path, in page order."""
+    return [n for n in _in_order(root) if n.path == path and n.tag in CONTAINERS]
 
 
 def main_text(page: str | None, path: str | None = None) -> str:
@@ -234,7 +263,7 @@ def main_text(page: str | None, path: str | None = None) -> str:
         return ""
     root = parsed(page)
     best, _ = best_container(root)
-    own = blocks_of(best)
+    own = [b for node in at_path(root, best.path) or [best] for b in blocks_of(node)]
     if path and best.path != path:
         common = [b for node in at_path(root, path) for b in blocks_of(node)]
         if 10 * sum(map(len, common)) >= sum(map(len, own)) and common:

@@ -209,6 +209,22 @@ def test_consensus_helps_the_odd_page(spark):
     assert html.extracted(df.where("false")).count() == 0
 
 
+def test_parents_keep_all_their_text():
+    para = lambda word, n: f"<p>{' '.join([word] * n)}</p>"
+    two = f"<body><div class=wrap><section>{para('one', 150)}</section><section>{para('two', 50)}</section></div></body>"
+    mixed = two.replace("<section>", "<section class=b>", 1)
+    titled = f"<body><article><h1>The title</h1><div>{para('body', 300)}</div></article></body>"
+    linked = titled.replace("The title", "<a href=x>The title</a>")
+    outside = f"<body><h1>The title</h1><div class=content>{para('body', 300)}</div></body>"
+    posts = f"<body><article class=a>{para('one', 150)}</article><div>, </div><article class=b>{para('two', 50)}</article></body>"
+    for page, words in ((two, ("one", "two")), (mixed, ("one", "two")), (titled, ("The title", "body")), (linked, ("The title", "body")), (outside, ("The title", "body")), (posts, ("one", "two"))):
+        for path in (None, html.vote(page)[0], "body>section"):
+            assert all(w in html.main_text(page, path) for w in words)
+    same = f"<body><article>{para('one', 150)}</article><div class=ad>no</div><article>{para('two', 50)}</article></body>"
+    assert html.vote(same)[0] == "body>article"
+    assert html.main_text(same, "body>article") == html.main_text(same) == " ".join(["one"] * 150) + "\n" + " ".join(["two"] * 50)
+
+
 def test_pages_are_their_articles(spark, data):
     pages = {r.page_id: r.html for r in table(spark, data, "pages").collect()}
     for r in html.op3(spark, data).collect():
