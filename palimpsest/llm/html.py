@@ -8,8 +8,9 @@
    their parent. The path from the body, tags with their classes, digits generalised, is the page's vote.
 2. Votes are counted by host, weighted by text, as partial sums; the path with most weight wins, ties by path.
 3. Pages are read again with their host's winning path: the text of all elements at that path, in page order.
-   Where none is there, or they hold less than a tenth of the text of the page's own best, all elements at the page's own
-   best path are taken.
+   Where none is there, all elements at the page's own best path are taken. Where the two overlap, the host's path is taken
+   if it holds more than half of the text of the page's own (a repeated block counts once), else the page's own.
+   Where they lie apart, both are taken in page order, since either may be the article.
 
 Only (host, path, weight) rows are shuffled, never pages. The winners (one row a host) are broadcast when counted to be
 few, else joined. Null html gives an empty text; a null url is a host of its own. Tags that never close or close twice
@@ -235,6 +236,16 @@ def _above(node: Node) -> list[Node]:
     return out[::-1]
 
 
+def _all_above(nodes: list[Node]) -> set[Node]:
+    """Nodes and what encloses any of them."""
+    out: set[Node] = set()
+    for node in nodes:
+        while node and node not in out:
+            out.add(node)
+            node = node.parent
+    return out
+
+
 def _around(nodes: list[Node]) -> Node:
     """The smallest container around all nodes."""
     shared = _above(nodes[0])
@@ -257,18 +268,30 @@ def at_path(root: Node, path: str) -> list[Node]:
     return [n for n in _in_order(root) if n.path == path and n.tag in CONTAINERS]
 
 
+def _distinct(nodes: list[Node]) -> int:
+    """Characters of the blocks of elements, repeated blocks once."""
+    return sum(map(len, {b for node in nodes for b in blocks_of(node)}))
+
+
 def main_text(page: str | None, path: str | None = None) -> str:
     """The blocks of the page's main text joined by newlines, by its host's path if there is something at it."""
     if not page:
         return ""
     root = parsed(page)
     best, _ = best_container(root)
-    own = [b for node in at_path(root, best.path) or [best] for b in blocks_of(node)]
-    if path and best.path != path:
-        common = [b for node in at_path(root, path) for b in blocks_of(node)]
-        if 10 * sum(map(len, common)) >= sum(map(len, own)) and common:
-            own = common
-    return "\n".join(own)
+    taken = at_path(root, best.path) or [best]
+    common = at_path(root, path) if path and best.path != path else []
+    if _distinct(common):
+        inner, around_taken, around_common = set(common), _all_above(taken), _all_above(common)
+        if not inner.isdisjoint(around_taken) or not around_common.isdisjoint(taken):
+            # Where one lies in the other, the common path has to hold most of the text.
+            if 2 * _distinct(common) > _distinct(taken):
+                taken = common + [n for n in taken if n not in around_common and inner.isdisjoint(_above(n))]
+        else:
+            taken += common
+        place = {n: i for i, n in enumerate(_in_order(root))}
+        taken.sort(key=place.__getitem__)
+    return "\n".join(b for node in taken for b in blocks_of(node))
 
 
 def vote(page: str | None) -> tuple[str, int] | None:

@@ -225,6 +225,18 @@ def test_parents_keep_all_their_text():
     assert html.main_text(same, "body>article") == html.main_text(same) == " ".join(["one"] * 150) + "\n" + " ".join(["two"] * 50)
 
 
+def test_small_common_elements_replace_no_article(spark):
+    major = "<body><article><h1>Title %d</h1><p>" + "major words " * 200 + "</p></article></body>"
+    beside = "<body><article><p>" + "teaser words " * 12 + "</p></article><div class=post><p>" + "minor words %d " * 80 + "</p></div></body>"
+    apart = beside.replace("<article>", "<article><b>", 1).replace("class=post", "id=x")
+    rows = [(i, "https://example.org/", major % i) for i in range(6)] + [(i, "https://example.org/", beside % ((i,) * 80)) for i in (6, 7)] + [(8, "https://example.org/", apart % ((8,) * 80))]
+    out = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0].startswith("Title 0\nmajor") and all(out[i].count("minor") == 80 for i in (6, 7, 8))
+    # Apart from the page's own article, both are taken in page order.
+    page = "<body><div class=x><p>short</p></div><div class=post><p>" + "long words " * 50 + "</p></div></body>"
+    assert html.main_text(page, "body>div.x").startswith("short\nlong words")
+
+
 def test_pages_are_their_articles(spark, data):
     pages = {r.page_id: r.html for r in table(spark, data, "pages").collect()}
     for r in html.op3(spark, data).collect():
