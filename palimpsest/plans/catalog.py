@@ -690,6 +690,44 @@ def titles(s):
     return s.select("doc_id", graph.title(F.col("text"), "untitled").alias("title"))
 
 
+# Units: the text that documents really have. DuckDB has no NFKC, so its SQL composes canonically; tests hold odd texts
+# against brute force.
+
+NORMALIZED_SQL = "trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+KEY_SQL = f"concat('semantic:', sha256(concat('{{\"memoryKind\":\"', source, '\",\"memoryType\":\"fact\",\"text\":\"', {NORMALIZED_SQL}, '\"}}')))"
+
+
+@query("units", sql=f"SELECT doc_id, {KEY_SQL} AS semantic_key FROM units")
+def semantic_key_units(u):
+    return u.select("doc_id", semantics.semantic_key(F.col("text"), F.lit("fact"), F.col("source"), F.lit(None).cast("string")).alias("semantic_key"))
+
+
+@query("units", sql=f"+ k AS (SELECT doc_id, sha256({NORMALIZED_SQL}) AS key FROM units) SELECT doc_id, key, count(*) OVER (PARTITION BY key) - 1 AS others FROM k WHERE key IS NOT NULL QUALIFY count(*) OVER (PARTITION BY key) > 1")
+def duplicate_candidates_units(u):
+    # A null text has no key. Keys are dealt out by document, so that both uses read one exchange and texts are normalised once.
+    keyed = u.select("doc_id", F.sha2(semantics.normalized_text(F.col("text")), 256).alias("key")).repartition("doc_id")
+    counts = keyed.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    return keyed.join(counts, "key").select("doc_id", "key", "others")
+
+
+@query("units", sql="+ m AS (SELECT concat('mem_', min(doc_id)) AS memory_id, lower(trim(nfc_normalize(text))) AS key FROM units GROUP BY text) SELECT doc_id AS ref, memory_id FROM units JOIN m ON key = lower(trim(nfc_normalize(text)))")
+def normalized_text_match_units(u):
+    memories = u.groupBy("text").agg(F.concat(F.lit("mem_"), F.min("doc_id").cast("string")).alias("memory_id"))
+    return ingest.same_text(memories, u.select(F.col("doc_id").alias("ref"), F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"))).select("ref", "memory_id")
+
+
+@query("units", sql="""+ f AS (SELECT doc_id, trim(regexp_extract(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^[^。！？.!?]*')) AS t FROM units)
+ SELECT doc_id, CASE WHEN t = '' THEN 'untitled' WHEN length(t) > 72 THEN concat(substring(t, 1, 69), '…') ELSE t END AS title FROM f""")
+def titles_units(u):
+    return titles(u)
+
+
+@query("units", sql="""+ d AS (SELECT concat(CASE WHEN doc_id % 5 = 0 THEN 'n' ELSE 'p' END, doc_id) AS path, md5(text) AS h FROM units), o AS (SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'o' ELSE 'p' END, doc_id) AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(text) END AS g FROM units)
+ SELECT path, CASE WHEN h IS NULL THEN 'removed' WHEN g IS NOT DISTINCT FROM h THEN 'unchanged' ELSE 'written' END AS change FROM d FULL JOIN o USING (path)""")
+def file_diff_units(u):
+    return file_diff(u)
+
+
 # Functions.
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PLUS_HOURS = {"spark": "make_dt_interval(0, CAST(floor(value) AS INT))", "duckdb": "to_hours(CAST(floor(value) AS INT))"}
 _LIST = {"spark": "array", "duckdb": "list_value"}
 
-#: Statements that documents are given by their id, for fixture prose says nothing.
+#: Statements that documents are given by their id, for fixture prose says nothing to the pattern rules; units have the real text.
 STATEMENTS = (
     "User prefers dark mode.",
     "用戶偏好深色模式。",
@@ -96,6 +96,7 @@ LENSES = {
         " CASE WHEN doc_id % 4 = 0 THEN 'inferred' WHEN doc_id % 4 = 1 THEN 'user_asserted' WHEN doc_id % 4 = 2 THEN 'system_observed' ELSE 'observed' END AS epistemic_status,"
         " CASE WHEN doc_id % 3 = 0 THEN 'user' WHEN doc_id % 3 = 1 THEN 'system' ELSE 'agent' END AS producer FROM documents",
     ),
+    "units": ("documents", "SELECT doc_id, source, text FROM documents"),
     "hits": (
         "embeddings",
         "SELECT concat('mem_', vec_id % 170) AS memory_id, vec_id AS rank, CAST(vec_id % 5 + 60 AS BIGINT) AS claimed_revision FROM embeddings",
