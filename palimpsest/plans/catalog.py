@@ -702,6 +702,12 @@ def semantic_key_units(u):
     return u.select("doc_id", semantics.semantic_key(F.col("text"), F.lit("fact"), F.col("source"), F.lit(None).cast("string")).alias("semantic_key"))
 
 
+@query("statements", sql=f"SELECT doc_id, {KEY_SQL} AS semantic_key FROM statements")
+def semantic_key_all(s):
+    """Every row, unlike semantic_key_exact, whose SQL is of ASCII rows."""
+    return semantic_key_units(s)
+
+
 @query("units", sql=f"+ k AS (SELECT doc_id, sha256({NORMALIZED_SQL}) AS key FROM units) SELECT doc_id, key, count(*) OVER (PARTITION BY key) - 1 AS others FROM k WHERE key IS NOT NULL QUALIFY count(*) OVER (PARTITION BY key) > 1")
 def duplicate_candidates_units(u):
     # A null text has no key. Keys are dealt out by document, so that both uses read one exchange and texts are normalised once.

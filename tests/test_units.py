@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from palimpsest.plans import catalog
+from palimpsest.sources.lens import lens
 
 TEXTS = ["File one.", "ﬁle  ONE!", "ＦＩＬＥ one", "用戶偏好深色模式。", "用戶偏好深色模式｡", "Straße", "STRASSE", "  long \n" + "word " * 30_000, "", "¿?", "naïve", "nai\u0308ve"]
 
@@ -35,6 +36,14 @@ def test_units_have_the_real_text(spark, folder):
     assert rows == {i: "semantic:" + sha(body(i, t)) for i, t in enumerate(TEXTS)}
 
 
+def test_all_statements_have_keys(spark, data):
+    texts = {r.doc_id: r for r in lens(spark, data, "statements").collect()}
+    rows = {r.doc_id: r.semantic_key for r in catalog.QUERIES["semantic_key_all"](spark, data).collect()}
+    body = lambda r: json.dumps({"memoryKind": r.source, "memoryType": "fact", "text": normalized(r.text)}, ensure_ascii=False, separators=(",", ":"))
+    assert rows == {i: "semantic:" + sha(body(r)) for i, r in texts.items()}
+    assert any(not r.text.isascii() for r in texts.values())
+
+
 def test_duplicates_of_units(spark, folder):
     keys = [sha(normalized(t)) for t in TEXTS]
     counts = Counter(keys)
