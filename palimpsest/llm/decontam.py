@@ -11,7 +11,7 @@ Documents never move: the patterns go to them. They are broadcast in parts of PA
 pass of its own, so what is sent at once is bounded however large the benchmark is.
 
 Null texts and items have no words; items without words match nothing; an item that repeats counts once; items
-with equal windows all count.
+with equal windows all count. An item with a null id is searched as any other, only the list of ids is without it.
 """
 
 from __future__ import annotations
@@ -110,12 +110,12 @@ class Patterns:
         return pos, which
 
 
-def windows_of(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[Patterns]:
+def windows_of(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[Patterns]:
     owners: dict[tuple[bytes, ...], set[int]] = {}
     for item, text in items:
         words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
         for i in range(max(1, len(words) - window + 1) if words else 0):
-            owners.setdefault(tuple(words[i : i + window]), set()).add(item)
+            owners.setdefault(tuple(words[i : i + window]), set()).update(() if item is None else (item,))
     by_length: dict[int, list] = {}
     for w in owners:
         by_length.setdefault(len(w), []).append(w)
@@ -162,7 +162,7 @@ def _pass(sent, text: str):
                 column = batch.column(names.index(text))
                 ranges, hit, pairs = _search(column, patterns)
                 runs, items = batch.column(names.index(_R)).to_pylist(), batch.column(names.index(_I)).to_pylist()
-                for row in {r for r, _ in pairs}:
+                for row in np.unique(np.searchsorted(ranges, np.flatnonzero(hit), "right") - 1).tolist():
                     own = hit[ranges[row] : ranges[row + 1]]
                     for x in runs[row]:
                         own[x["begin"] : x["end"]] = True
@@ -178,12 +178,12 @@ def _pass(sent, text: str):
 def _marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = 1 + size // (2 * PART)  # a window begins at a word, of two characters with its gap at least
     out = docs.withColumns({_N: F.lit(0).cast("long"), _R: F.expr("CAST(array() AS array<struct<begin:long,end:long>>)"), _I: F.expr("CAST(array() AS array<bigint>)")})
     for k in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k) if parts > 1 else items
+        mine = items.where(F.pmod(F.coalesce(F.when(F.col("item").isNotNull(), F.xxhash64("item")), F.xxhash64("text")), F.lit(parts)) == k) if parts > 1 else items
         patterns = windows_of([tuple(r) for r in mine.collect()], window)
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(patterns), text_col), out.schema)
     return out

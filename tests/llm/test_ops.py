@@ -396,6 +396,15 @@ def test_windows_equal_brute_force(spark, data, texts):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, len(hit), len(found), digest, bool(hit))
 
 
+def test_items_without_id_are_searched(spark):
+    docs = spark.createDataFrame([(0, "zero one two three four"), (1, "five six"), (2, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (7, "five six")], "item_id long, text string")
+    out = {r.doc_id: r for r in decontam.marked(docs, items).collect()}
+    assert [tuple(x) for x in out[0].runs] == [(1, 4)] and out[0]["items"] == []
+    assert out[1]["items"] == [7] and not out[2].runs
+    assert [r.doc_id for r in decontam.cleaned(docs, items).collect()] == [2]
+
+
 @pytest.mark.parametrize("part", [200_000, 20])
 def test_short_items_repeats_and_parts(spark, odd, monkeypatch, part):
     monkeypatch.setattr(decontam, "PART", part)
