@@ -41,7 +41,7 @@ BITS = 512
 #: Members of a bucket on either side of a unit.
 STRETCH = 1500
 #: Standard deviations of an odd sketch's estimate that a pair may lie below the threshold.
-SIGMAS = 5
+SIGMAS = 5.5
 #: Members that are compared with a centre in one stretch.
 SPREAD = 500
 

@@ -165,6 +165,10 @@ def test_odd_sketches_estimate_similarity():
         assert (differ <= neardup.most_bits(0.85, k)) == (share > 0.6)
 
 
+def test_sift_keeps_all_but_the_rarest():
+    assert neardup.SIGMAS >= 5.5
+
+
 def test_groups_odd(odd, empty):
     out = neardup.grouped(odd).collect()
     assert len(out) == odd.count()
