@@ -252,6 +252,63 @@ def test_pages_are_their_articles(spark, data):
         assert r.text == "\n".join(w for w in want if w) and r.n_chars == len(r.text)
 
 
+PARA = "<p>" + "plain words of the article go on here. " * 10 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<div class="has-sidebar"><article>', "</article></div>"),
+        ('<div class="site share-enabled widget-area"><div class="post">', "</div></div>"),
+        ('<div class="site share-enabled widget-area"><div>', "</div></div>"),
+        ('<form method="post" id="aspnetForm"><div class="x">', "<input value=no></div></form>"),
+        ("<form><article>", "</article></form>"),
+        ('<main class="sidebar"><div>', "</div></main>"),
+        ('<div role="article" class="widget">', "</div>"),
+    ],
+)
+def test_what_wraps_the_article_stays(before, after):
+    assert html.main_text(f"<html><body>{before}{PARA}{after}</body></html>").split() == re.sub("<.*?>", " ", PARA).split()
+
+
+def test_words_of_headings_and_paragraphs_drop_nothing():
+    page = f'<body><article><h1 id="related-work-survey">A</h1><h2 id="cookie-policy">B</h2><p class="social-impact">C</p><p class="mb-4 hidden md:block">D</p><div class="market-share">E</div><section class="related-work">F</section><div id="comments-on-method">G</div><aside>H</aside><div title="hidden">I</div>{PARA}</article></body>'
+    assert html.main_text(page).split("\n")[:9] == list("ABCDEFGHI")
+    odd = f'<body><article><p hidden>x</p><p class="ad">Buy</p><div class="share-buttons">tweet</div><div class="related-posts"><a href=x>other</a></div><section id="comments">{PARA * 3}</section><ol class="comment-list"><li><article class="comment">{PARA}</article></li></ol><label>Name</label><div aria-label="Advertisement">Buy</div>{PARA}</article><article class="comment">{PARA}</article></body>'
+    assert html.main_text(odd) == re.sub("<.*?>", "", PARA).strip()
+
+
+def test_a_long_sidebar_is_not_the_article():
+    page = f'<body><div class="sidebar">{PARA * 3}</div><div><p>The short one.</p>{PARA}{PARA}</div></body>'
+    assert html.main_text(page).startswith("The short one.") and html.main_text(page).count("\n") == 2
+    assert html.main_text('<body><div class="sidebar">all there is</div></body>') == "all there is"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<a b " * 100_000, ""), ("<div>" * 100_000 + "deep" + "</div>" * 100_000, "deep"), ("<div>" * 100_000 + "deep", "deep"), ("<div>" * 50_000 + "</section>" * 50_000 + "x", "x"), ("<b><div>" + "<i>" * 50_000 + "</b>" * 50_000 + "x", "x"),
+        ("<div>" + "<b>" * 50_000 + "<div></div>" * 50_000 + "x", "x"), ("<a b=\"" * 50_000, ""), ("<a " + "b" * 500_000 + ">x", "x"), ("<!--" * 100_000, ""), ("".join(f"<div class=c{i % 7}a>" for i in range(50_000)) + "x", "x"), ("<ul><li>" * 30_000 + "x", "x"),
+    ],
+)
+def test_odd_pages_take_linear_time(page, text):
+    import time
+
+    began = time.process_time()
+    assert html.main_text(page) == text
+    found = html.vote(page)
+    assert html.main_text(page, found and found[0]) == text
+    assert time.process_time() - began < 15
+    assert html.main_text("1 < 2 <3 & 4") == "1 < 2 <3 & 4"
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "https://a.org/x", f"<article>{PARA}</article>"), (1, "https://a.org/x", f"<article>{PARA}</article>"), (2, None, "word " * 300_000), (None, "", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(7) for c in ("host", "path", "__host", "__path", "weight", "best")})
+    out = html.extracted(df).collect()
+    assert len(out) == 4 and all(r.host == r.path == r["__host"] == 7 for r in out) and sorted(len(r.text) for r in out) == [0, 389, 389, 1_499_999]
+
+
 # 4. Language.
 
 
