@@ -568,6 +568,96 @@ def test_toxicity_query(spark, data):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in out)
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """With 45 toxic documents to learn from, of which four in ten are of other languages or labelled by chance."""
+    larger = "/root/testdata/sf0.01"
+    toxic = {r.doc_id: r.toxic for r in table(spark, larger, "labels").collect()}
+    held = [r for r in toxicity.op9(spark, larger).collect() if r.held_out and r.doc_id in toxic]
+    bad = [r for r in held if toxic[r.doc_id]]
+    assert sum(r.predicted for r in bad) >= len(bad) / 2
+    assert np.mean([r.predicted == toxic[r.doc_id] for r in held]) > 0.9
+
+
+def brute_worst(model, text):
+    """Word by word and n-gram by n-gram."""
+
+    def bucket(h):
+        return ((h * int(toxicity._MIX)) % 2**64) >> (65 - toxicity.BUCKETS.bit_length())
+
+    low = "".join(chr(toxicity._LOWER[ord(c)]) if ord(c) < 0x590 else c for c in text)
+    found = []
+    for word in ALNUM.findall(low):
+        padded = [0, *map(ord, word), 0]
+        buckets = []
+        for n in toxicity.GRAMS:
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for c in padded[i : i + n]:
+                    h = (h * 0x100000001B3 + c + 1) % 2**64
+                buckets.append(bucket(h ^ (n << 48)))
+        whole = sum((c + 1) * pow(0x100000001B3, i, 2**64) for i, c in enumerate(padded[1:-1])) % 2**64
+        found.append(np.mean([float(model.table[b]) for b in [*buckets, bucket(whole ^ (99 << 48))]]))
+    return max((np.mean(found[i : i + 6]) for i in range(0, len(found), 6)), default=0.0)
+
+
+def test_toxicity_equals_brute_force(texts):
+    import pyarrow as pa
+
+    model = toxicity.Model(np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32), 0.0, 1.0)
+    some = [t for t in texts.values() if t and len(t) < 1500][:40] + ["", " .. ", "a", "É Ü ÉÜ x", "\U0001f600\U0001f600 Grin"]
+    got = model.worst(pa.array([None, *some]))
+    assert got[0] == 0 and np.allclose(got[1:], [brute_worst(model, t) for t in some])
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    import pyarrow as pa
+
+    vocabulary, tokens, counts = toxicity._encoded(pa.array([words(random.Random(i), 20, 12) for i in range(9)]))
+    bag = toxicity.bagged(vocabulary, tokens, counts)
+    labels = np.arange(9) % 3
+    embedding, rows, bias = rng.normal(0, 1, (len(bag.used), 4)), rng.normal(0, 1, (3, 4)), rng.normal(0, 1, 3)
+    target, weight = labels[bag.text_of], rng.random(len(bag.text_of))
+
+    def loss():
+        p = toxicity.gradients(bag, embedding, rows, bias, target, weight)[0]
+        return -(weight * np.log(p[np.arange(len(target)), target])).sum()
+
+    _, *found = toxicity.gradients(bag, embedding, rows, bias, target, weight)
+    for array, gradient in zip((embedding, rows, bias), found):
+        flat = array.reshape(-1)
+        for i in rng.integers(0, len(flat), 12):
+            before = flat[i]
+            flat[i] = before + 1e-5
+            up = loss()
+            flat[i] = before - 1e-5
+            down = loss()
+            flat[i] = before
+            assert abs((up - down) / 2e-5 - gradient.reshape(-1)[i]) < 1e-5
+
+
+def test_more_dimensions_tell_more_classes_apart():
+    """Two classes need one direction only; with more, one dimension confuses what several tell apart."""
+    rng = random.Random(6)
+    import pyarrow as pa
+
+    marks = ["alabra", "bericho", "corvund", "dulmeta", "esquill", "fanorgi"]
+    texts, labels = [], []
+    for i in range(360):
+        w = words(rng, 6, 3000).split()
+        w[rng.randrange(6)] = marks[i % 6]
+        texts.append(" ".join(w))
+        labels.append(i % 6)
+    labels = np.array(labels)
+    bag = toxicity.bagged(*toxicity._encoded(pa.array(texts)))
+    right = {}
+    for d in (1, 8):
+        embedding, rows, bias = toxicity.embedded(bag, labels, np.arange(360) < 240, 6, d)
+        logits = np.stack([bias[k] + toxicity.PASSAGE * bag.of_passages((embedding @ rows.T)[:, k]) for k in range(6)], 1)
+        right[d] = np.mean(logits.argmax(1)[240:] == labels[240:])
+    assert right[8] > 0.95 and right[1] < right[8] - 0.2
+
+
 # 10. Chats.
 
 
