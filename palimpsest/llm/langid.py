@@ -6,12 +6,15 @@ taken as a draw of words from a mixture of languages; expectation-maximisation f
 Languages are then dropped, the least first, while the penalised likelihood (Bayesian information criterion: half a
 logarithm of the number of words for each language) does not fall. The prediction is the largest proportion left.
 
-Learning reads at most SAMPLE documents of each language, about, taken by the hash of their ids; their whole texts are counted on
-the executors and only counts by (language, bucket), bounded by BUCKETS for each language, come to the driver. Texts are
-scored where they lie, all words of a batch at once.
+Learning reads at most SAMPLE documents of each language, about, taken by the hash of their ids where they lie; only the sample is
+shuffled, its whole texts are counted on the executors and only counts by (language, bucket), bounded by BUCKETS for each language, come
+to the driver. There are at most MOST_LANGUAGES languages, so the driver and a model hold 256 MB at most; a column with more values is no
+language and is refused. Texts are scored where they lie, whole, all words of some MB of text at once.
 
 Null texts, and texts without a letter, are `und` with score 0. Rows with a null language, id or text teach nothing; with no
-language learned every text is `und`.
+language learned every text is `und`. Of languages with equal shares the first by name is predicted, and the last by name is
+dropped first. Rows that repeat, ids that repeat and equal texts are each learned from and predicted alike. Empty tables give no
+rows. Extra columns pass through, whatever their names, but for those named as the output, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ GRAMS = 3
 BUCKETS = 1 << 16
 #: Documents of each language learned from, about.
 SAMPLE = 2000
+#: Languages, at most.
+MOST_LANGUAGES = 1000
 #: Share of a bucket's probability that is the same for all buckets.
 SMOOTHING = 0.01
 ROUNDS = 12
@@ -125,7 +130,8 @@ class Model:
         penalty = 0.5 * np.log(np.maximum(counts, 2))
         open_ = (share > 0).sum(1) > 1
         while open_.any():
-            least = np.where(share > 0, share, 2).argmin(1)
+            # Of equal shares the last is dropped.
+            least = share.shape[1] - 1 - np.where(share > 0, share, 2)[:, ::-1].argmin(1)
             smaller = share.copy()
             smaller[np.arange(len(some)), least] = 0
             smaller[~open_] = share[~open_]
@@ -159,16 +165,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learned(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the documents with a language for which held_out is not true."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out)
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32))
     place = F.pmod(F.xxhash64(F.lit(23), id_col), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(SAMPLE / sizes[lang])))), F.col(lang_col))
     sample = known.where(place < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = sample.coalesce(16).mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # The scan keeps its tasks; some SAMPLE rows of each language are dealt out, a few languages' worth to a task.
+    dealt = sample.repartition(max(8, 2 * len(languages)), F.xxhash64("text"))
+    counts = dealt.mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most BUCKETS rows for each language.
     rows = counts.toArrow()
     table_ = np.zeros((BUCKETS, len(languages)))
@@ -182,9 +191,7 @@ def learned(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 def predicted(docs: DataFrame, model: Model, text_col: str = "text", mixture: bool = False) -> DataFrame:
     """docs with lang_pred and score, and with the mixture (a map of the languages in the selected set) if asked for, in place of columns so named."""
     docs = docs.drop("lang_pred", "score", *["mixture"] * mixture)
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     added = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
     if mixture:
         added = added.withColumn("mixture", F.create_map().cast("map<string,double>"))

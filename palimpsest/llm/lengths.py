@@ -5,7 +5,9 @@ row for each distinct length is kept. Sums from the longest down then give, for
 many documents and tokens are at least that long and what is left when every document is cut at the limit.
 Between two lengths that occur the answers are linear in the limit, so the table answers all limits.
 
-Null and empty texts have length 0 (no end id unless asked for); an empty table gives no rows.
+Null and empty texts have length 0 (no end id unless asked for); a long text is encoded whole; rows that repeat count each; documents
+of equal length are one row; an empty table gives no rows; no column but the text is read. The windows run in one task over a row for
+each distinct length.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from pyspark.sql import functions as F
 
 from .store import table
 from .tokens import default_path, encoder
+from .words import blocks
 
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, found = encoder(path), Counter()
-        for batch in batches:
-            found.update(np.diff(encode(batch.column(0))[1]).tolist())
+        for whole in batches:
+            for batch in blocks(whole, "text", 4 << 20):
+                found.update(np.diff(encode(batch.column(0))[1]).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     return run
@@ -34,7 +38,6 @@ def _counted(path: str):
 
 def histogram(docs: DataFrame, tokenizer: str | None = None, extra: int = 0, text_col: str = "text") -> DataFrame:
     """n_tokens, n_docs: a row for each encoded length that occurs; extra ids are added to each document."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted(tokenizer or default_path()), "n_tokens long, n_docs long")
     return counts.groupBy((F.col("n_tokens") + extra).alias("n_tokens")).agg(F.sum("n_docs").alias("n_docs"))
 

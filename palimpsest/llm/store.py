@@ -9,19 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows up to which a table of two or three numbers a row may be broadcast (32 MB at most).
 BROADCAST_ROWS = 500_000
+#: Bytes read (compressed) for each partition that spread() makes, and most partitions.
+PARTITION_BYTES = 64 << 20
+MOST_PARTITIONS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session has none, as in local tests."""
+    """The folder of spark.checkpoint.dir. A temporary one is set only where the session has none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    """A new path in a folder of this application, which is deleted when its JVM ends."""
+    folder = f"{shared_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what is to stay."""
+    return f"{shared_dir(spark)}/palimpsest/kept/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +47,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str, by_range: bool = False) -> DataFrame:
+    """df dealt out by columns: to as many partitions as the session says, which may be joined where they are small, or one for each 64 MB read, if that is more."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # A source that does not know its size tells one without bound.
+    parts = min(sum(n for n in sizes if n < 1 << 60) // PARTITION_BYTES, MOST_PARTITIONS)
+    deal = df.repartitionByRange if by_range else df.repartition
+    few = parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return deal(*columns) if few else deal(parts, *columns)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a saved() table that nothing reads any more."""
     spark = df.sparkSession

@@ -6,8 +6,9 @@ ids before it in the part, document ids. Spark's committer writes them, so a los
 written again under the same numbers. Where a part begins among all ids is a sum over parts, of which there
 are as many as files.
 
-Null and empty texts have the end id only. Rows that share an id are each written, ordered by text; null ids
-come first. A text longer than a block is a block of its own.
+Null and empty texts have the end id only. Rows that share an id are each written, ordered by a hash of the text and then
+the text, so that an id of very many rows is split as well; null ids come first. A text longer than a block is a block of its own. An empty table gives files without rows. Extra columns are not
+read. Any tokenizer of the library will do; what is not known to cut texts exactly encodes them whole.
 """
 
 from __future__ import annotations
@@ -22,15 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .store import new_path, table
+from .store import new_path, spread, table
 from .tokens import default_path, encoder
+from .words import blocks
 
 #: Ids in a block, about.
 BLOCK = 1 << 17
 END_ID = 2
 ROWS = "part int, block int, start long, n_ids long, doc_ids array<bigint>, payload binary"
-#: Rows of text handed to Python at once, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
@@ -42,7 +42,7 @@ def _encode(path: str, end_id: int):
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "start": start, "n_ids": held, "doc_ids": ids, "payload": simple8b.encode_block(docs)}], schema=_ARROW)
 
-        for batch in batches:
+        for batch in (b for whole in batches for b in blocks(whole, "text", 4 << 20)):
             found, offsets = encode(batch.column(1))
             for doc_id, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                 tokens = np.append(found[a:b], np.uint32(end_id))
@@ -61,11 +61,8 @@ def _encode(path: str, end_id: int):
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every document of docs to path."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    placed = spread(rows, "doc_id", "hash", by_range=True).sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     placed.mapInArrow(_encode(tokenizer or default_path(), end_id), ROWS).write.option("compression", "zstd").parquet(path)
 
 
@@ -81,13 +78,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files at path."""
-    blocks = spark.read.schema(ROWS).parquet(path)
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
+    held = spark.read.schema(ROWS).parquet(path)
+    parts = held.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for each part file: as many as shuffle partitions.
+    # A row for each part file: as many as spread() makes partitions.
     parts = parts.select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("part_start"))
-    placed = blocks.join(F.broadcast(parts), "part").select("doc_ids", (F.col("part_start") + F.col("start")).alias("start"), "payload")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    placed = held.join(F.broadcast(parts), "part").select("doc_ids", (F.col("part_start") + F.col("start")).alias("start"), "payload")
     return placed.mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

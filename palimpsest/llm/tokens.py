@@ -5,10 +5,13 @@ a mark that ends a word, and encodes the parts by themselves. So a text's ids ar
 parts of a batch are found and hashed on its UTF-8 buffer (two hashes of 64 bits, so that a part is never taken for
 another); each distinct one is encoded once and kept, and ids are gathered with numpy. Texts with other white space,
 runs of it, or special tokens are cut only where this holds, one by one.
+
+Tokenizers of any other kind, of which this is not known to hold, encode each text whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -35,12 +38,23 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(hidden)) for b in range(256)]
 
 
+def cuts_exactly(tokenizer) -> bool:
+    """Whether a tokenizer is known to encode the parts of a text by themselves: byte-level pairs, nothing done before, special tokens that begin with "<|"."""
+    j = json.loads(tokenizer.to_str())
+    model, split = j["model"], j.get("pre_tokenizer") or {}
+    plain = not any(j.get(k) for k in ("normalizer", "truncation", "padding")) and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    pairs = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    letters = pairs and all(c in model["vocab"] for c in _byte_letters())
+    return bool(plain and letters and all(t["content"].startswith("<|") and not t.get("normalized") for t in j.get("added_tokens", [])))
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.cuts = cuts_exactly(self.tokenizer)
         self.letters = _byte_letters()
         self.blank, self.newline = self.letters[32], self.whole("\n")
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -88,7 +102,7 @@ class Encoder:
         """Ids of a text by itself."""
         if not text:
             return np.zeros(0, np.uint32)
-        if any(s in text for s in self.specials):
+        if not self.cuts or any(s in text for s in self.specials):
             return np.array(self.whole(text), np.uint32)
         return np.concatenate([np.array(self.whole(p), np.uint32) for p in _CUT.split(text)])
 
@@ -108,7 +122,7 @@ class Encoder:
         counts = np.zeros(len(offs) - 1, np.int64)
         if not len(buf):
             return np.zeros(0, np.uint32), counts
-        odd = _odd_texts(buf, offs)
+        odd = _odd_texts(buf, offs) if self.cuts else np.ones(len(counts), bool)
         if odd.any():  # one by one; the others as they are
             pieces = []
             for i in range(len(counts)):
