@@ -9,8 +9,10 @@ that differ show where two texts do. A fingerprint is written as
 with the first eight digits of the branches' md5. The likeness of two fingerprints is 1 for equal roots, else the Dice
 coefficient of their distinct leaves.
 
-Null texts count as empty; an empty text has no leaves. Rows of equal id are ordered by text; null ids come
-first. A single row is its own next one.
+Null texts count as empty; an empty text has no leaves. Rows of equal id are ordered by text; a row without an id has no place
+in the order and is its own next one, as a single row is. Equal texts have equal fingerprints, so rows that repeat have too. A text
+is fingerprinted whole, in time linear in its length. An empty table gives no rows. Extra columns are not read; with_next passes them
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, saved, table
+from .store import saved, table, unused
 
 SECTION = r"(?:[^\n]++\n?+){1,16}\n*+|\n++"
 PARAGRAPH = r"[^\n]++\n*+|\n++"
 LEAF = r"[^.!?\n]{1,32}+[.!?\n]*+|[.!?\n]++"
-#: Neighbouring rows in one bucket, at least; buckets are at most BROADCAST_ROWS.
+#: Neighbouring rows in one bucket, about; beyond 2**18 buckets they grow.
 BUCKET = 512
 
 
@@ -39,19 +41,20 @@ def _tree(text: Column) -> Column:
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the fingerprint of a column that has no nulls."""
+    tree, pars_, sections_ = unused(df, "tree", "pars", "sections")
     short = lambda h: F.substring(h, 1, 8)
-    df = df.withColumn("__tree", _tree(F.col(text)))
+    df = df.withColumn(tree, _tree(F.col(text)))
     # (hash, written form) of each paragraph, then of each section.
-    pars = F.transform("__tree", lambda s: F.transform(s, lambda p: F.struct(F.md5(F.array_join(p, "")).alias("h"), F.array_join(F.transform(p, short), ".").alias("w"))))
-    df = df.withColumn("__pars", pars)
+    pars = F.transform(tree, lambda s: F.transform(s, lambda p: F.struct(F.md5(F.array_join(p, "")).alias("h"), F.array_join(F.transform(p, short), ".").alias("w"))))
+    df = df.withColumn(pars_, pars)
     sections = F.transform(
-        "__pars",
+        pars_,
         lambda s: F.struct(F.md5(F.array_join(s["h"], "")).alias("h"), F.array_join(F.transform(s, lambda p: F.concat(short(p["h"]), F.lit(":"), p["w"])), ",").alias("w")),
     )
-    df = df.withColumn("__sections", sections)
-    root = F.sha2(F.array_join(F.col("__sections")["h"], ""), 256)
-    written = F.array_join(F.transform("__sections", lambda s: F.concat(short(s["h"]), F.lit("/"), s["w"])), ";")
-    return df.withColumn(out, F.concat(root, F.lit(" "), written)).drop("__tree", "__pars", "__sections")
+    df = df.withColumn(sections_, sections)
+    root = F.sha2(F.array_join(F.col(sections_)["h"], ""), 256)
+    written = F.array_join(F.transform(sections_, lambda s: F.concat(short(s["h"]), F.lit("/"), s["w"])), ";")
+    return df.withColumn(out, F.concat(root, F.lit(" "), written)).drop("__tree", pars_, "__sections")
 
 
 def leaves(fingerprint: Column) -> Column:
@@ -65,56 +68,92 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Where two fingerprints differ: "section/paragraph" places, counted from 0, by position; empty if their roots are equal.
+    """Where two fingerprints differ: struct(at, old, new): after `at` paragraphs that both begin with, `old` of a are replaced by `new` of b, and the rest is the same.
 
-    Sections of equal hash are not looked into.
+    at is null if their roots are equal. A paragraph that is put in moves none of the others. Several edits are told as the range of them all.
     """
-    parts = lambda f: F.split(F.substring(f, 66, 2**31 - 1), ";")
-    pars = lambda s: F.split(F.element_at(F.split(s, "/"), -1), ",")
-    # "section/par:leaves,par:leaves" of one side against the other, padded by null.
-    zipped = F.transform(F.arrays_zip(parts(a).alias("x"), parts(b).alias("y")), lambda s, i: F.struct(s["x"].alias("x"), s["y"].alias("y"), i.alias("i")))
-    unlike = F.filter(zipped, lambda s: ~s["x"].eqNullSafe(s["y"]))
-    places = F.transform(
-        unlike,
-        lambda s: F.transform(
-            F.filter(
-                F.transform(F.arrays_zip(pars(F.coalesce(s["x"], F.lit(""))).alias("p"), pars(F.coalesce(s["y"], F.lit(""))).alias("q")), lambda t, j: F.struct(t["p"].alias("p"), t["q"].alias("q"), j.alias("j"))),
-                lambda t: ~t["p"].eqNullSafe(t["q"]),
-            ),
-            lambda t: F.concat_ws("/", s["i"].cast("string"), t["j"].cast("string")),
+    same = F.substring(a, 1, 64) == F.substring(b, 1, 64)
+    # A branch of a paragraph is followed by a colon.
+    pars = lambda f: F.regexp_extract_all(f, F.lit(r"([0-9a-f]{8}):"), F.lit(1))
+    of = F.struct(pars(a).alias("x"), pars(b).alias("y"))
+
+    def alike(x: Column, y: Column) -> Column:
+        """Elements that two arrays begin with alike; zipping pads the shorter with nulls."""
+        unlike = F.transform(F.arrays_zip(x.alias("p"), y.alias("q")), lambda z: ~z["p"].eqNullSafe(z["q"]))
+        first = F.array_position(unlike, True)
+        return F.when(first > 0, first - 1).otherwise(F.greatest(F.size(x), F.size(y))).cast("int")
+
+    # One-element arrays name what is used more than once, so that each is made once.
+    head = F.transform(F.array(of), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), alike(s["x"], s["y"]).alias("head")))
+    both = F.transform(
+        head,
+        lambda s: F.struct(
+            s["head"].alias("head"),
+            F.size(s["x"]).alias("n"),
+            F.size(s["y"]).alias("m"),
+            F.least(alike(F.reverse(s["x"]), F.reverse(s["y"])), F.least(F.size(s["x"]), F.size(s["y"])) - s["head"]).alias("tail"),
         ),
     )
-    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<string>")).otherwise(F.flatten(places))
+    found = F.transform(both, lambda s: F.struct(s["head"].alias("at"), (s["n"] - s["head"] - s["tail"]).alias("old"), (s["m"] - s["head"] - s["tail"]).alias("new")))
+    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("old"), F.lit(0).alias("new"))
+    return F.when(same, none).otherwise(F.element_at(found, 1))
+
+
+def _upto(bounds: Column, key: Column, steps: int) -> Column:
+    """How many of the sorted bounds (2**steps - 1 of them) do not exceed the key, by binary search."""
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(steps)))) if steps else F.array().cast("array<int>")
+    return F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.element_at(bounds, at + half) <= key, half).otherwise(0))
+
+
+def _bounds(key: Column, steps: int) -> Column:
+    """2**steps - 1 bounds that cut a key into parts of about equal numbers of rows."""
+    n = 1 << steps
+    return F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n) if steps else F.array().cast("array<bigint>")
 
 
 def with_next(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """rows with next_<column> of the next row by key, then order; the first row's after the last.
+    """rows with next_<column> of the next row by key, then order; the first row's after the last. A row with a null key has no neighbours and is its own next.
 
     Rows are dealt into buckets of neighbouring keys, each sorted by itself; the first rows of a bucket are also
-    sent, marked, to the end of the bucket before. So nothing is sorted in one task, and each row moves once.
+    sent, marked, to the end of the bucket before. So nothing is sorted in one task, and each row moves once. Buckets hold
+    about BUCKET rows each, however keys lie: their bounds are quantiles of the keys (quantiles of all, then of what lies between two of
+    them), found by reading the keys alone. Rows of one key are one bucket.
     """
-    low, high, n, nulls = rows.agg(F.min(key), F.max(key), F.count(key), F.count_if(F.col(key).isNull())).first()
-    if not n + nulls:
-        return rows.withColumns({f"next_{c}": F.col(c) for c in columns})
-    buckets = max(1, min(BROADCAST_ROWS, n // BUCKET))
-    width = ((high - low) // buckets + 1) if n else 1
-    # Null keys have the bucket before all others.
-    bucket = F.coalesce(F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low or 0)) / width).cast("long"), F.lit(-1))
-    firsts = rows.select(key, bucket.alias("__bucket")).groupBy("__bucket").agg(F.min(key).alias("__first"))
-    ring = Window.orderBy("__bucket")
-    # At most BROADCAST_ROWS buckets and the one of null keys.
-    before = F.coalesce(F.lag("__bucket").over(ring), F.max("__bucket").over(Window.partitionBy()))
-    firsts = saved(firsts.select("__first", before.alias("__before")), "bucket-firsts")
-    placed = rows.withColumn("__bucket", bucket).join(F.broadcast(firsts), F.col(key).eqNullSafe(F.col("__first")), "left")
-    at = lambda b, m: F.struct(b.alias("bucket"), F.lit(m).alias("marked"))
-    ends = F.when(F.col("__before").isNotNull(), F.array(at(F.col("__bucket"), 0), at(F.col("__before"), 1))).otherwise(F.array(at(F.col("__bucket"), 0)))
-    placed = placed.withColumn("__at", F.explode(ends)).drop("__first", "__before", "__bucket")
-    in_bucket = Window.partitionBy("__at.bucket").orderBy("__at.marked", key, *order)
-    return placed.withColumns({f"next_{c}": F.lead(c).over(in_bucket) for c in columns}).where("__at.marked = 0").drop("__at")
+    bucket, cell, fine, first, before, at, inner = unused(rows, "bucket", "cell", "fine", "first", "before", "at", "inner")
+    keys = rows.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull())
+    # Cells by buckets: at most 2**18 buckets, fewer than BROADCAST_ROWS.
+    steps = min(9, max(0, ((keys.count() // BUCKET).bit_length() + 1) // 2))
+    # One row, with at most 511 numbers; then one such row for each cell.
+    outer = F.lit(keys.agg(_bounds(F.col(key), steps)).first()[0] or []).cast("array<bigint>")
+    with_cell = lambda df: df.withColumn(cell, _upto(outer, F.col(key).cast("long"), steps))
+    parts = saved(with_cell(keys).groupBy(cell).agg(_bounds(F.col(key), steps).alias(inner)), "bucket-bounds")
+
+    def numbered(df: DataFrame) -> DataFrame:
+        number = F.col(cell) * (1 << steps) + F.coalesce(_upto(F.col(inner), F.col(key).cast("long"), steps), F.lit(0))
+        return with_cell(df).join(F.broadcast(parts), cell, "left").withColumn(bucket, number.cast("long")).drop(cell, inner)
+
+    firsts = numbered(keys).groupBy(bucket).agg(F.min(key).alias(first))
+    ring = Window.orderBy(bucket)
+    # A row for each bucket.
+    last = F.coalesce(F.lag(bucket).over(ring), F.max(bucket).over(Window.partitionBy()))
+    firsts = saved(firsts.select(F.col(bucket).alias(fine), first, last.alias(before)), "bucket-firsts")
+    # Rows without a key lie anywhere.
+    apart = F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(*order), F.lit(1 << 18))).otherwise(F.col(bucket))
+    placed = numbered(rows).withColumn(bucket, apart)
+    placed = placed.join(F.broadcast(firsts), (F.col(bucket) == F.col(fine)) & (F.col(key) == F.col(first)), "left")
+    place = lambda b, m: F.struct(b.alias("bucket"), F.lit(m).alias("marked"))
+    ends = F.when(F.col(before).isNotNull(), F.array(place(F.col(bucket), 0), place(F.col(before), 1))).otherwise(F.array(place(F.col(bucket), 0)))
+    placed = placed.withColumn(at, F.explode(ends)).drop(first, before, fine, bucket)
+    in_bucket = Window.partitionBy(f"{at}.bucket").orderBy(f"{at}.marked", key, *order)
+    following = {f"next_{c}": F.when(F.col(key).isNull(), F.col(c)).otherwise(F.lead(c).over(in_bucket)) for c in columns}
+    return placed.withColumns(following).where(F.col(f"{at}.marked") == 0).drop(at)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: its fingerprint, that of its edited text (the second half from the next document), and likenesses."""
+    """A row for each row of docs: its fingerprint, that of its edited text (the second half from the next document), likenesses, and where the edit lies.
+
+    edit_at, edit_old, edit_new: see edits().
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_next(fingerprinted(rows, "text", "fingerprint"), "doc_id", ["text"], ["text", "fingerprint"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
@@ -125,7 +164,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
+        edits(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edit"),
+    ).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("edit.at").alias("edit_at"), F.col("edit.old").alias("edit_old"), F.col("edit.new").alias("edit_new"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -375,11 +375,79 @@ def test_next_rows_do_not_depend_on_buckets(documents, monkeypatch):
 
 
 def test_edits_are_located(spark):
-    df = spark.createDataFrame([("a b.\nc d.\n\ne f.", "a b.\nc X.\n\ne f."), ("a\n", "a"), ("", ""), ("", "a")], "x string, y string").coalesce(1)
+    lines = [f"line {i} is here.\n" for i in range(60)]
+    rows = [("a b.\nc d.\n\ne f.", "a b.\nc X.\n\ne f."), ("a\n", "a"), ("", ""), ("", "a"), ("".join(lines), "".join([*lines[:25], "one more.\n", *lines[25:]])), ("".join(lines), "".join(lines[:10] + lines[14:])), ("same\n" * 9, "same\n" * 7)]
+    df = spark.createDataFrame(rows, "x string, y string").coalesce(1)
     df = merkle.fingerprinted(merkle.fingerprinted(df, "x", "fx"), "y", "fy")
-    got = [tuple(r) for r in df.select(merkle.edits(F.col("fx"), F.col("fy")), merkle.likeness(F.col("fx"), F.col("fy"))).collect()]
-    assert got[0][0] == ["0/1"] and 0 < got[0][1] < 1
-    assert got[1][0] == ["0/0"] and got[2] == ([], 1.0) and got[3][1] == 0
+    got = [(tuple(r[0]), r[1]) for r in df.select(merkle.edits(F.col("fx"), F.col("fy")), merkle.likeness(F.col("fx"), F.col("fy"))).collect()]
+    assert [g[0] for g in got] == [(1, 1, 1), (0, 1, 1), (None, 0, 0), (0, 0, 1), (25, 0, 1), (10, 4, 0), (7, 2, 0)]
+    assert 0 < got[0][1] < 1 and got[2][1] == 1 and got[3][1] == 0
+
+
+def brute_fingerprint(text):
+    """Pieces, paragraphs, sections and root by hand, and the distinct leaves."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    lines = re.findall(r"[^\n]+\n*|\n+", text)
+    sections, now = [], []
+    for line in lines:
+        if now and (len(now) == 16 or line.strip("\n") == "" or now[-1].endswith("\n\n") or now[-1].strip("\n") == ""):
+            sections.append(now)
+            now = []
+        now.append(line)
+    if now:
+        sections.append(now)
+    written, hashes, distinct = [], [], set()
+    for section in sections:
+        pars = []
+        for line in section:
+            leaves, at = [], 0
+            while at < len(line):
+                end = at
+                while end < len(line) and line[end] not in ".!?\n" and end - at < 32:
+                    end += 1
+                while end < len(line) and line[end] in ".!?\n":
+                    end += 1
+                leaves.append(md5(line[at:end]))
+                at = end
+            distinct |= {x[:8] for x in leaves}
+            pars.append((md5("".join(leaves)), ".".join(x[:8] for x in leaves)))
+        hashes.append(md5("".join(h for h, _ in pars)))
+        written.append(hashes[-1][:8] + "/" + ",".join(f"{h[:8]}:{w}" for h, w in pars))
+    return hashlib.sha256("".join(hashes).encode()).hexdigest() + " " + ";".join(written), distinct
+
+
+def brute_likeness(a, b):
+    (x, p), (y, q) = brute_fingerprint(a), brute_fingerprint(b)
+    return 1.0 if x == y else 2 * len(p & q) / max(1, len(p) + len(q))
+
+
+def test_fingerprints_equal_brute_force(spark, data, texts):
+    ids = sorted(texts)
+    for r in merkle.op5(spark, data).collect():
+        text, following = texts[r.doc_id] or "", texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]] or ""
+        edited = brute_edit(text, following)
+        assert r.fingerprint == brute_fingerprint(text)[0] and r.edited_fingerprint == brute_fingerprint(edited)[0]
+        assert abs(r.near_edited - brute_likeness(text, edited)) < 1e-12 and abs(r.near_next - brute_likeness(text, following)) < 1e-12
+        if r.edit_at is not None:
+            a, b = (re.findall("[0-9a-f]{8}(?=:)", f) for f in (r.fingerprint, r.edited_fingerprint))
+            assert a[: r.edit_at] == b[: r.edit_at] and a[r.edit_at + r.edit_old :] == b[r.edit_at + r.edit_new :]
+        assert (r.edit_at is None) == (text == edited)
+
+
+def test_next_rows_of_skewed_ids(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET", 4)
+    ids = [*range(0, 300, 3), 2**60, -(2**61), 17 * 2**40, 5, 5, 5, None, None]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("bucket", "cell", "at", "first", "before", "tree")})
+    out = merkle.with_next(df.repartition(7), "doc_id", ["text"], ["doc_id", "text"])
+    assert out.columns[:8] == df.columns
+    rows = sorted([(i, f"t{k}") for k, i in enumerate(ids) if i is not None])
+    want = {a: b for a, b in zip(rows, rows[1:] + rows[:1])}
+    got = out.collect()
+    assert len(got) == len(ids)
+    for r in got:
+        assert (r.next_doc_id, r.next_text) == want.get((r.doc_id, r.text), (r.doc_id, r.text))
+    sizes = out.groupBy("doc_id").count().count()
+    assert sizes == len(set(ids))
 
 
 def test_fingerprints_odd(odd, empty):
@@ -721,10 +789,10 @@ def test_conversations_odd(spark, monkeypatch):
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"part": F.lit(1), "spans": F.lit("x")})
     path = new_path(spark, "c")
-    chat.formatted(df).write.parquet(path)
+    chat.write(df, path)
     check_chats(chat.read(spark, path).collect(), rows)
     path = new_path(spark, "c")
-    chat.formatted(df.where("false")).write.parquet(path)
+    chat.write(df.where("false"), path)
     assert chat.read(spark, path).count() == 0
 
 
