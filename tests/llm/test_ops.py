@@ -534,7 +534,7 @@ def test_items_without_id_are_searched(spark):
     assert [r.doc_id for r in decontam.cleaned(docs, items).collect()] == [2]
 
 
-@pytest.mark.parametrize("part", [200_000, 20])
+@pytest.mark.parametrize("part", [200_000, 300])
 def test_short_items_repeats_and_parts(spark, odd, monkeypatch, part):
     monkeypatch.setattr(decontam, "PART", part)
     rng = random.Random(7)
@@ -545,11 +545,24 @@ def test_short_items_repeats_and_parts(spark, odd, monkeypatch, part):
     for r in decontam.marked(df, bench).collect():
         n, hit, found = brute_hits(docs[r.doc_id][1], [x for x in items if x[0] is not None])
         assert r.n_words == n and {i for x in r.runs for i in range(x.begin, x.end)} == hit and sorted(r["items"]) == found
+    assert sorted(r.doc_id for r in decontam.cleaned(df, bench).collect()) == [i for i, t in docs if not brute_hits(t, [x for x in items if x[0] is not None])[1]]
     assert decontam.cleaned(odd, bench).columns == odd.columns
     assert decontam.cleaned(odd, bench.where("false")).count() == odd.count()
     assert decontam.marked(odd.where("false"), bench).count() == 0
 
 
+def test_many_parts_equal_one(spark, data, documents, monkeypatch):
+    """The whole benchmark in some hundred parts, found by shuffle as well."""
+    one = normal(decontam.op7(spark, data).toPandas())
+    kept = sorted(r.doc_id for r in decontam.cleaned(documents, table(spark, data, "benchmark")).collect())
+    monkeypatch.setattr(decontam, "PART", 1500)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    plan = decontam.marked(documents, table(spark, data, "benchmark"))._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") < 10
+    assert normal(decontam.op7(spark, data).toPandas()) == one
+    assert sorted(r.doc_id for r in decontam.cleaned(documents, table(spark, data, "benchmark")).collect()) == kept
+
+
 # 8. Token files.
 
 
