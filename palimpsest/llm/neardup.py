@@ -3,18 +3,22 @@
 1. In one pass over the texts every document gets: the size of its set of five-word shingles, a 128-bit hash of the
    set, band keys of its MinHash values and an odd sketch, a bitmap in which each MinHash value flips one bit.
    The number of bands is chosen so that a pair at the threshold shares none with probability below MISS.
-2. Documents of equal sets are one class, shown by its least id; only classes go on.
+2. Documents of equal sets are one class, numbered when the classes are written and shown by its least id; only classes go on.
 3. In each band bucket every class is paired with the bucket's least id, its centre, so a bucket of n gives n - 1
    pairs. Pairs whose sizes or odd sketches cannot reach the threshold are sifted out; the rest are confirmed on full
    sets: texts go to their centre in stretches of SPREAD members, sorted, so a task holds one set at a time.
 4. Classes that are linked need no further link to each other. What stars may miss are links between members of a
    bucket that are still in different components: those outside the bucket's largest component are compared with
-   all its members, in units of STRETCH by STRETCH. A unit first compares odd sketches, which picks the members whose
-   texts it needs, then full sets; only links that join components leave it. A pair is compared in the first
-   band that it shares and nowhere else. So no link between components is lost, and no pairs are written out.
+   all its members, in units of STRETCH by STRETCH. The members of a stretch are packed into one row with their odd sketches, so a
+   unit is two rows. It compares odd sketches, which picks the members whose texts are needed; these are dealt by their sizes
+   into units of UNIT_BYTES a side, or one text, which compare full sets; only links that join components leave them. A pair is
+   compared in the first band that it shares and nowhere else. So no link between components is lost, and no pairs are written out.
+   Of m members that are mostly unlinked each is sent m / STRETCH times, 250 bytes a time (a million: 61 GB), and compared with m sketches.
 
 Null doc_id: the row is returned with component_id null and is kept. Null and empty texts have no shingles and are
-linked with nothing. Rows that share a doc_id count as one document. Extra columns do no harm.
+linked with nothing. Rows that share a doc_id count as one document: their sets all link, and a link of one is a link of all. Rows that
+repeat and ties are alike: the least id shows a class, a component and a group. A long text is one row's work; its set is made whole.
+An empty table gives no rows. Extra columns pass through deduplicated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import BROADCAST_ROWS, saved, table
+from .store import BROADCAST_ROWS, saved, spread, table, unused
 from .words import NON_SPACE, U, blocks, buffers, hashed_words, mixed
 
 SHINGLE = 5
@@ -38,8 +42,10 @@ ROWS = 6
 MISS = 1e-7
 #: Bits of an odd sketch.
 BITS = 512
-#: Members of a bucket on either side of a unit.
-STRETCH = 1500
+#: Members of a bucket on either side of a unit of sketches.
+STRETCH = 4096
+#: Bytes of texts and sets on either side of a unit of sets; a text that is longer is alone.
+UNIT_BYTES = 32 << 20
 #: Standard deviations of an odd sketch's estimate that a pair may lie below the threshold.
 SIGMAS = 5.5
 #: Members that are compared with a centre in one stretch.
@@ -79,6 +85,11 @@ def shingle_sets(text: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    """The 128-bit hash of a set, as two signed numbers."""
+    return int(hashes.sum(dtype=U).view(np.int64)), int(mixed(hashes).sum(dtype=U).view(np.int64))
+
+
 class Signer:
     """Band keys and odd sketch of a set."""
 
@@ -118,29 +129,33 @@ def _signed(threshold: float):
         for whole in batches:
             for batch in blocks(whole, "text"):
                 n, h1, h2, least = [], [], [], []
+                sizes = np.diff(buffers(batch.column(1))[1])
                 for s in shingle_sets(batch.column(1)):
                     n.append(len(s))
-                    h1.append(int(s.sum(dtype=U)) if len(s) else 0)
-                    h2.append(int(mixed(s).sum(dtype=U)) if len(s) else 0)
+                    one, two = _digest(s)
+                    h1.append(one)
+                    h2.append(two)
                     least.append(signer.least(s))
                 keys, sketch = signer(np.array(least))
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, U).view(np.int64)), pa.array(np.array(h2, U).view(np.int64)), lists(keys), lists(sketch)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "bands", "sketch"])
+                columns = [batch.column(0), pa.array(sizes), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists(keys), lists(sketch)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "n", "h1", "h2", "bands", "sketch"])
 
     return run
 
 
 def _confirmed(percent: int):
-    """Rows (centre, stretch, other, text) sorted, the centre's own text first (other null): the links."""
+    """Rows (centre, stretch, other, h1, h2, text) sorted, the centre's own text first (other null): the links. Texts of other sets that share the id are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, None
         for whole in batches:
             for batch in blocks(whole, "text"):
                 a, b = [], []
-                centres, others = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                for centre, other, s in zip(centres, others, shingle_sets(batch.column(3))):
+                centre_of, other_of, h1, h2 = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+                for centre, other, one, two, s in zip(centre_of, other_of, h1, h2, shingle_sets(batch.column(5))):
+                    if _digest(s) != (one, two):
+                        continue
                     if other is None:
                         at, own = centre, s
                     elif at == centre:
@@ -154,23 +169,22 @@ def _confirmed(percent: int):
 
 
 def _confirm(pairs: DataFrame, n_pairs: int, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a centre, b) whose full sets reach the threshold."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("stretches"))
-    placed = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("stretches")).cast("int").alias("stretch"), F.col("b").alias("other"))
-    centres = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("stretches") - 1)).alias("stretch"), F.lit(None).cast("long").alias("other"))
-    needs = saved(placed.union(centres).withColumn("vid", F.coalesce("other", "a")), "needs")
-    few = 2 * n_pairs <= BROADCAST_ROWS  # rows of four numbers, counted
-    texts = docs.join(F.broadcast(needs) if few else needs, docs["vid_"] == needs["vid"])
-    texts = texts.select("a", "stretch", "other", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(parts, "a", "stretch").sortWithinPartitions("a", "stretch", F.col("other").asc_nulls_first()).mapInArrow(_confirmed(percent), "a long, b long")
+    """The pairs (a centre, b) whose full sets reach the threshold. pairs: a, b, and rep, h1, h2 of either (_a, _b)."""
+    counts = pairs.groupBy("a", "rep_a", "h1_a", "h2_a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("stretches"))
+    placed = pairs.join(counts.select("a", "stretches"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("stretches")).cast("int").alias("stretch"), F.col("b").alias("other"), F.col("rep_b").alias("rep"), F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2"))
+    centres = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("stretches") - 1)).alias("stretch"), F.lit(None).cast("long").alias("other"), F.col("rep_a").alias("rep"), F.col("h1_a").alias("h1"), F.col("h2_a").alias("h2"))
+    needs = saved(placed.union(centres), "needs")
+    few = 2 * n_pairs <= BROADCAST_ROWS  # rows of six numbers, counted
+    texts = docs.join(F.broadcast(needs) if few else needs, docs["doc_id"] == needs["rep"])
+    texts = spread(texts.select("a", "stretch", "other", "h1", "h2", "text"), "a", "stretch")
+    return texts.sortWithinPartitions("a", "stretch", F.col("other").asc_nulls_first()).mapInArrow(_confirmed(percent), "a long, b long")
 
 
 def _sifted(pairs: DataFrame, signs: DataFrame, percent: int, bits: int) -> DataFrame:
-    """The pairs whose sizes and odd sketches may reach the threshold."""
-    side = lambda x: signs.select(F.col("vid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    """The pairs whose sizes and odd sketches may reach the threshold, with what their texts are found by."""
+    side = lambda x: signs.select(F.col("vid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "rep", "h1", "h2")))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.where(_may("n_a", "n_b", "s_a", "s_b", percent, bits)).select("a", "b")
+    return both.where(_may("n_a", "n_b", "sketch_a", "sketch_b", percent, bits)).select("a", "b", *(f"{c}_{x}" for x in "ab" for c in ("rep", "h1", "h2")))
 
 
 def _may(n_a: str, n_b: str, s_a: str, s_b: str, percent: int, bits: int):
@@ -178,19 +192,38 @@ def _may(n_a: str, n_b: str, s_a: str, s_b: str, percent: int, bits: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= bits)
 
 
-def _units(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, i, j, side, vid, label: members of buckets that hold several components; side 0 are those outside the largest, side 1 all."""
+_NUMBERS = ("vid", "label", "n", "size", "rep", "h1", "h2")
+_PACKED = ", ".join(f"{c} array<bigint>" for c in _NUMBERS) + ", sketch binary, bands binary"
+
+
+def _packed(stretch: pa.Table) -> pa.Table:
+    """The members of a stretch as one row: a list of each number, and sketches and band keys (32 bits of each) as bytes."""
+    one = {c: [stretch[c][0].as_py()] for c in ("key", "side", "block", "ni", "nj")}
+    one |= {c: [stretch[c].to_numpy()] for c in _NUMBERS}
+    bands = _grid(stretch["bands"]).view(U) >> U(32)
+    one |= {"sketch": [_grid(stretch["sketch"]).tobytes()], "bands": [bands.astype(np.uint32).tobytes()]}
+    kinds = dict.fromkeys(_NUMBERS, pa.list_(pa.int64())) | {"key": pa.int64(), "sketch": pa.binary(), "bands": pa.binary()}
+    order = ["key", "side", "block", "ni", "nj", *_NUMBERS, "sketch", "bands"]
+    return pa.table({k: pa.array(one[k], kinds.get(k, pa.int32())) for k in order})
+
+
+def _units(members: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
+    """key, i, j, side and a packed stretch: of buckets that hold several components; side 0 are members outside the largest, side 1 all."""
     rest = members.select("key", "vid").join(labels, "vid", "left").select("key", "vid", F.coalesce("label", "vid").alias("label"))
     sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     split = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     pieces = lambda n: F.ceil(n / STRETCH).cast("int")
     split = saved(split.select("key", "main", pieces(F.col("all") - F.col("most")).alias("ni"), pieces(F.col("all")).alias("nj")), "split")
     left = rest.join(split, "key")
-    place = lambda n: F.pmod(F.xxhash64("vid"), n).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = left.where("label <> main").withColumn("i", place(F.col("ni"))).select("key", "i", upto("nj").alias("j"), F.lit(0).alias("side"), "vid", "label")
-    every = left.withColumn("j", place(F.col("nj"))).select("key", upto("ni").alias("i"), "j", F.lit(1).alias("side"), "vid", "label")
-    return few.unionByName(every)
+    place = lambda side, n: F.struct(F.lit(side).alias("side"), F.pmod(F.xxhash64("vid"), F.col(n)).cast("int").alias("block"))
+    both = F.array(place(0, "ni"), place(1, "nj"))
+    left = left.withColumn("at", F.explode(F.when(F.col("label") != F.col("main"), both).otherwise(F.array(place(1, "nj"))))).select("key", "ni", "nj", "vid", "label", "at.*")
+    schema = "key long, side int, block int, ni int, nj int, " + _PACKED
+    packed = saved(left.join(signs, "vid").groupBy("key", "side", "block").applyInArrow(_packed, schema), "stretches")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own, other = F.col("block"), F.explode(F.when(F.col("side") == 0, upto("nj")).otherwise(upto("ni")))
+    units = packed.withColumn("other", other).withColumns({"i": F.when(F.col("side") == 0, own).otherwise(F.col("other")), "j": F.when(F.col("side") == 1, own).otherwise(F.col("other"))})
+    return units.drop("block", "other", "ni", "nj")
 
 
 def _grid(column: pa.ChunkedArray) -> np.ndarray:
@@ -198,33 +231,67 @@ def _grid(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _picked(units: DataFrame, signs: DataFrame, percent: int, bits: int) -> DataFrame:
-    """The members of units that may be linked to another component there by their odd sketches."""
+_PICKED = "key long, i int, j int, si int, sj int, side int, vid long, label long, rep long, h1 long, h2 long"
+
+
+def _picked(units: DataFrame, percent: int, bits: int) -> DataFrame:
+    """The members of units that may be linked to another component there by their odd sketches, dealt into units (si, sj) of bounded size."""
 
     def run(unit: pa.Table) -> pa.Table:
-        side, vid, label, n = (unit[c].to_numpy() for c in ("side", "vid", "label", "n"))
-        sketch, bands, key = _grid(unit["sketch"]).view(U), _grid(unit["bands"]), unit["key"][0].as_py()
-        few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        keep = np.zeros(len(side), bool)
-        for x in few:
-            y = every[(label[every] != label[x]) & (100 * np.minimum(n[every], n[x]) >= percent * np.maximum(n[every], n[x]))]
-            y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(1) <= bits]
+        key, names = unit["key"][0].as_py() >> 32 & 0xFFFFFFFF, [x.split()[0] for x in _PICKED.split(", ")]
+        kinds = dict.fromkeys(("key", "vid", "label", "rep", "h1", "h2"), pa.int64())
+        empty = pa.table({n: pa.array([], kinds.get(n, pa.int32())) for n in names})
+        sides = {r["side"]: r for r in unit.to_pylist()}
+        if len(sides) < 2:
+            return empty
+        num = [{c: np.array(sides[k][c]) for c in _NUMBERS} for k in (0, 1)]
+        sketch = [np.frombuffer(sides[k]["sketch"], U).reshape(-1, BITS // 64) for k in (0, 1)]
+        bands = [np.frombuffer(sides[k]["bands"], np.uint32).reshape(len(sketch[k]), -1) for k in (0, 1)]
+        few, every = num
+        keep = [np.zeros(len(x["vid"]), bool) for x in num]
+        for x in range(len(few["vid"])):
+            y = np.flatnonzero((every["label"] != few["label"][x]) & (100 * np.minimum(every["n"], few["n"][x]) >= percent * np.maximum(every["n"], few["n"][x])))
+            y = y[np.bitwise_count(sketch[1][y] ^ sketch[0][x]).sum(1) <= bits]
             if len(y):
-                y = y[bands[x][(bands[y] == bands[x]).argmax(1)] == key]
-                keep[x] |= len(y) > 0
-                keep[y] = True
-        return unit.select(["key", "i", "j", "side", "vid", "label"]).filter(pa.array(keep))
-
-    return units.join(signs, "vid").select("key", "i", "j", "side", "vid", "label", "n", "sketch", "bands").groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, side int, vid long, label long")
+                y = y[bands[0][x][(bands[1][y] == bands[0][x]).argmax(1)] == key]
+                keep[0][x] = len(y) > 0
+                keep[1][y] = True
+        picks, stretch = [], []
+        for k in (0, 1):
+            at = np.flatnonzero(keep[k])
+            picks.append(at)
+            stretch.append((np.cumsum(num[k]["size"][at] + 8 * num[k]["n"][at]) // UNIT_BYTES).astype(np.int64))
+        if not len(picks[0]) or not len(picks[1]):
+            return empty
+        # Numbers of stretches go up without gaps, and every stretch of one side meets every one of the other.
+        stretch = [np.unique(x, return_inverse=True)[1] for x in stretch]
+        out: dict[str, list] = {n: [] for n in names}
+        for k in (0, 1):
+            times = int(stretch[1 - k].max()) + 1
+            at, mine, other = np.repeat(picks[k], times), np.repeat(stretch[k], times), np.tile(np.arange(times), len(picks[k]))
+            size = len(at)
+            columns = {"key": np.full(size, unit["key"][0].as_py()), "i": np.full(size, unit["i"][0].as_py()), "j": np.full(size, unit["j"][0].as_py()), "si": (mine, other)[k], "sj": (other, mine)[k], "side": np.full(size, k)}
+            for n in names:
+                out[n].append(columns[n] if n in columns else num[k][n][at])
+        return pa.table({n: pa.array(np.concatenate(v)).cast(kinds.get(n, pa.int32())) for n, v in out.items()})
+
+    return units.groupBy("key", "i", "j").applyInArrow(run, _PICKED)
 
 
 def _joined(picked: DataFrame, n_picked: int, docs: DataFrame, percent: int) -> DataFrame:
     """Links between components in each unit, on full sets; what a link has joined there is not joined again."""
 
     def run(unit: pa.Table) -> pa.Table:
-        side, vid, label = (unit[c].to_numpy() for c in ("side", "vid", "label"))
         sets = list(shingle_sets(unit["text"]))
-        sizes = np.array([len(s) for s in sets])
+        # Texts of other sets that share an id, and rows that repeat, are passed over.
+        seen, right = set(), []
+        for i, row in enumerate(zip(*(unit[c].to_pylist() for c in ("side", "vid", "h1", "h2")))):
+            if row[:2] not in seen and _digest(sets[i]) == row[2:]:
+                seen.add(row[:2])
+                right.append(i)
+        sets = [sets[i] for i in right]
+        side, vid, label = (unit[c].to_numpy()[right] for c in ("side", "vid", "label"))
+        sizes = np.array([len(s) for s in sets], np.int64)
         every = np.flatnonzero(side == 1)
         found = {x: x for x in label.tolist()}
 
@@ -253,41 +320,59 @@ def _joined(picked: DataFrame, n_picked: int, docs: DataFrame, percent: int) ->
                         b.append(int(vid[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    few = n_picked <= BROADCAST_ROWS  # rows of six numbers, counted
-    texts = docs.join(F.broadcast(picked) if few else picked, docs["vid_"] == picked["vid"])
-    return texts.select("key", "i", "j", "side", "vid", "label", "text").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    few = n_picked <= BROADCAST_ROWS  # rows of eleven numbers, counted
+    texts = docs.join(F.broadcast(picked) if few else picked, docs["doc_id"] == picked["rep"])
+    columns = ["key", "i", "j", "si", "sj"]
+    return texts.select(*columns, "side", "vid", "label", "h1", "h2", "text").groupBy(*columns).applyInArrow(run, "a long, b long")
+
+
+def _of_ids(some: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the classes of an id that has several, if there are any."""
+    own = F.struct("h1", "h2")
+    several = saved(some.groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").select("doc_id"), "several")
+    n = several.count()
+    if not n:
+        return None
+    several = F.broadcast(several) if n <= BROADCAST_ROWS else several
+    rows = some.join(several, "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select("doc_id", "vid")
+    return rows.groupBy("doc_id").agg(F.min("vid").alias("a"), F.collect_set("vid").alias("all")).select("a", F.explode("all").alias("b")).where("a <> b")
 
 
 def grouped(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     threshold = percent / 100
     bits = most_bits(threshold, n_bands(threshold) * ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = saved(rows.mapInArrow(_signed(threshold), "doc_id long, n long, h1 long, h2 long, bands array<bigint>, sketch array<bigint>"), "signed")
+    signed = saved(rows.mapInArrow(_signed(threshold), "doc_id long, size long, n long, h1 long, h2 long, bands array<bigint>, sketch array<bigint>"), "signed")
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = saved(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("vid")), "classes")
-    # A class's signature is that of its least row; rows that repeat it are one.
-    signs = some.join(classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "vid"), (F.col("doc_id") == F.col("vid")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    # Numbers are given as the table is written, and so stay.
+    classes = saved(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).withColumn("vid", F.monotonically_increasing_id()), "classes")
+    # A class's signature is that of a row of its least id; rows that repeat it are one.
+    own = classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "rep", "vid")
+    signs = some.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).dropDuplicates(["doc_id", "h1", "h2"]).drop("doc_id", "g1", "g2")
     banded = signs.select("vid", F.explode("bands").alias("key"))
     centres = banded.groupBy("key").agg(F.min("vid").alias("centre"), F.max("vid").alias("last")).where("centre <> last").drop("last")
     members = saved(banded.join(centres, "key").select("key", "centre", "vid"), "members")
-    sketches = saved(signs.select("vid", "n", "sketch").join(members.select("vid").distinct(), "vid", "left_semi").dropDuplicates(["vid"]), "sketches")
-    texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "vid_")
+    sketches = saved(signs.drop("bands").join(members.select("vid").distinct(), "vid", "left_semi"), "sketches")
+    texts = rows.where("doc_id IS NOT NULL")
 
     stars = saved(_sifted(members.where("vid <> centre").select(F.col("centre").alias("a"), F.col("vid").alias("b")).distinct(), sketches, percent, bits), "stars")
     links = saved(_confirm(stars, stars.count(), texts, percent), "links")
-    # Members of one class that has several ids, or rows of one id, are joined by their class.
+    if (more := _of_ids(some, classes)) is not None:
+        links = saved(links.union(more), "links")
     labels = saved(components(links), "labels")
 
-    units = _units(members, labels)
-    picked = saved(_picked(units, signs.select("vid", "n", "sketch", "bands").dropDuplicates(["vid"]), percent, bits), "picked")
+    picked = saved(_picked(_units(members, labels, signs), percent, bits), "picked")
     n_picked = picked.count()
     if n_picked:
         labels = saved(components(links.union(_joined(picked, n_picked, texts, percent))), "labels")
 
-    named = classes.join(labels, "vid", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("label", "vid").alias("component_id"))
+    # The least id of each component of several classes.
+    linked = labels.join(classes.select("vid", "rep"), "vid")
+    least = saved(linked.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+    few = least.count() <= BROADCAST_ROWS
+    of_class = labels.join(F.broadcast(least) if few else least, "label").select("vid", "component_id")
+    named = classes.join(of_class, "vid", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("component_id", "rep").alias("component_id"))
     own = signed.select("doc_id", "n", "h1", "h2")
     full = own.where("n > 0").join(named, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     out = full.select("doc_id", "n", "component_id").union(own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
@@ -302,15 +387,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group: that of the least id, and of rows that share it the first by text. Rows without an id stay."""
     own = F.col(id_col).cast("long")
+    (key, first) = unused(docs, "key", "first")
     groups = grouped(docs, percent, id_col, text_col)
-    gone = saved(groups.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    gone = saved(groups.where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if few else gone, own == F.col("__id"), "left_anti")
-    again = saved(docs.where(own.isNotNull()).groupBy(own.alias("__id")).count().where("count > 1").select("__id"), "again")
+    left = docs.join(F.broadcast(gone) if few else gone, own == F.col(key), "left_anti")
+    again = saved(docs.where(own.isNotNull()).groupBy(own.alias(key)).count().where("count > 1").select(key), "again")
     n = again.count()
     if not n:
         return left
     again = F.broadcast(again) if n <= BROADCAST_ROWS else again
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    of_many = left.join(again, own == F.col("__id"), "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")
-    return left.join(again, own == F.col("__id"), "left_anti").unionByName(of_many)
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    of_many = left.join(again, own == F.col(key), "left_semi").withColumn(first, place).where(F.col(first) == 1).drop(first)
+    return left.join(again, own == F.col(key), "left_anti").unionByName(of_many)

@@ -150,6 +150,36 @@ def test_chain_of_near_copies(spark, monkeypatch):
     assert got == brute_groups(rows, 85)
 
 
+def test_rows_of_one_id_keep_all_their_links(spark, monkeypatch):
+    rng = random.Random(8)
+    a, b = words(rng, 100, 9000), words(rng, 100, 9000)
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, words(rng, 50, 9000)), (5, near(near(b) + " x"))]
+    for stretch in (4096, 2):
+        monkeypatch.setattr(neardup, "STRETCH", stretch)
+        monkeypatch.setattr(neardup, "UNIT_BYTES", 1500)
+        out = {r.doc_id: r.component_id for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1}
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_units_of_sets_are_bounded(spark, monkeypatch):
+    """Variants near each other but mostly below the threshold, in stretches of sketches and in units of a few texts."""
+    monkeypatch.setattr(neardup, "STRETCH", 7)
+    monkeypatch.setattr(neardup, "UNIT_BYTES", 4000)
+    rng = random.Random(12)
+    base = words(rng, 90, 10_000).split()
+    rows = []
+    for i in range(60):
+        some = list(base)
+        for j in rng.sample(range(90), rng.randrange(1, 6)):
+            some[j] = f"d{rng.randrange(9)}"
+        rows.append((i, " ".join(some)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows, 85)
+
+
 def test_odd_sketches_estimate_similarity():
     signer, rng = neardup.Signer(0.85), np.random.default_rng(5)
     for share in (0.95, 0.85, 0.5):
