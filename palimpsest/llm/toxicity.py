@@ -53,6 +53,9 @@ TURNS_WORDS = 1_500_000
 #: Documents of each label learned from, about, and bytes of their texts.
 SAMPLE = 4000
 SAMPLE_BYTES = 16 << 20
+#: Words whose n-grams are found at once, and n-grams that are summed at once, so that the driver holds little.
+_WORDS = 1 << 15
+_STRIDE = 1 << 20
 _MIX = U(0x9E3779B97F4A7C15)
 _PRIME = U(0x100000001B3)
 #: Lower case of the code points before U+0590, where it is one code point.
@@ -162,7 +165,7 @@ class Model:
 class Bag:
     """A sample as numbers: n-grams of words, words of passages, passages of texts."""
 
-    #: Bucket of each n-gram of each word that enough texts have, among `used`, and the word.
+    #: Bucket of each n-gram of each word that enough texts have, among `used`, and the word, in order of words.
     bucket: np.ndarray
     owner: np.ndarray
     used: np.ndarray
@@ -179,43 +182,59 @@ class Bag:
 
     def of_passages(self, of_buckets: np.ndarray) -> np.ndarray:
         """Mean over passages of words' means of what buckets have."""
-        words = np.bincount(self.owner, of_buckets[self.bucket], len(self.size)) / self.size
+        words = np.zeros(len(self.size))
+        for at in range(0, len(self.owner), _STRIDE):
+            owner = self.owner[at : at + _STRIDE]
+            words[owner[0] : owner[-1] + 1] += np.bincount(owner - owner[0], of_buckets[self.bucket[at : at + _STRIDE]])
+        words /= self.size
         return np.bincount(self.passage, words[self.tokens], len(self.starts)) / self.lengths
 
     def of_buckets(self, of_passages: np.ndarray) -> np.ndarray:
         """The transpose of of_passages."""
         words = np.bincount(self.tokens, (of_passages / self.lengths)[self.passage], len(self.size)) / self.size
-        return np.bincount(self.bucket, words[self.owner], len(self.used))
+        out = np.zeros(len(self.used))
+        for at in range(0, len(self.owner), _STRIDE):
+            out += np.bincount(self.bucket[at : at + _STRIDE], words[self.owner[at : at + _STRIDE]], len(self.used))
+        return out
 
 
 def bagged(vocabulary: pa.Array, tokens: np.ndarray, counts: np.ndarray) -> Bag:
     """Texts of `counts` words each, at least one, given as numbers of distinct words."""
-    text, bounds = _padded(vocabulary)
-    _, features = _features(text)
-    places = [np.concatenate([np.arange(0), *_ranges(first, last)]) for _, first, last in features]
-    bucket = np.concatenate([b[p] for (b, _, _), p in zip(features, places)])
-    owner = np.concatenate([np.repeat(np.arange(len(first), dtype=np.int32), last - first) for _, first, last in features])
     n_words, n_texts = len(vocabulary), len(counts)
-    size = np.maximum(np.bincount(owner, minlength=n_words), 1)
-    # Buckets that few texts have tell nothing about others.
     seen = np.unique(tokens.astype(np.int64) * n_texts + np.repeat(np.arange(n_texts), counts))
     in_texts = np.bincount(seen // n_texts, minlength=n_words)
-    often = np.bincount(bucket, in_texts[owner], BUCKETS) >= LEAST_TEXTS
-    kept = often[bucket]
+    del seen
+    parts, size, texts_of = [], np.zeros(n_words, np.int32), np.zeros(BUCKETS)
+    for low in range(0, n_words, _WORDS):
+        _, features = _features(_padded(vocabulary[low : low + _WORDS])[0])
+        bucket = np.concatenate([b[_ranges(first, last)] for b, first, last in features])
+        owner = np.concatenate([np.repeat(np.arange(low, low + len(first), dtype=np.int32), last - first) for _, first, last in features])
+        order = np.argsort(owner, kind="stable")
+        bucket, owner = bucket[order], owner[order]
+        size += np.bincount(owner, minlength=n_words).astype(np.int32)
+        texts_of += np.bincount(bucket, in_texts[owner], BUCKETS)
+        parts.append((bucket, owner))
+    # Buckets that few texts have tell nothing about others.
+    often = texts_of >= LEAST_TEXTS
     used = np.flatnonzero(often)
     place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(len(used))
+    for i, (bucket, owner) in enumerate(parts):
+        kept = often[bucket]
+        parts[i] = place[bucket[kept]], owner[kept]
+    bucket, owner = (np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 2
+    del parts
     starts, own = _passages(counts)
     lengths = np.diff(np.append(starts, len(tokens)))
     passage = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
-    return Bag(place[bucket[kept]], owner[kept], used, size, tokens, passage, starts, lengths, own, np.repeat(np.arange(n_texts), np.diff(own)))
+    return Bag(bucket, owner, used, np.maximum(size, 1), tokens, passage, starts, lengths, own, np.repeat(np.arange(n_texts), np.diff(own)))
 
 
-def _ranges(first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All places from first up to last, of all pairs."""
     n = last - first
     total = int(n.sum())
-    return [np.repeat(first, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)]
+    return np.repeat(first, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -362,11 +381,14 @@ def learned(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     upto = Window.partitionBy("label").orderBy("place", "id", "check").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = sample.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= SAMPLE_BYTES).select("id", "label", "check", "words", "tokens").toArrow()
     rows = rows.take(pa.array(np.lexsort([rows["check"].to_numpy(), rows["id"].to_numpy()]))).combine_chunks()
-    words, tokens = _flat(rows["words"]), _flat(rows["tokens"])
+    words, tokens, marks = _flat(rows["words"]), _flat(rows["tokens"]), rows["label"].to_numpy()
+    del rows
     coded = words[0].dictionary_encode()
     # A token's number among all distinct words: that of its text's word.
-    number = np.asarray(coded.indices, np.int32)[np.asarray(tokens[0], np.int64) + np.repeat(words[1], tokens[2])]
-    return _trained(coded.dictionary, number, tokens[2], rows["label"].to_numpy())
+    number = np.asarray(coded.indices, np.int32)[np.asarray(tokens[0]) + np.repeat(words[1], tokens[2])]
+    vocabulary, counts = coded.dictionary, tokens[2]
+    del words, tokens, coded
+    return _trained(vocabulary, number, counts, marks)
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
