@@ -1,21 +1,35 @@
 """Folding candidates into revisions, in a defined order.
 
 A batch is ordered by (created_at, candidate_id). Within a scope and semantic key candidates are applied one after another to the
-record as it stands: a mutation whose base revision is not the current one is a conflict and takes no sequence number; a
-create for a key that exists is suppressed. Keys do not touch each other, so a group is one key; its fold is a higher-order
-function over its own rows in order, and sequence numbers are given to the accepted rows of a scope afterwards.
+record as it stands. Outcomes, the first that holds:
+
+    suppressed         a create for a key that exists
+    not_found          a mutation of a record that does not exist, or of a memory that has no head
+    scope_mismatch     a mutation of a memory of another scope
+    conflict           a base revision that is not the current one
+    identity_changed   another class, kind, type or key than the memory has
+    error              a restore of what is active, or another mutation of what is not
+    accepted           takes the next revision and the next sequence number of its scope
+
+Keys do not touch each other, so a task folds one key after another with one state (folds.in_order), and sequence numbers are given to
+the accepted rows of a scope afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.canon import candidate_fingerprint, joined_id
+from palimpsest.operators.folds import in_order
 from palimpsest.operators.records import sequenced
 
 OPERATIONS = ("create", "update", "merge", "tombstone", "restore")
-_STATE = "struct<revision:bigint,status:string,log:array<struct<candidate_id:string,outcome:string,revision:bigint,status:string>>>"
+#: What a mutation may not change, beside the key.
+IDENTITY = ("memory_class", "memory_kind", "memory_type")
 
 
 def ingested(candidates: DataFrame, bases: DataFrame) -> DataFrame:
@@ -36,32 +50,55 @@ def ingested(candidates: DataFrame, bases: DataFrame) -> DataFrame:
     return c.withColumns({"memory_type": kind, "fingerprint": fingerprint, "semantic_key": key, "problem": problem}).drop("__key", "__type")
 
 
-def _step(state: Column, c: Column) -> Column:
-    here = state["revision"]
-    stale = (c["op"] != "create") & ((here == 0) | (c["base_revision"] != here))
-    exists = (c["op"] == "create") & (here > 0)
-    impossible = ((c["op"] == "restore") & (state["status"] == "active")) | (c["op"].isin("update", "merge", "tombstone") & (state["status"] == "tombstoned"))
-    outcome = F.when(stale, "conflict").when(exists, "suppressed").when(impossible, "error").otherwise("accepted")
-    taken = outcome == "accepted"
-    revision = F.when(taken, here + 1).otherwise(here)
-    status = F.when(taken, F.when(c["op"] == "tombstone", "tombstoned").otherwise("active")).otherwise(state["status"])
-    entry = F.struct(c["candidate_id"].alias("candidate_id"), outcome.alias("outcome"), revision.alias("revision"), status.alias("status"))
-    return F.struct(revision.alias("revision"), status.alias("status"), F.concat(state["log"], F.array(entry)).alias("log"))
+def _step(c: dict | None, state: dict | None) -> tuple[dict | None, list[dict]]:
+    if c is None:
+        return None, []
+    revision, status = (state["revision"], state["status"]) if state else (c["__revision"] or 0, c["__status"])
+    create = c["op"] == "create"
+    if create and revision:
+        outcome = "suppressed"
+    elif not create and (not revision or c["__against"] == "not_found"):
+        outcome = "not_found"
+    elif not create and c["__against"] == "scope_mismatch":
+        outcome = "scope_mismatch"
+    elif not create and c["base_revision"] != revision:
+        outcome = "conflict"
+    elif not create and c["__against"]:
+        outcome = c["__against"]
+    elif c["op"] == "restore" and status == "active" or c["op"] in ("update", "merge", "tombstone") and status != "active":
+        outcome = "error"
+    else:
+        outcome, revision, status = "accepted", revision + 1, "tombstoned" if c["op"] == "tombstone" else "active"
+    names = ("ns", "semantic_key", "candidate_id")
+    return {"revision": revision, "status": status}, [{n: c[n] for n in names} | {"outcome": outcome, "revision": revision, "status": status or "absent"}]
+
+
+def _against(candidates: DataFrame, heads: DataFrame) -> DataFrame:
+    """candidates with __against: what a mutation that names a memory has against that memory's head, as it was before the batch."""
+    if "memory_id" not in candidates.columns or "memory_id" not in heads.columns:
+        return candidates.withColumn("__against", F.lit(None).cast("string"))
+    kept = [c for c in IDENTITY if c in candidates.columns and c in heads.columns]
+    h = heads.select("memory_id", F.col("ns").alias("__ns"), F.col("semantic_key").alias("__key"), *(F.col(c).alias(f"__{c}") for c in kept), F.lit(True).alias("__known"))
+    changed = reduce(or_, (~F.col(c).eqNullSafe(F.col(f"__{c}")) for c in kept), ~F.col("semantic_key").eqNullSafe(F.col("__key")))
+    against = F.when(F.col("__known").isNull(), "not_found").when(F.col("__ns") != F.col("ns"), "scope_mismatch").when(changed, "identity_changed")
+    out = candidates.join(h, "memory_id", "left").withColumn("__against", F.when((F.col("op") != "create") & F.col("memory_id").isNotNull(), against))
+    return out.drop("__ns", "__key", "__known", *(f"__{c}" for c in kept))
 
 
 def folded(candidates: DataFrame, heads: DataFrame, changes: DataFrame, high_water: DataFrame) -> DataFrame:
     """candidates (ns, semantic_key, candidate_id, created_at, idempotency_key, op, base_revision) with outcome, revision, status, commit_seq.
 
-    heads: ns, semantic_key, revision, status. Candidates whose idempotency key is in changes are replays and keep nothing new.
+    heads: ns, semantic_key, revision, status. Where candidates name a memory_id and heads have them, scope and identity are checked against it; the
+    fold still goes by key. Candidates whose idempotency key is in changes are replays and keep nothing new.
     """
     replayed = changes.select("ns", "idempotency_key").distinct()
     fresh = candidates.join(replayed, ["ns", "idempotency_key"], "left_anti")
-    item = F.struct("created_at", "candidate_id", "op", "base_revision")
-    groups = fresh.groupBy("ns", "semantic_key").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    at = heads.select("ns", "semantic_key", F.col("revision").alias("__revision"), F.col("status").alias("__status"))
-    start = F.struct(F.coalesce("__revision", F.lit(0)).cast("long").alias("revision"), F.coalesce("__status", F.lit("absent")).alias("status"), F.array().alias("log")).cast(_STATE)
-    done = groups.join(at, ["ns", "semantic_key"], "left").select("ns", "semantic_key", F.explode(F.aggregate("items", start, lambda s, c: _step(s, c).cast(_STATE))["log"]).alias("r"))
-    out = fresh.join(done.select("ns", "semantic_key", "r.*"), ["ns", "semantic_key", "candidate_id"])
+    at = heads.select("ns", "semantic_key", F.col("revision").cast("long").alias("__revision"), F.col("status").alias("__status"))
+    rows = _against(fresh, heads).join(at, ["ns", "semantic_key"], "left")
+    # A mutation of a memory under a key that it has not is folded with its own key, where there may be no record.
+    rows = rows.select("ns", "semantic_key", "created_at", "candidate_id", "op", F.col("base_revision").cast("long").alias("base_revision"), "__revision", "__status", "__against")
+    done = in_order(rows, ["ns", "semantic_key"], ["created_at", "candidate_id"], _step, "ns string, semantic_key string, candidate_id string, outcome string, revision long, status string")
+    out = fresh.join(done, ["ns", "semantic_key", "candidate_id"])
     accepted = sequenced(out.where("outcome = 'accepted'"), high_water, ["ns"], "created_at", "candidate_id")
     return accepted.unionByName(out.where("outcome <> 'accepted'").withColumn("commit_seq", F.lit(None).cast("long")))
 

@@ -30,11 +30,18 @@ def archive_valid(rows: DataFrame) -> DataFrame:
 
 
 def put_once(rows: DataFrame, path: str) -> DataFrame:
-    """Appends rows (identity, checksum, ...) whose identity is new; returns those whose identity is held under another checksum."""
+    """Appends rows (identity, checksum, ...) whose identity is new, each once; returns those whose identity is held under another checksum.
+
+    Of rows of one identity in a batch the one of the least checksum is put, and the others clash with it.
+    """
     old = _existing(rows.sparkSession, path, rows).select("identity", F.col("checksum").alias("__held"))
-    clash = rows.join(old, "identity").where(F.col("checksum") != F.col("__held"))
-    rows.join(old, "identity", "left_anti").write.mode("append").parquet(path)
-    return clash.withColumnRenamed("__held", "held")
+    first = rows.groupBy("identity").agg(F.min("checksum").alias("__first"))
+    known = rows.join(first, "identity").join(old, "identity", "left").withColumn("held", F.coalesce("__held", "__first"))
+    clash = known.where(F.col("checksum") != F.col("held")).select(*rows.columns, "held")
+    new = known.where(F.col("__held").isNull() & (F.col("checksum") == F.col("__first"))).select(*rows.columns)
+    # Read after the batch is written, clashes are the same: what is held then is what was first.
+    new.dropDuplicates(["identity"]).write.mode("append").parquet(path)
+    return clash
 
 
 def save_checkpoint(rows: DataFrame, path: str, version: int) -> None:
@@ -43,8 +50,8 @@ def save_checkpoint(rows: DataFrame, path: str, version: int) -> None:
 
 
 def load_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """The last fingerprint of each source."""
-    return latest(spark.read.parquet(path), ["source_id"], F.col("version").desc())
+    """The last fingerprint of each source; of several of one version the least."""
+    return latest(spark.read.parquet(path), ["source_id"], F.col("version").desc(), F.col("fingerprint"))
 
 
 def compact_checkpoint(spark: SparkSession, path: str, to: str) -> None:

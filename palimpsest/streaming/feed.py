@@ -31,11 +31,19 @@ def heads(stream: DataFrame) -> DataFrame:
 
 
 def replicate(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends each change once by (ns, commit_seq), however often its batch is run."""
+    """Appends each change once by (ns, commit_seq), however often it or its batch is delivered.
+
+    A batch writes a folder of its own, which its repeat overwrites, without the changes that other batches' folders have. Those are found by
+    a join on the two numbers; only folders of scopes' rows are read, two columns of them.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         once = batch.dropDuplicates(["ns", "commit_seq"])
-        # Overwriting the batch's own folder makes its repeat harmless.
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            held = spark.read.schema(batch.schema.add("batch", "long")).parquet(path).where(F.col("batch") != batch_id)
+            once = once.join(held.select("ns", "commit_seq"), ["ns", "commit_seq"], "left_anti")
         once.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
