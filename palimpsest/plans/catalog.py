@@ -470,10 +470,14 @@ def polarity(s):
     return s.select("doc_id", semantics.polarity(F.col("text"), F.lit(None).cast("string")).alias("polarity"))
 
 
-@query("statements", sql="SELECT doc_id, concat('semantic:', sha256(concat('{\"memoryKind\":\"', source, '\",\"memoryType\":\"fact\",\"text\":\"', trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g')), '\"}'))) AS semantic_key FROM statements WHERE regexp_full_match(text, '[ -~]*')")
+NORMALIZED_SQL = "trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+KEY_SQL = f"concat('semantic:', sha256(concat('{{\"memoryKind\":\"', source, '\",\"memoryType\":\"fact\",\"text\":\"', {NORMALIZED_SQL}, '\"}}')))"
+
+
+# DuckDB has no NFKC, so SQL composes canonically, which is the same on the given tables; tests hold texts that need it against brute force.
+@query("statements", sql=f"SELECT doc_id, {KEY_SQL} AS semantic_key FROM statements")
 def semantic_key_exact(s):
-    ascii_rows = s.where(F.col("text").rlike("^[ -~]*$"))
-    return ascii_rows.select("doc_id", semantics.semantic_key(F.col("text"), F.lit("fact"), F.col("source"), F.lit(None).cast("string"), True).alias("semantic_key"))
+    return s.select("doc_id", semantics.semantic_key(F.col("text"), F.lit("fact"), F.col("source"), F.lit(None).cast("string")).alias("semantic_key"))
 
 
 @query("statements", sql=TYPED + f""", p AS (SELECT *, {STATUS_SQL} AS st, CASE WHEN ty = 'transient_state' OR dir THEN 'transient' WHEN candidate_type IN ('preference_candidate', 'relationship_candidate', 'habit_candidate') THEN 'durable' WHEN candidate_type IN ('commitment_candidate', 'project_state_candidate') THEN 'time_bounded' WHEN candidate_type = 'event_candidate' THEN 'transient' ELSE 'unknown' END AS du FROM t),
@@ -505,13 +509,16 @@ def contamination_scan(s):
 
 @query("statements")
 def token_relation(s):
-    # Each statement against the next of its source.
+    """Each statement against the next of its source; what the relation needs of either is made once."""
     s = semantics.signals(s)
     s = s.withColumn("matched", semantics.matched_concepts(F.col("text"), F.lit("preference"), F.lit("user"), F.col("nfkc"), F.col("explicit"), F.col("placement")))
     s = s.withColumn("concept", semantics.concept(F.col("matched")))
+    known = F.col("nfkc")
+    sides = s.select("doc_id", "source", F.struct(semantics.normalized_text(F.col("text"), known).alias("x"), semantics.semantic_tokens(F.col("text"), known).alias("tokens"), semantics.polarity(F.col("text"), F.col("concept")).alias("polarity"), "concept").alias("own"))
     by = Window.partitionBy("source").orderBy("doc_id")
-    pairs = s.withColumns({"next": F.lead("doc_id").over(by), "other": F.lead("text").over(by), "other_concept": F.lead("concept").over(by)}).where("next IS NOT NULL")
-    return pairs.select("doc_id", "next", semantics.relation(F.col("text"), F.col("other"), F.col("concept"), F.col("other_concept")).alias("relation"))
+    pairs = sides.withColumns({"next": F.lead("doc_id").over(by), "other": F.lead("own").over(by)}).where("next IS NOT NULL")
+    side = lambda c: tuple(F.col(f"{c}.{f}") for f in ("x", "tokens", "polarity", "concept"))
+    return pairs.select("doc_id", "next", semantics.relation_of(side("own"), side("other")).alias("relation"))
 
 
 @query("statements", sql="SELECT doc_id, text, count(*) OVER (PARTITION BY text) - 1 AS others FROM statements QUALIFY count(*) OVER (PARTITION BY text) > 1")
@@ -523,17 +530,34 @@ def duplicate_candidates(s):
 # Commit.
 
 
-@query("revisions")
+SEED = "2024-01-15"
+
+
+@query("revisions", sql=f"""+ RECURSIVE early AS (SELECT * FROM revisions WHERE valid_from < TIMESTAMP '{SEED}'), heads AS (SELECT * FROM early QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY revision DESC) = 1),
+ marks AS (SELECT ns, max(commit_seq) AS mark FROM early GROUP BY ns),
+ c AS (SELECT ns, CASE WHEN event_id % 41 = 0 THEN concat('key_', u + 3) ELSE semantic_key END AS semantic_key, concat('cand_', lpad(event_id::VARCHAR, 8, '0')) AS candidate_id, valid_from AS created_at, event_id, op,
+  CASE WHEN op <> 'create' THEN revision - 1 - CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END END AS base, CASE WHEN event_id % 31 = 0 THEN 'mem_none' WHEN event_id % 37 = 0 THEN concat('mem_', u + 1) ELSE memory_id END AS memory_id
+  FROM (SELECT *, substr(memory_id, 5)::INT AS u FROM revisions)),
+ fresh AS (SELECT c.*, CASE WHEN c.op = 'create' THEN NULL WHEN h.memory_id IS NULL THEN 'not_found' WHEN h.ns <> c.ns THEN 'scope_mismatch' WHEN h.semantic_key <> c.semantic_key THEN 'identity_changed' END AS against
+  FROM c LEFT JOIN heads h USING (memory_id) WHERE NOT EXISTS (SELECT 1 FROM early e WHERE e.ns = c.ns AND e.event_id = c.event_id AND e.event_id % 5 <> 0)),
+ o AS (SELECT f.*, row_number() OVER (PARTITION BY f.ns, f.semantic_key ORDER BY created_at, candidate_id) AS k, coalesce(h.revision, 0) AS r0, coalesce(h.status, 'absent') AS s0 FROM fresh f LEFT JOIN heads h ON h.ns = f.ns AND h.semantic_key = f.semantic_key),
+ f AS (SELECT DISTINCT ns, semantic_key, 0::BIGINT AS k, '' AS candidate_id, '' AS op, '' AS outcome, r0::BIGINT AS revision, s0 AS status FROM o
+  UNION ALL SELECT ns, semantic_key, k, candidate_id, op, x, CASE WHEN x = 'accepted' THEN revision + 1 ELSE revision END, CASE WHEN x <> 'accepted' THEN status WHEN op = 'tombstone' THEN 'tombstoned' ELSE 'active' END FROM (
+   SELECT o.ns, o.semantic_key, o.k, o.candidate_id, o.op, f.revision, f.status, CASE WHEN o.op = 'create' AND f.revision > 0 THEN 'suppressed' WHEN o.op <> 'create' AND (f.revision = 0 OR against = 'not_found') THEN 'not_found' WHEN against = 'scope_mismatch' THEN against
+    WHEN o.op <> 'create' AND base <> f.revision THEN 'conflict' WHEN against IS NOT NULL THEN against WHEN (o.op = 'restore' AND f.status = 'active') OR (o.op IN ('update', 'merge', 'tombstone') AND f.status <> 'active') THEN 'error' ELSE 'accepted' END AS x
+   FROM f JOIN o ON o.ns = f.ns AND o.semantic_key = f.semantic_key AND o.k = f.k + 1))
+ SELECT f.ns, f.semantic_key, f.candidate_id, f.op, f.outcome, f.revision, f.status, CASE WHEN outcome = 'accepted' THEN mark + row_number() OVER (PARTITION BY f.ns, outcome ORDER BY created_at, f.candidate_id) END AS commit_seq FROM f JOIN fresh USING (candidate_id) LEFT JOIN marks ON marks.ns = f.ns WHERE k > 0""")
 def commit_fold(revisions):
+    """All changes handed in again after those of the first days: replays but for one in five, and what names no, another or a foreign memory."""
+    i, u = F.col("event_id"), F.substring("memory_id", 5, 9).cast("int")
+    early = revisions.where(F.col("valid_from") < at(SEED))
     c = revisions.select(
-        "ns", "semantic_key", F.concat(F.lit("cand_"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("candidate_id"), F.col("valid_from").alias("created_at"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("idempotency_key"), "op",
-        F.when(F.col("op") != "create", F.col("revision") - 1 - F.when(F.col("event_id") % 9 == 0, 1).otherwise(0)).alias("base_revision"),
+        "ns", F.when(i % 41 == 0, F.concat(F.lit("key_"), (u + 3).cast("string"))).otherwise(F.col("semantic_key")).alias("semantic_key"), F.concat(F.lit("cand_"), F.lpad(i.cast("string"), 8, "0")).alias("candidate_id"), F.col("valid_from").alias("created_at"), F.concat(F.lit("k"), i.cast("string")).alias("idempotency_key"), "op",
+        F.when(F.col("op") != "create", F.col("revision") - 1 - F.when(i % 9 == 0, 1).otherwise(0)).alias("base_revision"), F.when(i % 31 == 0, "mem_none").when(i % 37 == 0, F.concat(F.lit("mem_"), (u + 1).cast("string"))).otherwise(F.col("memory_id")).alias("memory_id"),
     )
-    spark = revisions.sparkSession
-    heads = spark.createDataFrame([], "ns string, semantic_key string, revision long, status string")
-    changes = spark.createDataFrame([], "ns string, idempotency_key string")
-    marks = spark.createDataFrame([], "ns string, high_water long")
-    return commit.folded(c, heads, changes, marks).select("ns", "semantic_key", "candidate_id", "op", "outcome", "revision", "status", "commit_seq")
+    changes = early.where(i % 5 != 0).select("ns", F.concat(F.lit("k"), i.cast("string")).alias("idempotency_key"))
+    out = commit.folded(c, records.heads(early).select("ns", "memory_id", "semantic_key", "revision", "status"), changes, records.high_water(early, ["ns"]))
+    return out.select("ns", "semantic_key", "candidate_id", "op", "outcome", "revision", "status", "commit_seq")
 
 
 @query("curation", sql="SELECT receipt_id AS memory_id, memory_type AS source_type, speaker AS source_ref, arg_max(outcome, unit_ref) AS note, min(unit_ref) AS first_pos FROM curation GROUP BY ALL")
@@ -624,7 +648,9 @@ def session_transcript(m):
     return sessions.normalized(m).select("session_id", sessions.transcript().alias("transcript")).where("transcript <> ''")
 
 
-@query("messages")
+@query("messages", sql="""+ RECURSIVE p AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY pos, role, text, i) AS k, greatest(0, least(600, coalesce(length(text), 0) - 600 * i)) AS size FROM (SELECT *, unnest(range(greatest(1, ceil(coalesce(length(text), 0) / 600.0)::BIGINT))) AS i FROM messages)),
+ f AS (SELECT session_id, k, size, 0 AS chunk, size AS chars, 1 AS n FROM p WHERE k = 1 UNION ALL SELECT p.session_id, p.k, p.size, f.chunk + CAST(full_ AS INT), CASE WHEN full_ THEN p.size ELSE f.chars + 2 + p.size END, CASE WHEN full_ THEN 1 ELSE f.n + 1 END FROM (SELECT f.*, q.size AS next_size, (f.chars + 2 + q.size > 600 OR f.n >= 4) AS full_ FROM f JOIN p q ON q.session_id = f.session_id AND q.k = f.k + 1) f JOIN p ON p.session_id = f.session_id AND p.k = f.k + 1)
+ SELECT session_id, chunk, count(*) AS n_segments, CAST(sum(size) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM f GROUP BY ALL""")
 def session_chunks(m):
     return sessions.packed(sessions.normalized(m), 600, 4)
 
@@ -635,7 +661,10 @@ def window_merge(m):
     return sessions.published(prior.unionByName(m.where("pos >= 2").withColumn("side", F.lit(1))))
 
 
-@query("receipts")
+@query("receipts", sql="""+ RECURSIVE p AS (SELECT source_id AS c, o_orderkey AS pos, concat('rev', o_orderkey % 4) AS rev, CAST(epoch(updated_at) AS BIGINT) AS u, CASE WHEN status = 'complete' THEN 1 WHEN status = 'failed' THEN 2 ELSE 0 END AS rk, concat('d', o_orderkey % 6) AS d, row_number() OVER (PARTITION BY source_id ORDER BY o_orderkey) AS k FROM receipts),
+ f AS (SELECT c, k, pos, rev, u, rk, d, 'created' AS outcome FROM p WHERE k = 1 UNION ALL SELECT c, k, pos, CASE WHEN x = 'updated' THEN rev ELSE rev0 END, CASE WHEN x = 'updated' THEN u ELSE u0 END, CASE WHEN x = 'updated' THEN rk ELSE rk0 END, CASE WHEN x = 'updated' THEN d ELSE d0 END, x FROM (
+  SELECT p.*, f.rev AS rev0, f.u AS u0, f.rk AS rk0, f.d AS d0, CASE WHEN f.d = p.d THEN 'idempotent' WHEN p.u < f.u THEN 'stale' WHEN p.u = f.u OR p.rev = f.rev THEN 'revision_conflict' WHEN p.rk < f.rk THEN 'lifecycle_regression' ELSE 'updated' END AS x FROM f JOIN p ON p.c = f.c AND p.k = f.k + 1))
+ SELECT c AS conversation_id, pos, outcome FROM f""")
 def capture_outcomes(rows):
     s = rows.select(
         F.col("source_id").alias("conversation_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("rev"), (F.col("o_orderkey") % 4).cast("string")).alias("revision"), F.unix_timestamp(F.col("updated_at").cast("timestamp")).alias("updated_at"),
@@ -685,29 +714,22 @@ def file_diff(s):
     return graph.file_changes(desired, existing)
 
 
-@query("statements", sql="SELECT doc_id, trim(regexp_extract(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^[^。！？.!?]*')) AS title FROM statements")
-def titles(s):
-    return s.select("doc_id", graph.title(F.col("text"), "untitled").alias("title"))
+TITLE_SQL = """+ f AS (SELECT doc_id, trim(regexp_extract(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^[^。！？.!?]*')) AS t FROM {lens})
+ SELECT doc_id, CASE WHEN t = '' THEN 'untitled' WHEN length(t) > 72 THEN concat(substring(t, 1, 69), '…') ELSE t END AS title FROM f"""
 
 
-# Units: the text that documents really have. DuckDB has no NFKC, so its SQL composes canonically; tests hold odd texts
-# against brute force.
+@query("statements", sql=TITLE_SQL.format(lens="statements"))
+def titles(s):
+    return s.select("doc_id", graph.title(F.col("text"), "untitled").alias("title"))
 
-NORMALIZED_SQL = "trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-KEY_SQL = f"concat('semantic:', sha256(concat('{{\"memoryKind\":\"', source, '\",\"memoryType\":\"fact\",\"text\":\"', {NORMALIZED_SQL}, '\"}}')))"
 
+# Units: texts alone.
 
 @query("units", sql=f"SELECT doc_id, {KEY_SQL} AS semantic_key FROM units")
 def semantic_key_units(u):
     return u.select("doc_id", semantics.semantic_key(F.col("text"), F.lit("fact"), F.col("source"), F.lit(None).cast("string")).alias("semantic_key"))
 
 
-@query("statements", sql=f"SELECT doc_id, {KEY_SQL} AS semantic_key FROM statements")
-def semantic_key_all(s):
-    """Every row, unlike semantic_key_exact, whose SQL is of ASCII rows."""
-    return semantic_key_units(s)
-
-
 @query("units", sql=f"+ k AS (SELECT doc_id, sha256({NORMALIZED_SQL}) AS key FROM units) SELECT doc_id, key, count(*) OVER (PARTITION BY key) - 1 AS others FROM k WHERE key IS NOT NULL QUALIFY count(*) OVER (PARTITION BY key) > 1")
 def duplicate_candidates_units(u):
     # A null text has no key. Keys are dealt out by document, so that both uses read one exchange and texts are normalised once.
@@ -722,8 +744,7 @@ def normalized_text_match_units(u):
     return ingest.same_text(memories, u.select(F.col("doc_id").alias("ref"), F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"))).select("ref", "memory_id")
 
 
-@query("units", sql="""+ f AS (SELECT doc_id, trim(regexp_extract(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^[^。！？.!?]*')) AS t FROM units)
- SELECT doc_id, CASE WHEN t = '' THEN 'untitled' WHEN length(t) > 72 THEN concat(substring(t, 1, 69), '…') ELSE t END AS title FROM f""")
+@query("units", sql=TITLE_SQL.format(lens="units"))
 def titles_units(u):
     return titles(u)
 
@@ -754,8 +775,8 @@ def pattern_counts(s):
 # From units to decisions.
 
 
-@query("statements", "curation")
-def distill_pipeline(s, curation):
+@query("statements")
+def distill_pipeline(s):
     """Statements classified, admitted and held against the statements of the first source."""
     units = ingest.classified(s.withColumn("memory_kind", F.lit("note")))
     held = units.withColumn("memory_id", F.concat(F.lit("mem_"), F.col("doc_id").cast("string"))).withColumn("status", F.when(F.col("doc_id") % 10 == 7, "tombstoned").otherwise("active"))
@@ -826,11 +847,11 @@ def reevaluation_closure(labelled):
     return ingest.reevaluated(cases, now)
 
 
-@query("statements", sql="+ m AS (SELECT concat('mem_', min(doc_id)) AS memory_id, text FROM statements GROUP BY text) SELECT doc_id AS ref, memory_id FROM statements JOIN m ON m.text = statements.text")
+@query("statements", sql="+ m AS (SELECT concat('mem_', min(doc_id)) AS memory_id, lower(trim(nfc_normalize(text))) AS key FROM statements GROUP BY text) SELECT doc_id AS ref, memory_id FROM statements JOIN m ON key = lower(trim(nfc_normalize(text)))")
 def normalized_text_match(s):
     memories = s.groupBy("text").agg(F.concat(F.lit("mem_"), F.min("doc_id").cast("string")).alias("memory_id"))
-    based_on = s.select(F.col("doc_id").alias("ref"), F.concat(F.lit("  "), F.upper("text"), F.lit(" ")).alias("text"))
-    return ingest.same_text(memories, based_on).select("ref", "memory_id")
+    shout = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return ingest.same_text(memories, s.select(F.col("doc_id").alias("ref"), F.concat(F.lit("  "), shout, F.lit(" ")).alias("text"))).select("ref", "memory_id")
 
 
 @query("receipts", "revisions", sql=f"+ {INSIGHTS}, m AS (SELECT insight_id, concat('mem_', k % 300) AS mem FROM i) SELECT insight_id, mem AS memory_ids, 'pending' AS status FROM m WHERE mem IN (SELECT memory_id FROM revisions)")

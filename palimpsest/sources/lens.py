@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PLUS_HOURS = {"spark": "make_dt_interval(0, CAST(floor(value) AS INT))", "duckdb": "to_hours(CAST(floor(value) AS INT))"}
 _LIST = {"spark": "array", "duckdb": "list_value"}
 
-#: Statements that documents are given by their id, for fixture prose says nothing to the pattern rules; units have the real text.
+#: Sentences for the pattern rules, to which fixture prose says nothing. Every document keeps its whole text, with one of them before or behind it.
 STATEMENTS = (
     "User prefers dark mode.",
     "用戶偏好深色模式。",
@@ -90,11 +90,13 @@ LENSES = {
     ),
     "statements": (
         "documents",
-        "SELECT doc_id, source, CASE " + " ".join(f"WHEN doc_id % {len(STATEMENTS)} = {i} THEN '{s}'" for i, s in enumerate(STATEMENTS)) + " END AS text,"
+        "SELECT doc_id, source, CASE WHEN doc_id % 40 < 20 THEN concat(sentence, ' ', text) ELSE concat(text, ' ', sentence) END AS text,"
         " CASE WHEN doc_id % 7 = 0 THEN 'relationship_candidate' WHEN doc_id % 7 = 1 THEN 'project_state_candidate' WHEN doc_id % 7 = 2 THEN 'commitment_candidate' WHEN doc_id % 7 = 3 THEN 'habit_candidate'"
         " WHEN doc_id % 7 = 4 THEN 'event_candidate' WHEN doc_id % 7 = 5 THEN 'preference_candidate' ELSE 'fact_candidate' END AS candidate_type,"
         " CASE WHEN doc_id % 4 = 0 THEN 'inferred' WHEN doc_id % 4 = 1 THEN 'user_asserted' WHEN doc_id % 4 = 2 THEN 'system_observed' ELSE 'observed' END AS epistemic_status,"
-        " CASE WHEN doc_id % 3 = 0 THEN 'user' WHEN doc_id % 3 = 1 THEN 'system' ELSE 'agent' END AS producer FROM documents",
+        " CASE WHEN doc_id % 3 = 0 THEN 'user' WHEN doc_id % 3 = 1 THEN 'system' ELSE 'agent' END AS producer FROM (SELECT doc_id, source, coalesce(text, '') AS text, CASE "
+        + " ".join(f"WHEN doc_id % {len(STATEMENTS)} = {i} THEN '{s}'" for i, s in enumerate(STATEMENTS))
+        + " END AS sentence FROM documents) AS said",
     ),
     "units": ("documents", "SELECT doc_id, source, text FROM documents"),
     "hits": (
@@ -115,4 +117,7 @@ def lens(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(query: str, *names: str) -> str:
     """query over lenses, as DuckDB's SQL."""
-    return "WITH " + ", ".join(f"{n} AS ({lens_sql(n, 'duckdb')})" for n in names) + (", " if query.lstrip().startswith("+") else " ") + query.lstrip().lstrip("+")
+    query = query.strip()
+    more, body = query.startswith("+"), query.lstrip("+").lstrip()
+    recursive = body.startswith("RECURSIVE ")
+    return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(f"{n} AS ({lens_sql(n, 'duckdb')})" for n in names) + (", " if more else " ") + body.removeprefix("RECURSIVE ")

@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, data, name):
 
 
 def test_every_query_has_sql_but_folds():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"token_relation", "commit_fold", "session_chunks", "window_merge", "capture_outcomes", "distill_pipeline", "pilot_selection"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"token_relation", "window_merge", "distill_pipeline", "pilot_selection"}
 
 
 def test_plans_prune_columns_and_push_filters(spark, data):

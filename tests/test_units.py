@@ -38,7 +38,7 @@ def test_units_have_the_real_text(spark, folder):
 
 def test_all_statements_have_keys(spark, data):
     texts = {r.doc_id: r for r in lens(spark, data, "statements").collect()}
-    rows = {r.doc_id: r.semantic_key for r in catalog.QUERIES["semantic_key_all"](spark, data).collect()}
+    rows = {r.doc_id: r.semantic_key for r in catalog.QUERIES["semantic_key_exact"](spark, data).collect()}
     body = lambda r: json.dumps({"memoryKind": r.source, "memoryType": "fact", "text": normalized(r.text)}, ensure_ascii=False, separators=(",", ":"))
     assert rows == {i: "semantic:" + sha(body(r)) for i, r in texts.items()}
     assert any(not r.text.isascii() for r in texts.values())
