@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), docs being all that the stage before kept, and returns a DataFrame that is
 written as Parquet and read again for the next. All but the last return the columns of documents.
+
+Stages share what their operators say: null and empty texts are kept but for where their group has another, null ids are never one
+group, rows that repeat an id are one document in near-duplicates and each their own elsewhere, texts are read whole, extra columns
+pass through up to the last stage. Empty documents, labels or benchmarks give the stages' empty or unchanged tables. Token files stay
+in the shared folder under palimpsest/kept; what lies between stages goes with the application.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontam, mixing, neardup, tokenbin, toxicity
-from palimpsest.llm.store import new_path, saved, table
+from palimpsest.llm.store import kept_path, saved, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the token files hold of each row, read back from them."""
-    path = new_path(spark, "token-ids")
+    path = kept_path(spark, "token-ids")
     tokenbin.write(docs, path)
     return tokenbin.read(spark, path)
 
