@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 UNIT = "\u001f"
 
 
-def canonical_json(keep_nulls: bool = False, **fields: Column) -> Column:
-    """JSON of the fields in order of their names; null fields are left out unless kept."""
+def _sorted_struct(fields: dict) -> Column:
+    """A struct of fields in order of their names, at every depth where a field is a dictionary."""
+    return F.struct(*((_sorted_struct(v) if isinstance(v, dict) else v).alias(k) for k, v in sorted(fields.items())))
+
+
+def canonical_json(keep_nulls: bool = False, **fields: Column | dict) -> Column:
+    """JSON of the fields in order of their names, dictionaries likewise; null fields are left out unless kept."""
     options = {"ignoreNullFields": "false" if keep_nulls else "true"}
-    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), options)
+    return F.to_json(_sorted_struct(fields), options)
 
 
 def stable_json(value: object) -> str:
@@ -66,3 +71,8 @@ def evidence_parts(evidence_id: Column) -> tuple[Column, Column]:
     kind, ref = (F.regexp_extract(evidence_id, r"^([^:]+):([\s\S]+)$", i) for i in (1, 2))
     ok = (kind != "") & (ref != "") & (F.trim(kind) == kind) & (F.trim(ref) == ref)
     return F.when(ok, kind), F.when(ok, ref)
+
+
+def state_fingerprint(**fields: Column | dict) -> Column:
+    """Fingerprint of a state that is to be seen again as it was: of an admission, a review candidate or a provider's unit. Nulls count."""
+    return sha256_of(canonical_json(keep_nulls=True, **fields))

@@ -303,3 +303,19 @@ def promotion(memories: Column, evidence: Column, contradicting: Column, confide
 
 def statement_hash(text: Column) -> Column:
     return sha256_of(text)
+
+
+def reason_codes(kind: Column, who: Column, status: Column, meaning: Column, directive: Column, matched: Column) -> Column:
+    """Why a statement is classified as it is: a code for each decision, a directive, and the concept or concepts that match."""
+    code = lambda name, value: F.concat(F.lit(f"semantic:{name}:"), value)
+    return F.array_compact(
+        F.array(
+            code("memory_type", kind),
+            code("speaker_provenance", who),
+            code("epistemic_status", status),
+            code("polarity", meaning),
+            F.when(directive, "semantic:lifetime:operational_directive_ephemeral"),
+            F.when(F.size(matched) == 1, code("concept", F.element_at(F.concat(matched, F.array(F.lit(""))), 1))),
+            F.when(F.size(matched) > 1, code("concept_ambiguous", F.array_join(matched, ","))),
+        )
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.patterns import nfkc
+
 
 def edges(records: DataFrame) -> DataFrame:
     """src, type, dst of active records (memory_id, memory_type, memory_class, memory_kind, speaker, sources), each once, and reversed."""
@@ -47,3 +49,17 @@ def title(text, fallback: str):
     sentence = F.trim(F.split(flat, "[。！？.!?]", 2)[0])
     sentence = F.when(sentence == "", fallback).otherwise(sentence)
     return F.when(flat == "", fallback).otherwise(F.when(F.length(sentence) > 72, F.concat(F.substring(sentence, 1, 69), F.lit("…"))).otherwise(sentence))
+
+
+def node_slug(key):
+    """A readable id of a node: letters and digits of its key joined by hyphens, 48 characters at most, and eight digits of its hash."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(nfkc(key)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    short = F.substring(plain, 1, 48)
+    return F.concat_ws("-", F.when(short == "", "node").otherwise(short), F.substring(F.sha2(key, 256), 1, 8))
+
+
+def notes(edges: DataFrame) -> DataFrame:
+    """id, kind, body: a note for each node, its edges as lines in order of type and target. Order is that of code points."""
+    line = F.concat(F.lit("- "), "type", F.lit(": [["), "dst", F.lit("]]"))
+    lines = edges.groupBy("src").agg(F.array_sort(F.collect_set(F.struct("type", "dst", line.alias("line")))).alias("lines"))
+    return lines.select(F.col("src").alias("id"), F.substring_index("src", ":", 1).alias("kind"), F.array_join(F.col("lines")["line"], "\n").alias("body"))

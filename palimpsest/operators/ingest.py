@@ -290,3 +290,19 @@ def error_class(message: Column) -> Column:
 
 def receipt_identity() -> Column:
     return joined_id("rcpt_", F.col("ns"), F.col("source_id"), canonical_json(policy=F.col("policy")), length=32)
+
+
+def experience_references(experiences: DataFrame) -> DataFrame:
+    """What others may know of experiences: no content, and a problem where a receipt does not go with the disposition."""
+    submitted = F.col("disposition") == "DISTILLATION_SUBMITTED"
+    problem = F.when(submitted & F.col("receipt_id").isNull(), "receipt_missing").when(~submitted & F.col("receipt_id").isNotNull(), "receipt_unexpected")
+    return experiences.select("experience_id", "source_id", "disposition", "receipt_id", problem.alias("problem"))
+
+
+#: Columns of a receipt that its source may see.
+PUBLIC_RECEIPT = ("receipt_id", "source_id", "status", "updated_at")
+
+
+def public_receipts(receipts: DataFrame) -> DataFrame:
+    """Receipts as their sources see them: no policies, counts or checksums, only whether there is an archive."""
+    return receipts.select(*PUBLIC_RECEIPT, F.col("archive_checksum").isNotNull().alias("archived"))

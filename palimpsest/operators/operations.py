@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.validate import schema_problems
+
 
 def device_lag(devices: DataFrame, marks: DataFrame) -> DataFrame:
     """devices (device_id, ns, applied) with the mark of their scope and how far they are behind it."""
@@ -47,3 +49,37 @@ def snapshot_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 def inventory(heads: DataFrame, revisions: DataFrame) -> DataFrame:
     """Heads with the kind and time of their current revision, for paging by memory_id."""
     return heads.join(revisions, ["memory_id", "revision"])
+
+
+#: Counters of a sync and the decisions that each counts.
+SYNC_COUNTERS = {"ingested": "distill", "source_only": "source_only", "deferred": "defer", "no_textual_evidence": "no_textual_evidence", "unchanged": "unchanged"}
+
+
+def sync_counters(decisions: DataFrame, by: list[str]) -> DataFrame:
+    """scanned, changed and one counter a decision ("name" or "name:reason") of sources."""
+    name = F.substring_index("decision", ":", 1)
+    counts = [F.count_if(name == d).alias(c) for c, d in SYNC_COUNTERS.items()]
+    return decisions.groupBy(*by).agg(F.count(F.lit(1)).alias("scanned"), F.count_if(name != "unchanged").alias("changed"), *counts)
+
+
+def migration_state(units: DataFrame) -> DataFrame:
+    """migration, processed, ingested, skipped, cursor of units (migration, pos, outcome), and whether every processed unit is one of the two."""
+    return units.groupBy("migration").agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("outcome") == "ingested").alias("ingested"), F.count_if(F.col("outcome") == "skipped").alias("skipped"), F.max("pos").alias("cursor"),
+        F.bool_and(F.coalesce(F.col("outcome").isin("ingested", "skipped"), F.lit(False))).alias("consistent"),
+    )
+
+
+def ledger_counts(ledger: DataFrame) -> DataFrame:
+    """name, n: how often each step of a ledger was run."""
+    return ledger.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def readiness(tables: dict[str, DataFrame], needed: dict[str, dict[str, str]]) -> DataFrame:
+    """table, state, problems: ready, missing or incompatible, by the schemas alone."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = []
+    for name, columns in needed.items():
+        problems = schema_problems(tables[name], columns) if name in tables else []
+        rows.append((name, "missing" if name not in tables else "incompatible" if problems else "ready", ", ".join(problems)))
+    return spark.createDataFrame(rows, "table string, state string, problems string")

@@ -101,3 +101,14 @@ def acknowledged(acks: DataFrame, marks: DataFrame, step: int = SYNC_PAGE) -> Da
     rows = acks.join(marks, "ns", "left").groupBy("device_id", "ns").agg(F.array_sort(F.collect_list(F.struct("pos", "expected", "applied"))).alias("log"), F.first(F.coalesce("high_water", F.lit(0))).alias("mark"))
     ok = lambda at, a: (a["expected"] == at) & (a["applied"] > at) & (a["applied"] - at <= step) & (a["applied"] <= F.col("mark"))
     return rows.select("device_id", "ns", F.aggregate("log", F.lit(0).cast("long"), lambda at, a: F.when(ok(at, a), a["applied"]).otherwise(at)).alias("applied_seq"), (F.col("mark")).alias("high_water"))
+
+
+def changes_at(requests: DataFrame, changes: DataFrame) -> DataFrame:
+    """Requests (pos, ns, commit_seq), repeats allowed, each with its change's columns or nulls."""
+    return requests.join(changes, ["ns", "commit_seq"], "left")
+
+
+def hydrated_with_evidence(requests: DataFrame, revisions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Requests with their revision's columns and its evidence (memory_id, revision, pos, source_type, source_ref) as an array in order."""
+    refs = evidence.groupBy("memory_id", "revision").agg(F.array_sort(F.collect_list(F.struct("pos", "source_type", "source_ref"))).alias("evidence"))
+    return hydrated(requests, revisions).join(refs, ["memory_id", "revision"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.canon import joined_id
 from palimpsest.functions.semantics import promotion
 
 # Dispositions that a case of each kind allows.
@@ -120,3 +121,33 @@ def status_moves(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def disposition_tally(cases: DataFrame) -> DataFrame:
     return cases.groupBy(F.coalesce("disposition", F.lit("none")).alias("disposition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def listed(cases: DataFrame, status: str | None, limit: int) -> DataFrame:
+    """A page of cases in order of creation, of one status if one is given."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("a page has 1 to 1000 cases")
+    return (cases if status is None else cases.where(F.col("state") == status)).orderBy("created_at", "case_id").limit(limit)
+
+
+def enqueued(records: DataFrame, cases: DataFrame) -> DataFrame:
+    """New cases for records that wait for review and have none: one for each record, its id made from the record's, so that a repeat finds it."""
+    new = pending_not_queued(records, cases).dropDuplicates(["record_id"])
+    return new.select(joined_id("case_", F.col("record_id"), length=32).alias("case_id"), "record_id", F.lit("pending_review").alias("kind"), F.lit("queued").alias("state"), F.lit(1).cast("long").alias("version"))
+
+
+def promotion_plan(insights: DataFrame, heads: DataFrame) -> DataFrame:
+    """insight_id, plan: for every insight that may be promoted, a fingerprint of itself and of the revisions that it rests on."""
+    gate = promotion(F.col("memory_ids"), F.col("evidence_ids"), F.col("contradicting_ids"), F.col("confidence"), F.col("status"))
+    good = insights.where(gate["eligible"])
+    rests = good.select("insight_id", F.explode("memory_ids").alias("memory_id")).join(heads.where("status = 'active'").select("memory_id", "revision"), "memory_id", "left")
+    on = rests.groupBy("insight_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "memory_id", F.coalesce(F.col("revision").cast("string"), F.lit("none"))))), ",").alias("on"), F.count_if(F.col("revision").isNull()).alias("lost"))
+    own = F.concat_ws("|", "insight_id", F.array_join("evidence_ids", ","), F.col("confidence").cast("string"))
+    return good.join(on.where("lost = 0"), "insight_id").select("insight_id", F.sha2(F.concat_ws("|", own, "on"), 256).alias("plan"))
+
+
+def applied(plan: DataFrame, insights: DataFrame, heads: DataFrame) -> DataFrame:
+    """insight_id, outcome of a plan held against what is now: promoted where nothing has moved, stale, or gone. A dry run is the same without the write."""
+    now = promotion_plan(insights, heads).withColumnRenamed("plan", "__now")
+    outcome = F.when(F.col("__now").isNull(), "gone").when(F.col("__now") == F.col("plan"), "promoted").otherwise("stale")
+    return plan.join(now, "insight_id", "left").select("insight_id", outcome.alias("outcome"))

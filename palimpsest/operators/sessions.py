@@ -281,3 +281,15 @@ def capture_outcomes(snapshots: DataFrame) -> DataFrame:
 
     columns = ["pos", "revision", "updated_at", "status", "digest"]
     return in_order(snapshots.select("conversation_id", *columns), ["conversation_id"], columns, step, f"conversation_id {snapshots.schema['conversation_id'].dataType.simpleString()}, pos long, outcome string")
+
+
+def pilot_problem(hidden: Column, n_messages: Column, archived: Column, ended_at: Column, last_at: Column, now: Column, idle_hours: int = 48) -> Column:
+    """Why a session is not one for a pilot, or null: hidden, too short, or neither archived, ended nor idle for long."""
+    idle = F.unix_timestamp(now) - F.unix_timestamp(last_at) >= 3600 * idle_hours
+    complete = archived | ended_at.isNotNull() | F.coalesce(idle, F.lit(False))
+    return F.when(hidden, "hidden").when(n_messages < 2, "too_short").when(~complete, "not_complete")
+
+
+def recent(sessions: DataFrame, times: list[str], key: str, limit: int) -> DataFrame:
+    """The latest sessions by the first of their times that is known, those without any last."""
+    return sessions.orderBy(F.coalesce(*times).desc_nulls_last(), F.col(key)).limit(limit)

@@ -11,14 +11,19 @@ from palimpsest.functions.semantics import first_of
 ALLOW = "ALLOW"
 
 
-def decided(requests: DataFrame, heads: DataFrame, revisions: DataFrame, ns: Column, at: Column) -> DataFrame:
+def decided(requests: DataFrame, heads: DataFrame, revisions: DataFrame, ns: Column, at: Column, later_heads: DataFrame | None = None) -> DataFrame:
     """requests (memory_id, expected_revision, ...) with decision: ALLOW or the first reason that suppresses.
 
-    heads: memory_id, ns, status, current_revision. revisions: memory_id, revision, intact, valid_from, valid_until.
+    heads: memory_id, ns, status, current_revision. revisions: memory_id, revision, intact, valid_from, valid_until. later_heads are the heads as
+    they are read once more at the end: what was allowed by a head that is another by then is HEAD_CHANGED.
     """
     h = heads.select("memory_id", F.col("ns").alias("__ns"), F.col("status").alias("__status"), F.col("current_revision").alias("__revision"))
     r = revisions.select("memory_id", F.col("revision").alias("__revision"), F.col("intact").alias("__intact"), F.col("valid_from").alias("__from"), F.col("valid_until").alias("__until"), F.lit(True).alias("__known"))
     found = requests.join(h, "memory_id", "left").join(r, ["memory_id", "__revision"], "left")
+    moved = F.lit(False)
+    if later_heads is not None:
+        found = found.join(later_heads.select("memory_id", F.struct("ns", "status", "current_revision").alias("__later")), "memory_id", "left")
+        moved = ~F.col("__later").eqNullSafe(F.struct(F.col("__ns").alias("ns"), F.col("__status").alias("status"), F.col("__revision").alias("current_revision")))
     decision = first_of(
         [
             (F.col("__status").isNull(), "NOT_FOUND"),
@@ -30,6 +35,7 @@ def decided(requests: DataFrame, heads: DataFrame, revisions: DataFrame, ns: Col
             (~F.coalesce("__intact", F.lit(False)), "REVISION_INTEGRITY"),
             (F.coalesce(F.col("__from") > at, F.lit(False)), "NOT_YET_VALID"),
             (F.coalesce(F.col("__until") < at, F.lit(False)), "NO_LONGER_VALID"),
+            (moved, "HEAD_CHANGED"),
         ],
         ALLOW,
     )

@@ -933,3 +933,186 @@ def ordered_events(labelled):
 @query("revisions", sql=EDGES + " SELECT type, count(*) AS n, count(DISTINCT split_part(dst, ':', 1)) AS kinds FROM e GROUP BY type")
 def edge_counts(revisions):
     return _edges(revisions).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.substring_index("dst", ":", 1)).alias("kinds"))
+
+
+# Look-ups, listings, counters and plans.
+
+
+@query("revisions", sql="+ q AS (SELECT event_id AS pos, ns, CASE WHEN event_id % 7 = 0 THEN -commit_seq ELSE commit_seq + 2 END AS commit_seq FROM revisions) SELECT q.pos, q.ns, q.commit_seq, r.memory_id, r.op FROM q LEFT JOIN revisions r ON r.ns = q.ns AND r.commit_seq = q.commit_seq")
+def change_lookup(revisions):
+    requests = revisions.select(F.col("event_id").alias("pos"), "ns", F.when(F.col("event_id") % 7 == 0, -F.col("commit_seq")).otherwise(F.col("commit_seq") + 2).alias("commit_seq"))
+    return records.changes_at(requests, revisions.select("ns", "commit_seq", "memory_id", "op")).select("pos", "ns", "commit_seq", "memory_id", "op")
+
+
+@query("revisions", sql="SELECT r.memory_id, r.revision, r.event_id, string_agg(concat('event:', e.event_id), ',' ORDER BY e.event_id) AS refs FROM revisions r LEFT JOIN revisions e ON e.memory_id = r.memory_id AND e.revision <= r.revision AND e.revision > r.revision - 3 WHERE r.revision > 1 GROUP BY ALL")
+def hydrate_evidence(revisions):
+    """Each revision with what it and the two before it came from."""
+    requests = revisions.where("revision > 1").select("memory_id", "revision")
+    three = F.explode(F.sequence(F.col("revision"), F.col("revision") + 2)).alias("of")
+    evidence = revisions.select("memory_id", "event_id", three).select("memory_id", F.col("of").alias("revision"), F.col("event_id").alias("pos"), F.lit("event").alias("source_type"), F.col("event_id").cast("string").alias("source_ref"))
+    out = records.hydrated_with_evidence(requests, revisions.select("memory_id", "revision", "event_id"), evidence)
+    refs = F.transform("evidence", lambda e: F.concat_ws(":", e["source_type"], e["source_ref"]))
+    return out.select("memory_id", "revision", "event_id", F.array_join(refs, ",").alias("refs"))
+
+
+def _listing(status, name):
+    where = "" if status is None else f"WHERE state = '{status}'"
+
+    @query("labelled", sql=f"SELECT case_id, state FROM labelled {where} ORDER BY doc_id // 10, case_id LIMIT 100", as_=name)
+    def listing(labelled):
+        return review.listed(labelled.withColumn("created_at", F.expr("doc_id div 10")), status, 100).select("case_id", "state")
+
+
+_listing(None, "review_listing")
+_listing("queued", "review_listing_queued")
+
+
+@query("labelled", sql=f"+ {RECORDS} SELECT concat('case_', substr(sha256(record_id), 1, 32)) AS case_id, record_id, 'queued' AS state, 1::BIGINT AS version FROM rec WHERE outcome = 'pending_review' AND record_id NOT IN (SELECT record_id FROM cs)")
+def review_enqueue(labelled):
+    return review.enqueued(*_records(labelled)).select("case_id", "record_id", "state", "version")
+
+
+POLARITY_SQL = f"CASE WHEN {_rx(fixed.GENERAL_NEGATIVE)} AND {_rx(fixed.GENERAL_POSITIVE)} THEN 'unknown' WHEN {_rx(fixed.GENERAL_NEGATIVE)} THEN 'negative' ELSE 'affirmative' END"
+
+
+@query("statements", sql=TYPED + f""" SELECT doc_id, concat_ws(',', concat('semantic:memory_type:', ty), concat('semantic:speaker_provenance:', sp), concat('semantic:epistemic_status:', {STATUS_SQL}), concat('semantic:polarity:', {POLARITY_SQL}),
+ CASE WHEN dir THEN 'semantic:lifetime:operational_directive_ephemeral' END) AS reasons FROM t""")
+def classify_reasons(s):
+    """Of statements that no concept is looked for in."""
+    out = _typed(s)
+    status = semantics.epistemic_status(F.col("epistemic_status"), F.col("memory_type"), F.col("speaker"))
+    none = F.array().cast("array<string>")
+    codes = semantics.reason_codes(F.col("memory_type"), F.col("speaker"), status, semantics.polarity(F.col("text"), F.lit(None).cast("string")), F.col("directive"), none)
+    return out.select("doc_id", F.array_join(codes, ",").alias("reasons"))
+
+
+@query("curation", sql="""SELECT record_id, concat('sha256:', sha256(concat('{"candidateId":"c', record_id, '","canonicalAdmission":{"curationRecordId":"cur_', record_id, '","outcome":"', outcome, '"},"memoryType":"', memory_type, '","providerRunId":', CASE WHEN relation IS NULL THEN 'null' ELSE concat('"', relation, '"') END, ',"speakerProvenance":"', speaker, '"}'))) AS fingerprint FROM curation""")
+def admission_fingerprints(curation):
+    fields = {"candidateId": F.concat(F.lit("c"), "record_id"), "memoryType": F.col("memory_type"), "speakerProvenance": F.col("speaker"), "providerRunId": F.col("relation"), "canonicalAdmission": {"outcome": F.col("outcome"), "curationRecordId": F.concat(F.lit("cur_"), "record_id")}}
+    return curation.select("record_id", canon.state_fingerprint(**fields).alias("fingerprint"))
+
+
+@query("curation", sql="""SELECT record_id, concat('sha256:', sha256(concat('{"memoryType":"', memory_type, '","scope":{"lifeDid":"did:', speaker, '","memoryNamespace":"', policy, '"},"semanticRelation":', CASE WHEN relation IS NULL THEN 'null' ELSE concat('"', relation, '"') END, ',"targetMemoryId":', CASE WHEN canonical_id IS NULL THEN 'null' ELSE concat('"', canonical_id, '"') END, '}'))) AS fingerprint FROM curation""")
+def review_fingerprints(curation):
+    fields = {"scope": {"memoryNamespace": F.col("policy"), "lifeDid": F.concat(F.lit("did:"), "speaker")}, "targetMemoryId": F.col("canonical_id"), "semanticRelation": F.col("relation"), "memoryType": F.col("memory_type")}
+    return curation.select("record_id", canon.state_fingerprint(**fields).alias("fingerprint"))
+
+
+@query("curation", sql="""SELECT record_id, concat('sha256:', sha256(concat('{"memoryId":', CASE WHEN canonical_id IS NULL THEN 'null' ELSE concat('"', canonical_id, '"') END, ',"memoryType":"', memory_type, '","proposedText":"', record_id, '"}'))) AS fingerprint FROM curation""")
+def candidate_fingerprints(curation):
+    return curation.select("record_id", canon.candidate_fingerprint(memoryType=F.col("memory_type"), proposedText=F.col("record_id"), memoryId=F.col("canonical_id")).alias("fingerprint"))
+
+
+DECISIONS = "d AS (SELECT source_id, CASE WHEN o_orderkey % 7 = 0 THEN 'defer' WHEN o_orderkey % 5 = 0 THEN 'source_only' WHEN o_orderkey % 3 = 0 THEN 'unchanged' WHEN o_orderkey % 11 = 0 THEN 'no_textual_evidence' ELSE 'distill' END AS decision FROM receipts)"
+
+
+@query("receipts", sql=f"+ {DECISIONS} SELECT source_id, count(*) AS scanned, count(*) FILTER (decision <> 'unchanged') AS changed, " + ", ".join(f"count(*) FILTER (decision = '{d}') AS {c}" for c, d in operations.SYNC_COUNTERS.items()) + " FROM d GROUP BY source_id")
+def sync_counters(rows):
+    k = F.col("o_orderkey")
+    d = F.when(k % 7 == 0, "defer:journal_tail_incomplete").when(k % 5 == 0, "source_only:no_user_authored_text").when(k % 3 == 0, "unchanged").when(k % 11 == 0, "no_textual_evidence").otherwise("distill")
+    return operations.sync_counters(rows.select("source_id", d.alias("decision")), ["source_id"])
+
+
+@query("receipts", sql="SELECT source_id AS migration, count(*) AS processed, count(*) FILTER (status = 'complete') AS ingested, count(*) FILTER (status = 'failed') AS skipped, max(o_orderkey) AS cursor, bool_and(status <> 'awaiting_review') AS consistent FROM receipts GROUP BY source_id")
+def migration_state(rows):
+    outcome = F.when(F.col("status") == "complete", "ingested").when(F.col("status") == "failed", "skipped")
+    return operations.migration_state(rows.select(F.col("source_id").alias("migration"), F.col("o_orderkey").alias("pos"), outcome.alias("outcome")))
+
+
+@query("outbox", sql="SELECT status AS name, count(*) AS n FROM outbox GROUP BY status")
+def ledger_counts(outbox):
+    return operations.ledger_counts(outbox.select(F.col("status").alias("name")))
+
+
+@query("revisions", "outbox", sql="SELECT * FROM (VALUES ('outbox', 'incompatible', 'token: string, worker: missing'), ('receipts', 'missing', ''), ('revisions', 'ready', '')) t(\"table\", state, problems)")
+def schema_readiness(revisions, outbox):
+    needed = {"revisions": {"memory_id": "string", "revision": "bigint"}, "outbox": {"outbox_id": "string", "token": "int", "worker": "string"}, "receipts": {"receipt_id": "string"}}
+    return operations.readiness({"revisions": revisions, "outbox": outbox}, needed)
+
+
+@query("receipts", sql="SELECT receipt_id, CASE WHEN o_orderkey % 13 = 0 THEN 'hidden' WHEN o_orderkey % 4 < 2 THEN 'too_short' WHEN NOT (status = 'failed' OR archive_checksum IS NULL OR epoch(TIMESTAMP '1996-01-01') - epoch(updated_at) >= 172800) THEN 'not_complete' END AS problem FROM receipts")
+def pilot_eligibility(rows):
+    k = F.col("o_orderkey")
+    ended = F.when(F.col("archive_checksum").isNull(), F.col("updated_at"))
+    problem = sessions.pilot_problem(k % 13 == 0, k % 4, F.col("status") == "failed", ended, F.col("updated_at").cast("timestamp"), F.lit("1996-01-01 00:00:00").cast("timestamp"))
+    return rows.select("receipt_id", problem.alias("problem"))
+
+
+@query("receipts", sql="SELECT receipt_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE updated_at END AS ended_at FROM receipts ORDER BY coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE updated_at END, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '1997-01-01' END) DESC NULLS LAST, receipt_id LIMIT 200")
+def recent_sessions(rows):
+    s = rows.select("receipt_id", F.when(F.col("o_orderkey") % 3 != 0, F.col("updated_at")).alias("ended_at"), F.when(F.col("o_orderkey") % 2 == 0, at("1997-01-01")).alias("started_at"))
+    return sessions.recent(s, ["ended_at", "started_at"], "receipt_id", 200).select("receipt_id", "ended_at")
+
+
+@query("statements", sql=r"""+ p AS (SELECT doc_id, text, substr(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS s FROM statements) SELECT doc_id, concat(CASE WHEN s = '' THEN 'node' ELSE s END, '-', substr(sha256(text), 1, 8)) AS slug FROM p""")
+def node_slugs(s):
+    return s.select("doc_id", graph.node_slug(F.col("text")).alias("slug"))
+
+
+@query("revisions", sql=EDGES + " SELECT src AS id, split_part(src, ':', 1) AS kind, string_agg(concat('- ', type, ': [[', dst, ']]'), chr(10) ORDER BY type, dst) AS body FROM (SELECT DISTINCT src, type, dst FROM e) GROUP BY src")
+def graph_notes(revisions):
+    return graph.notes(_edges(revisions))
+
+
+@query("receipts", sql="SELECT concat('exp', o_orderkey) AS experience_id, CASE WHEN status = 'complete' AND o_orderkey % 6 = 0 THEN 'receipt_missing' WHEN status <> 'complete' AND o_orderkey % 6 <> 0 THEN 'receipt_unexpected' END AS problem FROM receipts")
+def experience_references(rows):
+    e = rows.select(F.concat(F.lit("exp"), F.col("o_orderkey").cast("string")).alias("experience_id"), "source_id", F.when(F.col("status") == "complete", "DISTILLATION_SUBMITTED").otherwise("SOURCE_ONLY").alias("disposition"), F.when(F.col("o_orderkey") % 6 != 0, F.col("receipt_id")).alias("receipt_id"))
+    return ingest.experience_references(e).select("experience_id", "problem")
+
+
+@query("receipts", sql="SELECT receipt_id, source_id, status, updated_at, archive_checksum IS NOT NULL AS archived FROM receipts")
+def public_receipts(rows):
+    return ingest.public_receipts(rows)
+
+
+@query("hits", "revisions", sql=f"""+ early AS (SELECT * FROM revisions WHERE valid_from < TIMESTAMP '{SEED}'), now_ AS (SELECT memory_id, max(revision) AS last FROM revisions WHERE valid_from < TIMESTAMP '{SEED} 03:00:00' GROUP BY memory_id), heads AS (SELECT * FROM early QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY revision DESC) = 1),
+ q AS (SELECT memory_id, min(rank) AS rank FROM hits GROUP BY memory_id) SELECT q.memory_id, CASE WHEN h.memory_id IS NULL THEN 'NOT_FOUND' WHEN h.ns <> 'ns0' AND h.ns <> 'ns1' THEN 'SCOPE_MISMATCH' WHEN h.status = 'tombstoned' THEN 'TOMBSTONED' WHEN NOT h.intact THEN 'REVISION_INTEGRITY' WHEN h.valid_from > TIMESTAMP '{SEED}' THEN 'NOT_YET_VALID'
+ WHEN h.valid_until < TIMESTAMP '{SEED}' THEN 'NO_LONGER_VALID' WHEN last <> h.revision THEN 'HEAD_CHANGED' ELSE 'ALLOW' END AS decision FROM q LEFT JOIN heads h USING (memory_id) LEFT JOIN now_ USING (memory_id)""")
+def verify_moving_heads(hits, revisions):
+    """Decisions by the heads of one moment, which are read again three hours later."""
+    early, later = (revisions.where(F.col("valid_from") < at(t)) for t in (SEED, f"{SEED} 03:00:00"))
+    requests = hits.groupBy("memory_id").agg(F.min("rank").alias("rank")).withColumn("expected_revision", F.lit(None).cast("long"))
+    now = lambda r: records.heads(r).withColumnRenamed("revision", "current_revision")
+    scope = F.when(F.col("__ns").isin("ns0", "ns1"), F.col("__ns")).otherwise("ns0")
+    return verify.decided(requests, now(early), early, scope, at(SEED), now(later)).select("memory_id", "decision")
+
+
+@query("receipts", "revisions", sql=f"""+{HEADS}, {INSIGHTS}, ok AS (SELECT i.*, concat('mem_', k % 150) AS mem FROM i WHERE has_m AND has_e AND NOT contra AND confidence >= 0.75 AND st = 'accepted'),
+ early AS (SELECT memory_id, arg_max(status, revision) AS status, max(revision) AS revision FROM revisions WHERE valid_from < TIMESTAMP '{SEED}' GROUP BY memory_id), p AS (SELECT ok.insight_id, ok.mem, e.revision FROM ok JOIN early e ON e.memory_id = mem AND e.status = 'active')
+ SELECT p.insight_id, CASE WHEN h.status <> 'active' THEN 'gone' WHEN h.revision = p.revision THEN 'promoted' ELSE 'stale' END AS outcome FROM p JOIN heads h ON h.memory_id = mem""")
+def promotion_apply(rows, revisions):
+    """Plans of one moment held against the records of another."""
+    insights = _insights(rows)
+    plan = review.promotion_plan(insights, records.heads(revisions.where(F.col("valid_from") < at(SEED))))
+    return review.applied(plan, insights, records.heads(revisions))
+
+
+@query("outbox", "revisions", sql="""+ e AS (SELECT concat('evt_', substr(sha256(concat(o.outbox_id, chr(31), r.commit_seq)), 1, 32)) AS event_id, o.memory_id, o.revision FROM outbox o JOIN revisions r USING (memory_id, revision))
+ SELECT CASE WHEN revision % 9 = 0 THEN concat('x', event_id) ELSE event_id END AS event_id, CASE WHEN revision % 9 = 0 THEN 'UNKNOWN_EVENT' WHEN revision % 7 = 0 THEN 'MEMORY' WHEN revision % 5 = 0 THEN 'REVISION' ELSE 'STATUS' END AS problem FROM e WHERE revision % 9 = 0 OR revision % 7 = 0 OR revision % 5 = 0 OR revision % 4 = 0""")
+def delivery_receipts(outbox, revisions):
+    sent, r = queue.events(outbox, revisions), F.col("revision")
+    got = sent.select(
+        F.when(r % 9 == 0, F.concat(F.lit("x"), "event_id")).otherwise(F.col("event_id")).alias("event_id"), F.when(r % 7 == 0, "other").otherwise(F.col("memory_id")).alias("memory_id"),
+        F.when(r % 5 == 0, r + 1).otherwise(r).alias("revision"), F.when(r % 4 == 0, "LOST").otherwise("CURRENT").alias("status"),
+    )
+    return queue.receipt_problems(got, sent).select("event_id", "problem")
+
+
+@query("revisions", sql=f"""+{HEADS} SELECT r.event_id, CASE WHEN r.event_id % 29 = 0 THEN 'operation' WHEN r.op = 'create' AND r.event_id % 2 = 0 THEN 'create_with_base' WHEN r.op <> 'create' AND r.event_id % 13 = 0 THEN 'mutation_without_base' WHEN r.event_id % 17 = 0 THEN 'text' WHEN r.event_id % 19 = 0 THEN 'confidence' WHEN r.valid_until < r.valid_from THEN 'validity' END AS problem,
+ CASE WHEN r.event_id % 3 = 0 THEN r.semantic_key ELSE h.semantic_key END AS semantic_key FROM revisions r JOIN heads h USING (memory_id)""")
+def candidate_ingest(revisions):
+    i = F.col("event_id")
+    c = revisions.select(
+        "event_id", "ns", "memory_id", F.when(i % 3 == 0, F.col("semantic_key")).alias("semantic_key"), F.when(i % 29 == 0, "supersede").otherwise(F.col("op")).alias("op"), F.when(F.col("op") == "create", F.when(i % 2 == 0, 1)).otherwise(F.when(i % 13 != 0, F.greatest(F.lit(1), F.col("revision") - 1))).alias("base_revision"),
+        F.when(i % 17 == 0, " ").otherwise("text").alias("text"), F.when(i % 19 == 0, 1.5).otherwise(0.5).alias("confidence"), F.lit(None).cast("string").alias("memory_type"), "valid_from", "valid_until",
+    )
+    bases = records.heads(revisions).select("memory_id", "semantic_key", F.lit("event").alias("memory_type"))
+    return commit.ingested(c, bases).select("event_id", "problem", "semantic_key")
+
+
+@query("messages", sql="SELECT session_id, coalesce(session_id % 5 = 0 OR (session_id % 5 = 1 AND session_id % 2 = 0), false) AS background FROM (SELECT DISTINCT session_id FROM messages)")
+def background_sessions(m):
+    s = F.col("session_id")
+    source = F.when(s % 5 == 0, "cron").when(s % 5 == 1, "api_server").when(s % 5 == 2, "cli")
+    own = F.concat(F.when(s % 2 == 0, "bridge-").otherwise("own-"), s.cast("string"))
+    return m.select("session_id").distinct().select("session_id", sessions.background(source, own, "bridge-").alias("background"))

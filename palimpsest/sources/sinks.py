@@ -54,6 +54,21 @@ def load_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.parquet(path), ["source_id"], F.col("version").desc(), F.col("fingerprint"))
 
 
+def recovered_checkpoint(snapshot: DataFrame, journal: DataFrame) -> DataFrame:
+    """source_id, fingerprint of a snapshot (source_id, fingerprint, version) and the deltas (the same) written after it: the last of each source."""
+    return latest(snapshot.unionByName(journal), ["source_id"], F.col("version").desc(), F.col("fingerprint")).select("source_id", "fingerprint")
+
+
+def save_checkpoint_once(rows: DataFrame, path: str, version: int) -> bool:
+    """save_checkpoint(), unless the log has this version or a later one: then nothing is written."""
+    old = _existing(rows.sparkSession, path, rows.withColumn("version", F.lit(version).cast("long")))
+    held = old.agg(F.max("version")).first()[0]
+    if held is not None and held >= version:
+        return False
+    save_checkpoint(rows, path, version)
+    return True
+
+
 def compact_checkpoint(spark: SparkSession, path: str, to: str) -> None:
     load_checkpoint(spark, path).write.mode("overwrite").parquet(to)
 

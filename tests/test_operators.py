@@ -187,3 +187,80 @@ def test_ingest_finds_problems(spark):
     out = commit.ingested(c.coalesce(1), bases).select("op", "problem", "semantic_key").collect()
     assert sorted((r.op, str(r.problem)) for r in out) == [("create", "None"), ("create", "confidence"), ("create", "text"), ("supersede", "operation"), ("update", "mutation_without_base")]
     assert all(r.semantic_key.startswith(("exact:sha256:", "key")) for r in out)
+
+
+def brute_alignments(a, b):
+    """All longest ordered alignments as sets of pairs."""
+
+    def below(i, j):
+        if i == len(a) or j == len(b):
+            return {()}
+        both = {((i, j), *rest) for rest in below(i + 1, j + 1)} if a[i] == b[j] else set()
+        return below(i + 1, j) | below(i, j + 1) | both
+
+    found = below(0, 0)
+    return {x for x in found if len(x) == max(map(len, found))}
+
+
+def test_alignments_and_placements_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(1500):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(1, 6))] for _ in range(2))
+        ways, pairs = sessions.alignments(a, b)
+        assert ways == len(brute_alignments(a, b)) and tuple(pairs) in brute_alignments(a, b)
+        laid = [k for k in range(1 - len(b), len(a)) if all(a[i] == b[i - k] for i in range(max(0, k), min(len(a), k + len(b))))]
+        assert sessions.placements(a, b) == laid
+
+
+def test_a_long_window_is_an_outcome(spark):
+    rows = [(1, 0, i, "user", f"m{i}") for i in range(3)] + [(1, 1, i, "user", f"m{i}") for i in range(600)] + [(2, 1, 0, "user", "x")]
+    out = sessions.published(spark.createDataFrame(rows, "session_id long, side int, pos long, role string, text string"))
+    assert sorted(map(tuple, out.collect())) == [(1, "too_long", 3), (2, "initial", 1)]
+
+
+def test_commit_outcomes_of_named_memories(spark):
+    heads = spark.createDataFrame([("a", "m1", "k1", 2, "active", "fact"), ("b", "m2", "k2", 1, "active", "fact"), ("a", "m3", "k3", 1, "tombstoned", "fact")], "ns string, memory_id string, semantic_key string, revision long, status string, memory_kind string")
+    c = [
+        ("a", "k1", "c1", "m9", "update", 2, "fact", "not_found"), ("a", "k1", "c2", "m2", "update", 2, "fact", "scope_mismatch"), ("a", "k1", "c3", "m1", "update", 1, "fact", "conflict"), ("a", "k1", "c4", "m1", "update", 2, "habit", "identity_changed"),
+        ("a", "k1", "c5", "m1", "restore", 2, "fact", "error"), ("a", "k1", "c6", "m1", "update", 2, "fact", "accepted"), ("a", "k3", "c7", "m3", "update", 1, "fact", "error"), ("a", "k3", "c8", "m3", "restore", 1, "fact", "accepted"), ("a", "k4", "c9", None, "update", 1, "fact", "not_found"),
+    ]
+    df = spark.createDataFrame([(*x[:7], x[2], i) for i, x in enumerate(c)], "ns string, semantic_key string, candidate_id string, memory_id string, op string, base_revision long, memory_kind string, idempotency_key string, created_at long")
+    none = spark.createDataFrame([], "ns string, idempotency_key string")
+    out = commit.folded(df, heads, none, spark.createDataFrame([("a", 7)], "ns string, high_water long"))
+    got = {r.candidate_id: (r.outcome, r.commit_seq) for r in out.collect()}
+    assert {k: v[0] for k, v in got.items()} == {x[2]: x[7] for x in c} and (got["c6"][1], got["c8"][1]) == (8, 9)
+
+
+def test_a_fold_is_linear_in_a_key(spark):
+    n = 30_000
+    df = spark.range(n).select(F.lit("a").alias("ns"), F.lit("k").alias("semantic_key"), F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("candidate_id"), F.col("id").alias("created_at"), F.col("id").cast("string").alias("idempotency_key"), F.when(F.col("id") == 0, "create").otherwise("update").alias("op"), F.when(F.col("id") > 0, F.col("id")).alias("base_revision"))
+    empty = lambda s: spark.createDataFrame([], s)
+    out = commit.folded(df, empty("ns string, semantic_key string, revision long, status string"), empty("ns string, idempotency_key string"), empty("ns string, high_water long"))
+    assert tuple(out.agg(F.max("revision"), F.max("commit_seq"), F.count_if(F.col("outcome") != "accepted")).first()) == (n, n, 0)
+
+
+def test_retries():
+    from palimpsest.functions.retry import retried
+
+    waits, calls = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise TimeoutError
+        return "done"
+
+    assert retried(call, lambda e: isinstance(e, TimeoutError), sleep=waits.append) == "done" and waits == [0.25, 0.5]
+    with pytest.raises(KeyError):
+        retried(lambda: {}["x"], lambda e: isinstance(e, TimeoutError), sleep=waits.append)
+    with pytest.raises(ValueError):
+        retried(call, lambda e: True, attempts=4)
+
+
+def test_reasons_name_concepts(spark):
+    from palimpsest.functions.semantics import reason_codes
+
+    df = spark.createDataFrame([([],), (["a"],), (["a", "b"],)], "m array<string>").coalesce(1)
+    codes = reason_codes(F.lit("preference"), F.lit("user"), F.lit("user_asserted"), F.lit("affirmative"), F.lit(False), F.col("m"))
+    four = ["semantic:memory_type:preference", "semantic:speaker_provenance:user", "semantic:epistemic_status:user_asserted", "semantic:polarity:affirmative"]
+    assert [r[0] for r in df.select(codes).collect()] == [four, [*four, "semantic:concept:a"], [*four, "semantic:concept_ambiguous:a,b"]]

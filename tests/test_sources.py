@@ -115,3 +115,31 @@ def test_stateful_source_diff(spark, tmp_path):
     spark.createDataFrame([("a", 2, "x"), ("b", 2, "y"), ("c", 2, "z")], schema).coalesce(1).write.mode("append").parquet(src)
     run()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", "new"), ("a", "unchanged"), ("b", "changed"), ("b", "new"), ("c", "new")]
+
+
+def test_one_identity_is_put_once_in_a_batch(spark, tmp_path):
+    path = str(tmp_path / "artifacts")
+    rows = spark.createDataFrame([("i", "b"), ("i", "a"), ("i", "a"), ("j", "c")], "identity string, checksum string")
+    assert [tuple(r) for r in sinks.put_once(rows, path).collect()] == [("i", "b", "a")]
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("i", "a"), ("j", "c")]
+
+
+def test_changes_of_an_earlier_batch_are_not_written_again(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    rows = spark.range(1, 11).select(F.lit("a").alias("ns"), F.col("id").alias("commit_seq"), F.lit("m").alias("memory_id"), F.col("id").alias("revision"))
+    schema = "ns string, commit_seq long, memory_id string, revision long"
+    for low, high in ((1, 6), (4, 10), (1, 10)):
+        rows.where(F.col("commit_seq").between(low, high)).coalesce(1).write.mode("append").parquet(src)
+        feed.replicate(feed.changes(spark, src, schema), out, cp).awaitTermination()
+    assert sorted(r.commit_seq for r in spark.read.parquet(out).collect()) == list(range(1, 11))
+
+
+def test_checkpoint_versions(spark, tmp_path):
+    path = str(tmp_path / "cp")
+    row = lambda f: spark.createDataFrame([("s", f)], "source_id string, fingerprint string")
+    assert sinks.save_checkpoint_once(row("one"), path, 1) and sinks.save_checkpoint_once(row("two"), path, 2)
+    assert not sinks.save_checkpoint_once(row("late"), path, 2)
+    assert sinks.load_checkpoint(spark, path).first().fingerprint == "two"
+    v = "source_id string, fingerprint string, version long"
+    got = sinks.recovered_checkpoint(spark.createDataFrame([("s", "a", 1), ("t", "b", 1)], v), spark.createDataFrame([("s", "c", 2)], v)).collect()
+    assert sorted(map(tuple, got)) == [("s", "c"), ("t", "b")]
