@@ -13,7 +13,9 @@ each, and only the bin that the cut falls into is sorted. A hot source has more
 
 Null text has no words and null source is a source of its own, the last; documents without words are taken
 with zero words; an id that repeats is ranked with equal odds and each row counts by itself; a null id is
-hashed as the empty string.
+hashed as the empty string. Equal odds are ranked by id, then size. A text is measured whole, however long; every
+document has some odds, a giant against its source's mean the least. An empty table gives no rows. Extra columns pass through
+repeated(), whatever their names. Windows over sources run in one task, over one row a source.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_ROWS, saved, table
+from .store import BROADCAST_ROWS, saved, table, unused
 
 #: Documents in a bin of ranks, about.
 BIN = 4096
@@ -70,8 +72,8 @@ def by_source(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 20240607, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each row of docs: doc_id, source, size, source_size, target (its source's), copies, taken = copies * size."""
-    sized = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    """A row for each row of docs: doc_id, source, size, source_size, target (its source's), copies, taken = copies * size; content is a hash of its text."""
+    sized = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("content"), F.monotonically_increasing_id().alias("row")), "sizes")
     sources = saved(source_targets(sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")), weights, most), "targets")
     few = sources.count() <= BROADCAST_ROWS // 10
 
@@ -79,8 +81,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 202406
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
     sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     sources = sources.withColumn("mean", F.greatest(F.lit(1), F.expr("source_size div n")))
-    # Propensity: 1024 * mean / (mean + size), in integers so that its sums are exact.
-    d = by_source(sized, sources, few).withColumn("propensity", F.expr("(1024 * mean) div (mean + size)"))
+    # Propensity: 1024 * mean / (mean + size), in integers so that its sums are exact, and 1 at least.
+    d = by_source(sized, sources, few).withColumn("propensity", F.expr("greatest(1, (1024 * mean) div (mean + size))"))
     scale = saved(d.groupBy("source").agg(F.sum(F.col("propensity") * F.col("size")).alias("propensities")), "propensities")
     ratio = F.when(F.col("propensities") > 0, F.col("rest") / F.col("propensities")).otherwise(0.0)
     d = by_source(d, scale, few).withColumn("p", F.least(F.lit(1.0), ratio * F.col("propensity")))
@@ -103,7 +105,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 202406
     running = Window.partitionBy("source").orderBy("xi", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = d.where("bin = cut_bin").withColumn("drawn", F.col("before") + F.sum("size").over(running) <= F.col("rest"))
     outside = d.where("cut_bin IS NULL OR bin <> cut_bin").withColumn("drawn", F.expr("cut_bin IS NULL OR bin < cut_bin"))
-    ranked = saved(inside.unionByName(outside).select("row", "doc_id", "source", "size", "source_size", "target", "whole", "rest", "xi", "drawn"), "ranked")
+    ranked = saved(inside.unionByName(outside).select("row", "doc_id", "source", "size", "content", "source_size", "target", "whole", "rest", "xi", "drawn"), "ranked")
 
     # The document not drawn that is nearest in size to what is still missing, if it brings the words nearer.
     gaps = ranked.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("gap"))
@@ -114,7 +116,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 202406
     copies = F.col("whole") + F.when(F.col("drawn") | F.coalesce(F.col("row") == F.col("closing"), F.lit(False)), 1).otherwise(0)
     # A source at its cap has no rest; its documents of no words count as drawn and stay within the cap.
     out = out.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "content", "row")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -125,21 +127,22 @@ def op1(spark, sf_dir: str) -> DataFrame:
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it, the columns of docs unchanged.
 
-    Rows of equal id, source and text are alike; the copies of all of them are dealt out among them evenly.
+    Rows of equal id, source and text are alike; the copies of all of them are dealt out among them evenly. Texts move once: the plan's
+    numbers are dealt to where their rows are, and lead them in a window. Rows without an id are told apart by their texts.
     """
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    plan = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"))
-    keyed = docs.withColumns({"__size": n_words(F.col(text_col)), "__salt": F.monotonically_increasing_id()})
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__n"), "__all", "__rows")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    joined = keyed.join(plan, same, "inner")
-    one = F.expr("__all div __rows")
-    # Only ids that repeat need their rows numbered.
-    number = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy("__salt"))
-    single = joined.where("__rows = 1").withColumn("__copies", F.col("__all"))
-    several = joined.where("__rows > 1").withColumn("__copies", one + F.when(number <= F.col("__all") % F.col("__rows"), 1).otherwise(0))
-    both = single.unionByName(several).where("__copies > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    plan = mixed(docs, **options).groupBy("doc_id", "source", "content").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    row, source, key, content, every, rows, copies, copy = unused(docs, "row", "source", "key", "content", "all", "rows", "copies", "copy")
+    of_docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col(id_col).alias(key), F.col(source_col).alias(source), F.xxhash64(text_col).alias(content), F.lit(None).cast("long").alias(every), F.lit(None).cast("long").alias(rows))
+    blank = F.lit(None).cast(of_docs.schema[row].dataType)
+    of_plan = plan.select(blank.alias(row), F.col("doc_id").alias(key), F.col("source").alias(source), F.col("content").alias(content), F.col("all").alias(every), F.col("rows").alias(rows))
+    # The plan's row is the first of its group; the rows behind it are numbered 2, 3, ...
+    group = Window.partitionBy(key, source, content).orderBy(F.col(every).isNull())
+    running = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = of_docs.unionByName(of_plan).select(row, F.first(every).over(running).alias(every), F.first(rows).over(running).alias(rows), (F.row_number().over(group) - 1).alias(copy))
+    share = F.expr(f"`{every}` div `{rows}`") + F.when(F.col(copy) <= F.col(every) % F.col(rows), 1).otherwise(0)
+    taken = both.where(F.col(row).isNotNull()).select(row, share.cast("int").alias(copies)).where(F.col(copies) > 0)
+    return taken.select(row, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
 
 
 #: The mix in DuckDB's SQL, over a view documents; {documents} is the table.
@@ -162,7 +165,7 @@ WITH sized AS (
 ), rests AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size))::BIGINT ELSE 0 END AS whole, greatest(1, source_size // n) AS mean FROM targets
 ), d0 AS (
-  SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest, (1024 * r.mean) // (r.mean + s.size) AS propensity,
+  SELECT s.doc_id, s.source, s.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS rest, greatest(1, (1024 * r.mean) // (r.mean + s.size)) AS propensity,
     (('0x' || substr(md5('20240607:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
 ), d1 AS (
