@@ -841,6 +841,29 @@ def test_conversations_odd(spark, monkeypatch):
 
 # All.
 
+NAMES = "size row target n h1 h2 bands sketch items runs n_words vid label copies rows count fingerprint key centre stretch other rep all content copy host path weight best bucket cell fine first before at inner id place check words tokens upto tree pars sections part hash held a b i j x y"
+NAMES = [*NAMES.split(), *(f"__{n}" for n in "size copies salt id source n all rows copy first runs items n_words score label host path bucket at before tree".split()), "h1_", "first_", "Left"]
+
+
+def test_extra_columns_may_have_any_names(spark, documents):
+    """Every operator that returns its rows, with all the names that any of them uses inside as extra columns."""
+    few = documents.limit(40)
+    df = few.select("*", *(F.lit(7).alias(n) for n in NAMES))
+    bench, marks = table(spark, "/root/testdata/sf0.001", "benchmark"), table(spark, "/root/testdata/sf0.001", "labels")
+    pages = spark.createDataFrame([(1, "https://a.org/", "<p>one</p>"), (2, None, None)], "page_id long, url string, html string").select("*", *(F.lit(7).alias(n) for n in NAMES))
+    model = langid.learned(df, F.lit(False))
+    outs = [
+        mixing.repeated(df), neardup.deduplicated(df), decontam.cleaned(df, bench), toxicity.clean(df, marks, df), langid.predicted(df, model), toxicity.scored(df, toxicity.learned(df, marks, F.lit(False)), out="score_"),
+        html.extracted(pages), merkle.with_next(df, "doc_id", ["text"], ["text"]), merkle.fingerprinted(df.na.fill(""), "text", "print"), decontam.marked(df.drop("runs", "items", "n_words"), bench),
+    ]
+    for out in outs:
+        # Operators whose result is a column so named replace it.
+        names = [n for n in NAMES if n in out.columns and not (out is outs[-1] and n in ("runs", "items", "n_words"))]
+        assert len(names) >= len(NAMES) - 3
+        rows = out.select(*(F.col(f"`{n}`") for n in names)).collect()
+        assert rows and all(set(r) == {7} for r in rows)
+
+
 
 def test_every_operator_has_a_query():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
