@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,13 +259,24 @@ def reference(revisions: DataFrame, ns: str, memory_id: str, revision: int | Non
 
 
 def pilot_sessions(scored: DataFrame, categories: list[str]) -> DataFrame:
-    """The best session of each category in turn, each session once. A few top-1 queries; the result is as long as categories."""
-    left, out = scored, None
-    for i, name in enumerate(categories):
-        best = left.orderBy(F.col(name).desc(), "session_id").limit(1).select(F.lit(i).alias("pos"), F.lit(name).alias("category"), "session_id", F.col(name).cast("double").alias("score"))
-        out = best if out is None else out.unionAll(best)
-        left = left.join(F.broadcast(best.select("session_id")), "session_id", "left_anti")  # one row
-    return out.withColumn("selection", F.when(F.col("score") > 0, "heuristic_match").otherwise("fallback"))
+    """The best session of each category in turn, each session once.
+
+    Earlier categories take fewer sessions than there are categories, so each one's choice is among its best so many: those are found by a
+    top-k query for each category, and the choice runs over their rows in one array, at most the square of the number of categories.
+    """
+    k = len(categories)
+    tops = [scored.orderBy(F.col(name).desc(), "session_id").limit(k).select(F.lit(i).alias("pos"), (-F.col(name).cast("double")).alias("down"), F.col("session_id")) for i, name in enumerate(categories)]
+    both = reduce(DataFrame.unionAll, tops).agg(F.array_sort(F.collect_list(F.struct("pos", "down", "session_id"))).alias("best"))
+    kind = f"array<struct<pos:int,down:double,session_id:{scored.schema['session_id'].dataType.simpleString()}>>"
+
+    def step(taken: Column, x: Column) -> Column:
+        free = ~F.exists(taken, lambda t: (t["pos"] == x["pos"]) | (t["session_id"] == x["session_id"]))
+        return F.when(free, F.concat(taken, F.array(x))).otherwise(taken).cast(kind)
+
+    out = both.select(F.explode(F.aggregate("best", F.array().cast(kind), step)).alias("p"))
+    name = F.element_at(F.array(*map(F.lit, categories)), F.col("p.pos") + 1)
+    rows = out.select("p.pos", name.alias("category"), "p.session_id", (-F.col("p.down")).alias("score"))
+    return rows.withColumn("selection", F.when(F.col("score") > 0, "heuristic_match").otherwise("fallback"))
 
 
 def scored_sessions(sessions: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ def gated(outbox: DataFrame) -> DataFrame:
 def claimable(outbox: DataFrame, ns: str, now: Column, limit: int) -> DataFrame:
     if not 1 <= limit <= CLAIM_LIMIT:
         raise ValueError(f"a claim has 1 to {CLAIM_LIMIT} rows")
-    earlier = outbox.where("status <> 'DONE'").select(F.col("memory_id").alias("m"), F.col("revision").alias("r"))
-    free = outbox.where((F.col("ns") == ns) & due(now)).join(earlier, (F.col("memory_id") == F.col("m")) & (F.col("r") < F.col("revision")), "left_anti")
+    # A row is free if none of its record's unfinished revisions comes before it: one least revision a record, by a partial aggregate.
+    first = outbox.where("status <> 'DONE'").groupBy("memory_id").agg(F.min("revision").alias("__first"))
+    free = outbox.where((F.col("ns") == ns) & due(now)).join(first, "memory_id").where(F.col("revision") <= F.col("__first")).select(*outbox.columns)
     return free.orderBy("created_at", "outbox_id").limit(limit)
 
 

@@ -48,10 +48,19 @@ def numbered(mutations: DataFrame) -> DataFrame:
     return mutations.withColumn("revision", F.row_number().over(Window.partitionBy("memory_id").orderBy("commit_seq")).cast("long"))
 
 
-def gaps(changes: DataFrame, scope: list[str]) -> DataFrame:
-    """Ranges of commit_seq that a scope's feed lacks, from 1 up to its last."""
-    before = F.coalesce(F.lag("commit_seq").over(Window.partitionBy(*scope).orderBy("commit_seq")), F.lit(0))
-    return changes.withColumn("__before", before).where("commit_seq > __before + 1").select(*scope, (F.col("__before") + 1).alias("gap_from"), (F.col("commit_seq") - 1).alias("gap_to"))
+def gaps(changes: DataFrame, scope: list[str], width: int = 65_536) -> DataFrame:
+    """Ranges of commit_seq that a scope's feed lacks, from 1 up to its last.
+
+    Numbers are looked at in stretches of width, so that a large scope is many tasks; what a stretch begins behind is the last number of the stretch
+    before it, of one row a stretch.
+    """
+    rows = changes.withColumn("__stretch", F.expr(f"commit_seq div {width}"))
+    ends = rows.groupBy(*scope, "__stretch").agg(F.max("commit_seq").alias("__last"))
+    ends = ends.withColumn("__behind", F.lag("__last").over(Window.partitionBy(*scope).orderBy("__stretch"))).drop("__last")
+    inner = F.lag("commit_seq").over(Window.partitionBy(*scope, "__stretch").orderBy("commit_seq"))
+    rows = rows.withColumn("__before", inner).where("__before IS NULL OR commit_seq > __before + 1").join(ends, [*scope, "__stretch"])
+    rows = rows.withColumn("__before", F.coalesce("__before", "__behind", F.lit(0)))
+    return rows.where("commit_seq > __before + 1").select(*scope, (F.col("__before") + 1).alias("gap_from"), (F.col("commit_seq") - 1).alias("gap_to"))
 
 
 def after(key: list[str], values: list) -> Column:

@@ -9,6 +9,15 @@ from palimpsest.functions.fixed import TOP_K_LIMIT
 from palimpsest.functions.semantics import first_of
 
 ALLOW = "ALLOW"
+#: Ids that are sent to all tasks at once, at most.
+BROADCAST_IDS = 500_000
+
+
+def of_requests(revisions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Revisions of the memories that are asked for, so that heads are made of these alone. Ids are broadcast if they are counted to be few."""
+    ids = requests.select("memory_id").distinct()
+    few = ids.count() <= BROADCAST_IDS
+    return revisions.join(F.broadcast(ids) if few else ids, "memory_id", "left_semi")
 
 
 def decided(requests: DataFrame, heads: DataFrame, revisions: DataFrame, ns: Column, at: Column, later_heads: DataFrame | None = None) -> DataFrame:

@@ -168,17 +168,23 @@ DECISION = """CASE WHEN h.memory_id IS NULL THEN 'NOT_FOUND' WHEN h.ns <> 'ns0'
 CLAIMS = "c AS (SELECT x.memory_id, x.rank, coalesce(h.revision, 1) - CASE WHEN x.rank % 11 = 0 THEN 1 ELSE 0 END AS claimed_revision FROM hits x LEFT JOIN heads h USING (memory_id)), q AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY rank) = 1)"
 
 
-def _claims(hits, revisions):
-    h = records.heads(revisions).select("memory_id", F.col("revision").alias("__r"))
-    return hits.join(h, "memory_id", "left").select("memory_id", "rank", (F.coalesce("__r", F.lit(1)) - F.when(F.col("rank") % 11 == 0, 1).otherwise(0)).alias("claimed_revision"))
+def _claims(hits, h):
+    at_ = h.select("memory_id", F.col("current_revision").alias("__r"))
+    return hits.join(at_, "memory_id", "left").select("memory_id", "rank", (F.coalesce("__r", F.lit(1)) - F.when(F.col("rank") % 11 == 0, 1).otherwise(0)).alias("claimed_revision"))
+
+
+def _asked(hits, revisions):
+    """Revisions and heads of what hits ask for."""
+    asked = verify.of_requests(revisions, hits)
+    return asked, records.heads(asked).withColumnRenamed("revision", "current_revision")
 
 
 def _decided(hits, revisions, time):
-    h = records.heads(revisions).withColumnRenamed("revision", "current_revision")
-    requests = verify.first_hits(_claims(hits, revisions)).withColumn("expected_revision", F.col("claimed_revision"))
+    asked, h = _asked(hits, revisions)
+    requests = verify.first_hits(_claims(hits, h)).withColumn("expected_revision", F.col("claimed_revision"))
     # Either of two scopes is asked for.
     scope = F.when(F.col("__ns").isin("ns0", "ns1"), F.col("__ns")).otherwise("ns0")
-    return verify.decided(requests, h, revisions, scope, at(time))
+    return verify.decided(requests, h, asked, scope, at(time))
 
 
 def _verify(time, suffix):
@@ -199,8 +205,8 @@ _verify(LATE, "_late")
 
 @query("hits", "revisions", sql=f"+{HEADS}, {CLAIMS} SELECT memory_id, rank FROM (SELECT q.memory_id, q.rank, {DECISION.format(t=EARLY)} AS d, h.ns FROM q LEFT JOIN heads h USING (memory_id)) WHERE d = 'ALLOW' AND ns = 'ns1' ORDER BY rank LIMIT 5")
 def verified_retrieval_topk(hits, revisions):
-    h = records.heads(revisions).withColumnRenamed("revision", "current_revision")
-    return verify.retrieved(_claims(hits, revisions), h, revisions, F.lit("ns1"), at(EARLY), 5).select("memory_id", "rank")
+    asked, h = _asked(hits, revisions)
+    return verify.retrieved(_claims(hits, h), h, asked, F.lit("ns1"), at(EARLY), 5).select("memory_id", "rank")
 
 
 @query("hits", sql="SELECT memory_id, max(claimed_revision) AS claimed_revision, min(rank) AS first_rank FROM hits WHERE claimed_revision >= 1 GROUP BY memory_id ORDER BY first_rank LIMIT 40")
@@ -223,8 +229,7 @@ VIEW = f"""+{HEADS}, mine AS (SELECT semantic_key, memory_id AS own, status = 'a
 
 
 def _view(hits, revisions):
-    heads = records.heads(revisions)
-    own = heads.where("ns = 'ns0'")
+    own = records.heads(revisions.where("ns = 'ns0'"))
     primary = hits.where("rank < 250").join(own.where("status = 'active'").select("memory_id", "semantic_key"), "memory_id").select(F.lit(0).cast("long").alias("mount"), F.col("rank").alias("pos"), "memory_id", "rank", "semantic_key")
     old = hits.where("rank >= 250").select((1 + F.col("rank") % 2).alias("mount"), F.col("rank").alias("pos"), F.concat(F.lit("old_"), "memory_id").alias("memory_id"), "rank", F.concat(F.lit("key_"), (F.col("rank") % 200).cast("string")).alias("semantic_key"))
     return primary, old, own.select("semantic_key", "memory_id", (F.col("status") == "active").alias("allowed"))
@@ -887,11 +892,26 @@ def reflection_source(revisions):
     return ingest.reflection_sources(revisions, preferred).select("memory_id", "revision")
 
 
-@query("messages")
+PILOT = ("preference_change", "inferred_insight", "technical_debugging", "long_project_conversation", "ordinary_conversation")
+
+
+def _pilot_sql() -> str:
+    """Each category's best session among those that no category before it has."""
+    hits = ", ".join(f"{' + '.join(f'CAST(contains(lower(t), {chr(39)}{w}{chr(39)}) AS INT)' for w in words)} AS {k}" for k, words in fixed.KEYWORDS.items())
+    scores = """preference * 12 + CASE WHEN preference >= 2 THEN 8 ELSE 0 END AS preference_change, inference * 12 + project * 2 AS inferred_insight, technical * 10 + least(n, 20) / 20.0::DOUBLE AS technical_debugging,
+ project * 8 + CASE WHEN n >= 25 THEN 15 WHEN n >= 15 THEN 6 ELSE 0 END + least(n, 100) / 100.0::DOUBLE AS long_project_conversation, CASE WHEN n BETWEEN 4 AND 24 AND technical = 0 AND project = 0 AND preference = 0 THEN 20 - inference * 2 ELSE 0 END AS ordinary_conversation"""
+    picks = [
+        f"p{i} AS (SELECT {i} AS pos, '{c}' AS category, session_id, {c}::DOUBLE AS score FROM sc WHERE session_id NOT IN (SELECT -1 {' '.join(f'UNION ALL SELECT session_id FROM p{j}' for j in range(i))}) ORDER BY score DESC, session_id LIMIT 1)"
+        for i, c in enumerate(PILOT)
+    ]
+    every = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(len(PILOT)))
+    return f"+ s AS (SELECT session_id, substr(string_agg(text, chr(10) ORDER BY pos, role, text), 1, {fixed.KEYWORD_CHARS}) AS t, count(*) AS n FROM messages GROUP BY session_id), h AS (SELECT session_id, n, {hits} FROM s), sc AS (SELECT session_id, {scores} FROM h), {', '.join(picks)} SELECT *, CASE WHEN score > 0 THEN 'heuristic_match' ELSE 'fallback' END AS selection FROM ({every})"
+
+
+@query("messages", sql=_pilot_sql())
 def pilot_selection(m):
     rows = sessions.keyword_scores(sessions.normalized(m), F.array_join(F.col("events")["text"], "\n"), F.size("events")).withColumn("n", F.size("events"))
-    order = ["preference_change", "inferred_insight", "technical_debugging", "long_project_conversation", "ordinary_conversation"]
-    return ingest.pilot_sessions(ingest.scored_sessions(rows), order)
+    return ingest.pilot_sessions(ingest.scored_sessions(rows), list(PILOT))
 
 
 @query("receipts", sql="SELECT receipt_id, CASE WHEN a < -5 OR a > 60 THEN 'OBSERVATION_STALE' END AS problem, CASE WHEN a BETWEEN -5 AND 60 THEN CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 4 = 1 THEN 'healthy' ELSE 'degraded' END END AS status FROM (SELECT *, 100 - o_orderkey % 120 AS a FROM receipts)")
