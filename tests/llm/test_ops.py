@@ -363,6 +363,63 @@ def test_mixtures(spark, documents):
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (2, 3, 4))
 
 
+def brute_mixture(model, text):
+    """Proportions by hand: likelihoods of words, expectation-maximisation, and languages dropped while the criterion does not fall."""
+    k = len(model.languages)
+    bucket = lambda h: ((h * 0x9E3779B97F4A7C15) % 2**64) >> (65 - langid.BUCKETS.bit_length())
+    likely = []
+    for word in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())):
+        padded, total = bytes([0, *word, 0]), np.zeros(k)
+        for n in range(1, langid.GRAMS + 1):
+            # A mark alone is no n-gram, nor is what begins at the mark behind the word.
+            for i in range(len(word) + 1):
+                part = padded[i : i + n]
+                if len(part) < n or not any(part):
+                    continue
+                h = 0
+                for b in part:
+                    h = (h * 0x100000001B3 + b + 1) % 2**64
+                total += model.table[bucket(h ^ (n << 56))]
+        likely.append(total / langid.GRAMS)
+    ratio = np.exp(np.array(likely) - np.max(likely, axis=1, keepdims=True))
+
+    def fitted(share, rounds):
+        for _ in range(rounds):
+            joint = ratio * share
+            share = (joint / joint.sum(1, keepdims=True)).mean(0)
+        return share, np.log((ratio * share).sum(1)).sum()
+
+    share, fit = fitted(np.full(k, 1 / k), langid.ROUNDS)
+    while (share > 0).sum() > 1:
+        less = share.copy()
+        less[max(np.flatnonzero(share > 0), key=lambda j: (-share[j], j))] = 0
+        less, worse = fitted(less / less.sum(), 3)
+        if worse + 0.5 * np.log(max(len(likely), 2)) < fit:
+            break
+        share, fit = less, worse
+    return share
+
+
+def test_mixtures_equal_brute_force(documents, texts):
+    import pyarrow as pa
+
+    model = langid.learned(documents, F.lit(False))
+    some = [t for t in texts.values() if t and len(t) < 1200 and re.search("[A-Za-z]", t)][:40]
+    some += [a + " " + b for a, b in zip(some[:10], some[20:30])]
+    got = model.mixtures(pa.array(some))
+    for row, text in zip(got, some):
+        want = brute_mixture(model, text)
+        assert set(np.flatnonzero(row)) == set(np.flatnonzero(want)) and np.allclose(row, want, atol=2e-3)
+
+
+def test_long_and_repeated_texts_have_one_language(spark, documents):
+    model = langid.learned(documents, F.lit(False))
+    text = documents.where("lang = 'fr' AND length(text) > 500").first().text
+    df = spark.createDataFrame([(1, text), (1, text), (2, (text + " ") * 2000)], "doc_id long, text string")
+    out = langid.predicted(df, model).collect()
+    assert {r.lang_pred for r in out} == {"fr"} and len({r.score for r in out if r.doc_id == 1}) == 1
+
+
 def test_languages_odd(odd, empty):
     for docs in (odd, empty):
         out = langid.predicted(docs, langid.learned(docs, F.lit(False)))
@@ -869,6 +926,41 @@ def test_every_operator_has_a_query():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
 
 
+def test_pipeline_stages_on_odd_tables(spark, data, odd, empty):
+    import corpus_pipeline
+
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, data).collect(), odd.schema)
+            assert docs.columns == odd.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, data)
+        assert out.count() == docs.count()
+
+
+def test_nothing_changes_the_session(spark, data):
+    """Operators leave the settings as they were; what they write in between is in the application's folder."""
+    before = {r[0]: r[1] for r in spark.sql("SET").collect()}
+    for name in ("op1_pareto_mix", "op4_mixture_em", "op8_simple8b", "op10_template_compiler"):
+        queries.QUERIES[name](spark, data).count()
+    after = {r[0]: r[1] for r in spark.sql("SET").collect()}
+    assert before.keys() <= after.keys() and all(after[k] == v for k, v in before.items()) and after.keys() - before.keys() <= {"spark.checkpoint.dir"}
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    assert tokens.cuts_exactly(Tokenizer.from_file(tokens.default_path())) and not tokens.cuts_exactly(other)
+    texts = ["It's a Test, isn't it?  YES\n\tsir 12", "", "é Ü <|endoftext|> x", None, "don't"]
+    import pyarrow as pa
+
+    ids, ranges = tokens.Encoder(path)(pa.array(texts))
+    for text, a, b in zip(texts, ranges[:-1], ranges[1:]):
+        assert ids[a:b].tolist() == other.encode(text or "", add_special_tokens=False).ids
+
+
 def test_pipeline(spark, data, documents):
     import corpus_pipeline
 
