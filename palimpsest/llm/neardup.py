@@ -9,7 +9,7 @@
    sets: texts go to their centre in stretches of SPREAD members, sorted, so a task holds one set at a time.
 4. Classes that are linked need no further link to each other. What stars may miss are links between members of a
    bucket that are still in different components: those outside the bucket's largest component are compared with
-   all its members, in units of STRETCH by STRETCH. The members of a stretch are packed into one row with their odd sketches, so a
+   all its members, in units of STRETCH by STRETCH. The members of a stretch are one row with their odd sketches, so a
    unit is two rows. It compares odd sketches, which picks the members whose texts are needed; these are dealt by their sizes
    into units of UNIT_BYTES a side, or one text, which compare full sets; only links that join components leave them. A pair is
    compared in the first band that it shares and nowhere else. So no link between components is lost, and no pairs are written out.
@@ -45,7 +45,7 @@ BITS = 512
 #: Members of a bucket on either side of a unit of sketches.
 STRETCH = 4096
 #: Bytes of texts and sets on either side of a unit of sets; a text that is longer is alone.
-UNIT_BYTES = 32 << 20
+UNIT_BYTES = 8 << 20
 #: Standard deviations of an odd sketch's estimate that a pair may lie below the threshold.
 SIGMAS = 5.5
 #: Members that are compared with a centre in one stretch.
@@ -193,22 +193,10 @@ def _may(n_a: str, n_b: str, s_a: str, s_b: str, percent: int, bits: int):
 
 
 _NUMBERS = ("vid", "label", "n", "size", "rep", "h1", "h2")
-_PACKED = ", ".join(f"{c} array<bigint>" for c in _NUMBERS) + ", sketch binary, bands binary"
-
-
-def _packed(stretch: pa.Table) -> pa.Table:
-    """The members of a stretch as one row: a list of each number, and sketches and band keys (32 bits of each) as bytes."""
-    one = {c: [stretch[c][0].as_py()] for c in ("key", "side", "block", "ni", "nj")}
-    one |= {c: [stretch[c].to_numpy()] for c in _NUMBERS}
-    bands = _grid(stretch["bands"]).view(U) >> U(32)
-    one |= {"sketch": [_grid(stretch["sketch"]).tobytes()], "bands": [bands.astype(np.uint32).tobytes()]}
-    kinds = dict.fromkeys(_NUMBERS, pa.list_(pa.int64())) | {"key": pa.int64(), "sketch": pa.binary(), "bands": pa.binary()}
-    order = ["key", "side", "block", "ni", "nj", *_NUMBERS, "sketch", "bands"]
-    return pa.table({k: pa.array(one[k], kinds.get(k, pa.int32())) for k in order})
 
 
 def _units(members: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
-    """key, i, j, side and a packed stretch: of buckets that hold several components; side 0 are members outside the largest, side 1 all."""
+    """key, i, j, side, members: stretches of buckets that hold several components; side 0 are members outside the largest, side 1 all. A stretch is one row."""
     rest = members.select("key", "vid").join(labels, "vid", "left").select("key", "vid", F.coalesce("label", "vid").alias("label"))
     sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     split = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
@@ -218,17 +206,19 @@ def _units(members: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame
     place = lambda side, n: F.struct(F.lit(side).alias("side"), F.pmod(F.xxhash64("vid"), F.col(n)).cast("int").alias("block"))
     both = F.array(place(0, "ni"), place(1, "nj"))
     left = left.withColumn("at", F.explode(F.when(F.col("label") != F.col("main"), both).otherwise(F.array(place(1, "nj"))))).select("key", "ni", "nj", "vid", "label", "at.*")
-    schema = "key long, side int, block int, ni int, nj int, " + _PACKED
-    packed = saved(left.join(signs, "vid").groupBy("key", "side", "block").applyInArrow(_packed, schema), "stretches")
+    # Of band keys 32 bits are enough to know the first that two members share.
+    short = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")
+    own = F.struct(*_NUMBERS, "sketch", short)
+    packed = saved(left.join(signs, "vid").groupBy("key", "side", "block", "ni", "nj").agg(F.collect_list(own).alias("members")), "stretches")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own, other = F.col("block"), F.explode(F.when(F.col("side") == 0, upto("nj")).otherwise(upto("ni")))
     units = packed.withColumn("other", other).withColumns({"i": F.when(F.col("side") == 0, own).otherwise(F.col("other")), "j": F.when(F.col("side") == 1, own).otherwise(F.col("other"))})
     return units.drop("block", "other", "ni", "nj")
 
 
-def _grid(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+def _numbers(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 _PICKED = "key long, i int, j int, si int, sj int, side int, vid long, label long, rep long, h1 long, h2 long"
@@ -238,15 +228,16 @@ def _picked(units: DataFrame, percent: int, bits: int) -> DataFrame:
     """The members of units that may be linked to another component there by their odd sketches, dealt into units (si, sj) of bounded size."""
 
     def run(unit: pa.Table) -> pa.Table:
-        key, names = unit["key"][0].as_py() >> 32 & 0xFFFFFFFF, [x.split()[0] for x in _PICKED.split(", ")]
+        key, names = unit["key"][0].as_py() >> 32, [x.split()[0] for x in _PICKED.split(", ")]
         kinds = dict.fromkeys(("key", "vid", "label", "rep", "h1", "h2"), pa.int64())
         empty = pa.table({n: pa.array([], kinds.get(n, pa.int32())) for n in names})
-        sides = {r["side"]: r for r in unit.to_pylist()}
-        if len(sides) < 2:
+        if len(unit) < 2:
             return empty
-        num = [{c: np.array(sides[k][c]) for c in _NUMBERS} for k in (0, 1)]
-        sketch = [np.frombuffer(sides[k]["sketch"], U).reshape(-1, BITS // 64) for k in (0, 1)]
-        bands = [np.frombuffer(sides[k]["bands"], np.uint32).reshape(len(sketch[k]), -1) for k in (0, 1)]
+        members = unit["members"].combine_chunks()
+        sides = [members[i].values for i in np.argsort(unit["side"].to_numpy())]
+        num = [{c: x.field(c).to_numpy(zero_copy_only=False) for c in _NUMBERS} for x in sides]
+        sketch = [_numbers(x.field("sketch")).view(U) for x in sides]
+        bands = [_numbers(x.field("bands")) for x in sides]
         few, every = num
         keep = [np.zeros(len(x["vid"]), bool) for x in num]
         for x in range(len(few["vid"])):
