@@ -14,7 +14,7 @@ toxic they look against their text's worst, for most of their passages are not.
 a large sample needs are held out in turn, and the model is the mean of those trained on the rest. What held-out texts score
 sets the cut: the middle of where it makes the fewest errors. The score is a logistic function of the distance from it.
 With two classes the softmax needs only the difference of its rows, so a bucket's share of a score is one number, and
-scoring is a table look-up in numpy over each Arrow batch, a few MB of text at a time; a text is scored whole, however long.
+scoring is a table look-up in numpy over each Arrow batch, half a MB of text at a time; a text is scored whole, however long.
 
 Null and empty texts, and texts without words, get the score of an empty passage. Rows with a null label or id, and labels other
 than 0 and 1, are not learned from; an id with both labels counts as toxic; rows that repeat an id are all learned from and scored
@@ -54,8 +54,8 @@ TURNS_WORDS = 1_500_000
 SAMPLE = 4000
 SAMPLE_BYTES = 16 << 20
 #: Words whose n-grams are found at once, and n-grams that are summed at once, so that the driver holds little.
-_WORDS = 1 << 15
-_STRIDE = 1 << 20
+_WORDS = 1 << 13
+_STRIDE = 1 << 19
 _MIX = U(0x9E3779B97F4A7C15)
 _PRIME = U(0x100000001B3)
 #: Lower case of the code points before U+0590, where it is one code point.
@@ -182,52 +182,70 @@ class Bag:
 
     def of_passages(self, of_buckets: np.ndarray) -> np.ndarray:
         """Mean over passages of words' means of what buckets have."""
-        words = np.zeros(len(self.size))
-        for at in range(0, len(self.owner), _STRIDE):
-            owner = self.owner[at : at + _STRIDE]
-            words[owner[0] : owner[-1] + 1] += np.bincount(owner - owner[0], of_buckets[self.bucket[at : at + _STRIDE]])
+        words, out = np.zeros(len(self.size)), np.zeros(len(self.starts))
+        for owner, bucket in _strides(self.owner, self.bucket):
+            words[owner[0] : owner[-1] + 1] += np.bincount(owner - owner[0], of_buckets[bucket])
         words /= self.size
-        return np.bincount(self.passage, words[self.tokens], len(self.starts)) / self.lengths
+        for passage, tokens in _strides(self.passage, self.tokens):
+            out[passage[0] : passage[-1] + 1] += np.bincount(passage - passage[0], words[tokens])
+        out /= self.lengths
+        return out
 
     def of_buckets(self, of_passages: np.ndarray) -> np.ndarray:
         """The transpose of of_passages."""
-        words = np.bincount(self.tokens, (of_passages / self.lengths)[self.passage], len(self.size)) / self.size
-        out = np.zeros(len(self.used))
-        for at in range(0, len(self.owner), _STRIDE):
-            out += np.bincount(self.bucket[at : at + _STRIDE], words[self.owner[at : at + _STRIDE]], len(self.used))
+        share = of_passages / self.lengths
+        words, out = np.zeros(len(self.size)), np.zeros(len(self.used))
+        for passage, tokens in _strides(self.passage, self.tokens):
+            words += np.bincount(tokens, share[passage], len(words))
+        words /= self.size
+        for owner, bucket in _strides(self.owner, self.bucket):
+            out += np.bincount(bucket, words[owner], len(out))
         return out
 
 
+def _strides(*arrays: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    for at in range(0, len(arrays[0]), _STRIDE):
+        yield tuple(a[at : at + _STRIDE] for a in arrays)
+
+
 def bagged(vocabulary: pa.Array, tokens: np.ndarray, counts: np.ndarray) -> Bag:
     """Texts of `counts` words each, at least one, given as numbers of distinct words."""
     n_words, n_texts = len(vocabulary), len(counts)
     seen = np.unique(tokens.astype(np.int64) * n_texts + np.repeat(np.arange(n_texts), counts))
     in_texts = np.bincount(seen // n_texts, minlength=n_words)
     del seen
-    parts, size, texts_of = [], np.zeros(n_words, np.int32), np.zeros(BUCKETS)
-    for low in range(0, n_words, _WORDS):
-        _, features = _features(_padded(vocabulary[low : low + _WORDS])[0])
-        bucket = np.concatenate([b[_ranges(first, last)] for b, first, last in features])
-        owner = np.concatenate([np.repeat(np.arange(low, low + len(first), dtype=np.int32), last - first) for _, first, last in features])
-        order = np.argsort(owner, kind="stable")
-        bucket, owner = bucket[order], owner[order]
+    size, texts_of, times = np.zeros(n_words, np.int32), np.zeros(BUCKETS), np.zeros(BUCKETS, np.int64)
+    for bucket, owner in _sliced(vocabulary):
         size += np.bincount(owner, minlength=n_words).astype(np.int32)
         texts_of += np.bincount(bucket, in_texts[owner], BUCKETS)
-        parts.append((bucket, owner))
+        times += np.bincount(bucket, minlength=BUCKETS)
     # Buckets that few texts have tell nothing about others.
     often = texts_of >= LEAST_TEXTS
     used = np.flatnonzero(often)
     place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(len(used))
-    for i, (bucket, owner) in enumerate(parts):
+    buckets, owners = (np.empty(int(times[used].sum()), np.int32) for _ in range(2))
+    at = 0
+    # Found once more rather than held.
+    for bucket, owner in _sliced(vocabulary):
         kept = often[bucket]
-        parts[i] = place[bucket[kept]], owner[kept]
-    bucket, owner = (np.concatenate([np.zeros(0, np.int32), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 2
-    del parts
+        end = at + int(kept.sum())
+        buckets[at:end], owners[at:end] = place[bucket[kept]], owner[kept]
+        at = end
     starts, own = _passages(counts)
     lengths = np.diff(np.append(starts, len(tokens)))
     passage = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
-    return Bag(bucket, owner, used, np.maximum(size, 1), tokens, passage, starts, lengths, own, np.repeat(np.arange(n_texts), np.diff(own)))
+    return Bag(buckets, owners, used, np.maximum(size, 1), tokens, passage, starts, lengths, own, np.repeat(np.arange(n_texts, dtype=np.int32), np.diff(own)))
+
+
+def _sliced(vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the n-grams of words, and the words' numbers, in order of words, a slice of the words at a time."""
+    for low in range(0, len(vocabulary), _WORDS):
+        _, features = _features(_padded(vocabulary[low : low + _WORDS])[0])
+        bucket = np.concatenate([b[_ranges(first, last)] for b, first, last in features])
+        owner = np.concatenate([np.repeat(np.arange(low, low + len(first), dtype=np.int32), last - first) for _, first, last in features])
+        order = np.argsort(owner, kind="stable")
+        yield bucket[order], owner[order]
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -239,19 +257,23 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def softmax(logits: np.ndarray) -> np.ndarray:
     p = np.exp(logits - logits.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    p /= p.sum(1, keepdims=True)
+    return p
 
 
 def gradients(bag: Bag, embedding: np.ndarray, rows: np.ndarray, bias: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Probabilities of the passages, and gradients of their weighted cross-entropy by embeddings, softmax rows and biases."""
     # The softmax needs logits less that of class 0 only, and its errors sum to zero over the classes.
     shares = embedding @ (rows[1:] - rows[0]).T
-    logits = np.zeros((len(target), len(rows)))
+    logits = np.zeros((len(target), len(rows)), embedding.dtype)
     for k in range(1, len(rows)):
         logits[:, k] = bias[k] - bias[0] + PASSAGE * bag.of_passages(shares[:, k - 1])
     p = softmax(logits)
-    wrong = weight[:, None] * (p - (target[:, None] == np.arange(len(rows))))
-    back = np.zeros((len(bag.used), len(rows)))
+    del logits
+    wrong = p.copy()
+    wrong[np.arange(len(target)), target] -= 1
+    wrong *= weight[:, None]
+    back = np.zeros((len(bag.used), len(rows)), embedding.dtype)
     for k in range(1, len(rows)):
         back[:, k] = bag.of_buckets(PASSAGE * wrong[:, k])
     back[:, 0] = -back.sum(1)
@@ -264,11 +286,21 @@ class _Adam:
     def __init__(self, shape: tuple[int, ...], damping: float) -> None:
         self.first, self.second, self.n, self.damping = np.zeros(shape, np.float32), np.zeros(shape, np.float32), 0, damping
 
-    def step(self, gradient: np.ndarray) -> np.ndarray:
+    def step(self, gradient: np.ndarray, rate: float) -> np.ndarray:
+        """The step against a gradient, which is used up."""
         self.n += 1
-        self.first += np.float32(0.1) * (gradient.astype(np.float32) - self.first)
-        self.second += np.float32(0.01) * (gradient.astype(np.float32) ** 2 - self.second)
-        return self.first / (1 - 0.9**self.n) / (np.sqrt(self.second / (1 - 0.99**self.n)) + self.damping)
+        self.first *= np.float32(0.9)
+        self.first += np.float32(0.1) * gradient
+        gradient *= gradient
+        gradient *= np.float32(0.01)
+        self.second *= np.float32(0.99)
+        self.second += gradient
+        np.sqrt(self.second, out=gradient)
+        gradient /= np.float32((1 - 0.99**self.n) ** 0.5)
+        gradient += np.float32(self.damping)
+        np.divide(self.first, gradient, out=gradient)
+        gradient *= np.float32(rate / (1 - 0.9**self.n))
+        return gradient
 
 
 def embedded(bag: Bag, labels: np.ndarray, kept: np.ndarray, classes: int = 2, dimensions: int = DIMENSIONS, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,7 +308,7 @@ def embedded(bag: Bag, labels: np.ndarray, kept: np.ndarray, classes: int = 2, d
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.01, (len(bag.used), dimensions)).astype(np.float32)
     rows, bias = rng.normal(0, 0.5, (classes, dimensions)).astype(np.float32), np.zeros(classes)
-    target, on = labels[bag.text_of], kept[bag.text_of]
+    target, on = labels.astype(np.int32)[bag.text_of], kept[bag.text_of]
     sizes = np.bincount(target[on], minlength=classes)
     weight = np.where(on, 1 / (classes * np.maximum(sizes, 1))[target], 0.0)
     share = np.ones(len(target))
@@ -288,8 +320,9 @@ def embedded(bag: Bag, labels: np.ndarray, kept: np.ndarray, classes: int = 2, d
             own = p[np.arange(len(target)), target]
             share = np.where(target > 0, own / np.maximum.reduceat(own, bag.own[:-1])[bag.text_of], 1.0)
         rate = RATE * (1 + np.cos(np.pi * step / rounds)) / 2
-        embedding -= np.float32(rate) * of_embedding.step(g_embedding)
-        rows -= np.float32(0.1 * rate) * of_rows.step(g_rows)
+        embedding -= of_embedding.step(g_embedding, rate)
+        rows -= of_rows.step(g_rows, 0.1 * rate)
+        del g_embedding
         bias -= rate * np.clip(4 * g_bias, -1, 1)
     return embedding, rows, bias
 
@@ -388,6 +421,7 @@ def learned(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     number = np.asarray(coded.indices, np.int32)[np.asarray(tokens[0]) + np.repeat(words[1], tokens[2])]
     vocabulary, counts = coded.dictionary, tokens[2]
     del words, tokens, coded
+    pa.default_memory_pool().release_unused()
     return _trained(vocabulary, number, counts, marks)
 
 
@@ -406,7 +440,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in blocks(whole, text_col, 2 << 20):
+            for batch in blocks(whole, text_col, 1 << 19):
                 names = batch.schema.names
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(batch.column(names.index(text_col))))], [*names, out])
 
