@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, spread, table
+from .store import new_path, spread, table, written
 from .template import Template
 from .words import blocks
 
@@ -101,7 +101,7 @@ def formatted(rows: DataFrame, template: str = TEMPLATE, controls: tuple[str, ..
 
 def write(rows: DataFrame, path: str, **options) -> None:
     """Writes conversations to path."""
-    formatted(rows, **options).write.option("compression", "zstd").parquet(path)
+    written(formatted(rows, **options), path, compression="zstd")
 
 
 def _read(controls: tuple[str, ...]):

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows up to which a table of two or three numbers a row may be broadcast (32 MB at most).
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch in actions of this package, beside the engine's bound in bytes.
+BATCH_ROWS = 2000
 #: Bytes read (compressed) for each partition that spread() makes, and most partitions.
 PARTITION_BYTES = 64 << 20
 MOST_PARTITIONS = 200_000
@@ -40,10 +44,29 @@ def kept_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/palimpsest/kept/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python gets BATCH_ROWS rows at once while an action of this package runs; the session's own setting is back when it ends."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = int(before)
+    spark.conf.set(name, min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, path: str, **options: str) -> None:
+    """Writes df as Parquet."""
+    with small_batches(df.sparkSession):
+        df.write.options(**options).parquet(path)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    written(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

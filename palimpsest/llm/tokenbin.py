@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .store import new_path, spread, table
+from .store import new_path, spread, table, written
 from .tokens import default_path, encoder
 from .words import blocks
 
@@ -63,7 +63,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """Writes the ids of every document of docs to path."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     placed = spread(rows, "doc_id", "hash", by_range=True).sortWithinPartitions("doc_id", "hash", "text").drop("hash")
-    placed.mapInArrow(_encode(tokenizer or default_path(), end_id), ROWS).write.option("compression", "zstd").parquet(path)
+    written(placed.mapInArrow(_encode(tokenizer or default_path(), end_id), ROWS), path, compression="zstd")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

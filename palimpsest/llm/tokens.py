@@ -22,7 +22,7 @@ from .words import U, buffers, mixed, powers
 #: Parts kept for reuse in one Python worker, about 300 MB; beyond, the worker starts anew.
 KEPT = 1_500_000
 #: Bytes of text of one pass.
-PASS = 4 << 20
+PASS = 1 << 20
 #: Other white space than spaces and newlines.
 _OTHER = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _CUT = re.compile(r"(?<=\S)(?= \S)")

@@ -98,7 +98,7 @@ def hashed_words(buf: np.ndarray, offs: np.ndarray, alphabet: Alphabet) -> tuple
     return st, np.concatenate(hashes) if hashes else np.zeros(0, U), np.searchsorted(st, offs)
 
 
-def blocks(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
+def blocks(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
     """The batch in slices of about `most` bytes of text each, a single row at least."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.cumsum(np.diff(buffers(column)[1]))
