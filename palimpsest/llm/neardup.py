@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import BROADCAST_ROWS, saved, spread, table, unused
-from .words import NON_SPACE, U, blocks, buffers, hashed_words, mixed
+from .words import NON_SPACE, U, blocks, buffers, hashed_words, mixed, released
 
 SHINGLE = 5
 #: MinHash values in a band.
@@ -140,6 +140,7 @@ def _signed(threshold: float):
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 columns = [batch.column(0), pa.array(sizes), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists(keys), lists(sketch)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "n", "h1", "h2", "bands", "sketch"])
+        released()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .store import new_path, spread, table, written
 from .tokens import default_path, encoder
-from .words import blocks
+from .words import blocks, released
 
 #: Ids in a block, about.
 BLOCK = 1 << 17
@@ -36,13 +36,14 @@ _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.in
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         encode, part = encoder(path), TaskContext.get().partitionId()
         ids, docs, held, block, start = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "start": start, "n_ids": held, "doc_ids": ids, "payload": simple8b.encode_block(docs)}], schema=_ARROW)
 
-        for batch in (b for whole in batches for b in blocks(whole, "text", 4 << 20)):
+        for batch in (b for whole in batches for b in blocks(whole, "text", 1 << 20)):
             found, offsets = encode(batch.column(1))
             for doc_id, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                 tokens = np.append(found[a:b], np.uint32(end_id))
@@ -55,6 +56,7 @@ def _encode(path: str, end_id: int):
                 held += len(tokens)
         if docs:
             yield flush()
+        released()
 
     return run
 

@@ -19,8 +19,8 @@ import pyarrow as pa
 
 from .words import U, buffers, mixed, powers
 
-#: Parts kept for reuse in one Python worker, about 300 MB; beyond, the worker starts anew.
-KEPT = 1_500_000
+#: Parts kept for reuse in one Python worker, about 200 MB; beyond, the worker starts anew.
+KEPT = 1_000_000
 #: Bytes of text of one pass.
 PASS = 1 << 20
 #: Other white space than spaces and newlines.

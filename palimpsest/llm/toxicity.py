@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import saved, table, unused
-from .words import U, blocks
+from .words import U, blocks, released
 
 BUCKETS = 1 << 20
 DIMENSIONS = 8
@@ -443,6 +443,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
             for batch in blocks(whole, text_col, 1 << 19):
                 names = batch.schema.names
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(batch.column(names.index(text_col))))], [*names, out])
+        released()
 
     return docs.mapInArrow(run, schema)
 

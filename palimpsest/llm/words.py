@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -98,6 +100,15 @@ def hashed_words(buf: np.ndarray, offs: np.ndarray, alphabet: Alphabet) -> tuple
     return st, np.concatenate(hashes) if hashes else np.zeros(0, U), np.searchsorted(st, offs)
 
 
+def released() -> None:
+    """Gives memory that a worker holds but does not use back to the machine, where the C library can; other stages reuse the worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def blocks(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
     """The batch in slices of about `most` bytes of text each, a single row at least."""
     column = batch.column(batch.schema.get_field_index(text))
